@@ -271,6 +271,12 @@ SENTIMENT_VOTES = {
         r"\bfollow[\s-]up\b", r"\bongoing\b",
     ],
 }
+SENTIMENT_SUBSTRINGS = [
+    ("dissatisfied", ["dissatisfied", "negative", "frustrated"]),
+    ("satisfied", ["satisfied", "positive"]),
+    ("neutral", ["neutral", "unclear"]),
+    ("collaborative", ["collaborative", "iterative", "refinement"]),
+]
 COMPLETIONS = ["complete", "partial", "interrupted", "failed"]
 
 # --- fixed values: agents and planning --------------------------------------

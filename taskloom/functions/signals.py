@@ -80,12 +80,11 @@ def salvaged_json(raw: Column, opener: str = "{") -> Column:
 def sentiment_bucket(value: Column) -> Column:
     """Substring rules; the negative word is tested before the positive one it contains."""
     v = F.lower(value)
-    return (
-        F.when(T.contains_any(v, ["dissatisf", "frustrat", "negative"]), "dissatisfied")
-        .when(T.contains_any(v, ["satisf", "positive"]), "satisfied")
-        .when(T.contains_any(v, ["neutral"]), "neutral")
-        .otherwise("other")
-    )
+    rule = None
+    for bucket, words in P.SENTIMENT_SUBSTRINGS:
+        hit = T.contains_any(v, words)
+        rule = F.when(hit, bucket) if rule is None else rule.when(hit, bucket)
+    return rule.otherwise("other")
 
 
 def fallback_sentiment(positive: Column, negative: Column) -> Column:

@@ -41,7 +41,8 @@ def ranked(
     counts: dict[str, Column] | None = None,
     blocks: int = 8,
 ) -> DataFrame:
-    """One row per (group, value): ``n`` rows, ``below`` rows with a smaller value, ``size`` of the group.
+    """One row per (group, value): ``n`` rows, ``below`` rows with a smaller value,
+    ``size`` and ``amount`` (sum of values) of the group.
 
     ``counts`` adds further conditional row counts per value, each with its own
     ``<name>_below``.
@@ -59,6 +60,7 @@ def ranked(
         with_borders.withColumn("_block", chunk).drop("_borders"),
         groups, [value], F.col("_block"),
         below=S.total_before(F.col("n")), size=S.overall(F.col("n")),
+        amount=S.overall(F.col(value) * F.col("n")),
         **{f"{k}_below": S.total_before(F.col(k)) for k in counts},
     )
     return out.drop("_block")
@@ -102,21 +104,15 @@ def summary_stats(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """
     v, n = F.col(value), F.col("n")
     table = ranked(df, groups, value)
-    mean = F.sum(v * n) / F.sum(n)
-    stats = table.groupBy(*groups).agg(
+    mean = F.col("amount") / F.col("size")
+    spread = F.sum(n * (v - mean) * (v - mean))
+    return table.groupBy(*groups).agg(
         F.sum(n).alias("count"),
-        mean.alias("mean"),
+        F.max(mean).alias("mean"),
         percentile_agg(value, 0.5).alias("median"),
-        _sd(v, n).alias("stdev"),
+        F.when(F.max("size") >= 2, F.sqrt(spread / (F.max("size") - 1))).alias("stdev"),
         *[percentile_agg(value, p).alias(k) for k, p in PERCENTILES.items()],
     )
-    return stats
-
-
-def _sd(v: Column, n: Column) -> Column:
-    total = F.sum(n)
-    spread = F.sum(v * v * n) - F.sum(v * n) * F.sum(v * n) / total
-    return F.when(total >= 2, F.sqrt(F.greatest(spread, F.lit(0.0)) / (total - 1)))
 
 
 def terciles(df: DataFrame, groups: list[str], value: str) -> DataFrame:

@@ -113,6 +113,15 @@ def overall_max(value: Column) -> Running:
     )
 
 
+def overall_min(value: Column) -> Running:
+    return Running(
+        summary=lambda _o: F.min(value),
+        inherit=lambda s, w: F.min(s).over(w.rowsBetween(*ALL)),
+        inner=lambda w: F.min(value).over(w.rowsBetween(*ALL)),
+        join=lambda a, _b: a,
+    )
+
+
 def _last(value: Column, frame: tuple[int, int]) -> Running:
     return Running(
         summary=lambda o: F.max_by(value, F.when(value.isNotNull(), o)),
@@ -184,3 +193,16 @@ def time_chunk(seconds: Column, width: float = 3600.0) -> Column:
 def text_chunk(column: str, length: int = 2) -> Column:
     """Leading characters: monotone in the binary order of strings."""
     return F.substring(F.col(column), 1, length)
+
+
+def epoch_seconds(column: str) -> Column:
+    """Seconds since 1970 with microseconds, for both timestamp types."""
+    return F.expr(
+        f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))"
+    ) / F.lit(1e6)
+
+
+def seconds_between(start: str, end: str) -> Column:
+    return F.expr(
+        f"timestampdiff(MICROSECOND, cast({start} as timestamp_ntz), cast({end} as timestamp_ntz))"
+    ) / F.lit(1e6)
