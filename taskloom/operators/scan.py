@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.sql.window import WindowSpec
 
+HOUR = 3600.0
 BEFORE = (W.unboundedPreceding, -1)
 UP_TO = (W.unboundedPreceding, 0)
 AFTER = (1, W.unboundedFollowing)

@@ -18,6 +18,7 @@ from taskloom.functions import patterns as P
 from taskloom.functions import text as T
 from taskloom.operators import scan as S
 from taskloom.operators import segment as G
+from taskloom.sources.stage import stage as write_stage
 
 KEY = ["session_id", "task_n"]
 
@@ -318,15 +319,16 @@ def task_flags(prompt: Column, is_meta: Column, project: Column, compactions_bef
 
 
 def build(messages: DataFrame, meta_project: str | None = None, home_project: str = "",
-          max_edit_chars: int | None = 200) -> TaskTables:
+          max_edit_chars: int | None = 200, stage=write_stage) -> TaskTables:
     """A2, A3, A5: canonical tasks before plan merging, plus their event tables.
 
-    ``messages`` should be a materialised table: it is read by several branches.
+    Tables that several branches read (marked messages, calls, results) are
+    written once as stages.
     """
-    marked = G.mark_tasks(messages)
+    marked = stage(G.mark_tasks(messages), "marked")
     blocks = explode_blocks(marked)
-    calls = tool_calls(blocks)
-    results = tool_results(blocks)
+    calls = stage(tool_calls(blocks), "calls")
+    results = stage(tool_results(blocks), "results")
     edits = edit_events(calls, results, max_edit_chars)
     bad = errors(results)
     reqs = requests(marked, calls)
@@ -486,8 +488,14 @@ def canonical(messages: DataFrame, prices: DataFrame | None = None, **options) -
     Cleaning runs before merging: the merge reads the exclusion of the parent
     and clears it on promotion.
     """
+    stage = options.get("stage", write_stage)
     tables = build(messages, **options)
-    return finish(merge_plans(tables, plan_roots(tables.tasks)), prices)
+    tables.tasks = stage(tables.tasks, "tasks")
+    tables.edits = stage(tables.edits, "edits")
+    roots = stage(plan_roots(tables.tasks), "roots")
+    done = finish(merge_plans(tables, roots), prices)
+    done.tasks = stage(done.tasks, "canonical")
+    return done
 
 
 def nested(tables: TaskTables) -> DataFrame:

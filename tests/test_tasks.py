@@ -4,6 +4,7 @@ import pytest
 
 from taskloom.operators import segment, tasks
 from taskloom.sources import logs
+from taskloom.sources.stage import stage
 from tests import sessions as X
 
 
@@ -14,11 +15,8 @@ def tables(spark, tmp_path_factory):
                            "plan": X.PLAN, "clean": X.CLEAN, "agent-x": X.BASIC}.items():
         X.write_session(folder, "proj one", name, messages)
     X.write_session(folder, "skipme", "other", X.BASIC)
-    messages = logs.read_messages(spark, str(folder), exclude_projects=["skipme"]).cache()
-    t = tasks.canonical(messages)
-    for table in (t.tasks, t.calls, t.edits, t.compactions):
-        table.cache()
-    return messages, t
+    messages = stage(logs.read_messages(spark, str(folder), exclude_projects=["skipme"]))
+    return messages, tasks.canonical(messages)
 
 
 def rows(df, *cols, session=None):
