@@ -40,12 +40,13 @@ def ranked(
     value: str,
     counts: dict[str, Column] | None = None,
     blocks: int = 8,
+    keep_block: bool = False,
 ) -> DataFrame:
     """One row per (group, value): ``n`` rows, ``below`` rows with a smaller value,
     ``size`` and ``amount`` (sum of values) of the group.
 
     ``counts`` adds further conditional row counts per value, each with its own
-    ``<name>_below``.
+    ``<name>_below``, ``<name>_size`` and ``<name>_amount``.
     """
     counts = counts or {}
     typed = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn(
@@ -62,21 +63,28 @@ def ranked(
         below=S.total_before(F.col("n")), size=S.overall(F.col("n")),
         amount=S.overall(F.col(value) * F.col("n")),
         **{f"{k}_below": S.total_before(F.col(k)) for k in counts},
+        **{f"{k}_size": S.overall(F.col(k)) for k in counts},
+        **{f"{k}_amount": S.overall(F.col(value) * F.col(k)) for k in counts},
     )
-    return out.drop("_block")
+    return out if keep_block else out.drop("_block")
 
 
-def at_rank(value: str, rank: Column) -> Column:
-    """Aggregate: the value holding the 0-based ``rank`` in a ``ranked`` table."""
-    hit = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
+def at_rank(value: str, rank: Column, of: str = "") -> Column:
+    """Aggregate: the value holding the 0-based ``rank`` in a ``ranked`` table.
+
+    ``of`` names one of the extra counts; the rank is then taken among its rows.
+    """
+    below, n = (F.col(f"{of}_below"), F.col(of)) if of else (F.col("below"), F.col("n"))
+    hit = (below <= rank) & (rank < below + n)
     return F.max(F.when(hit, F.col(value)))
 
 
-def percentile_agg(value: str, p: float) -> Column:
+def percentile_agg(value: str, p: float, of: str = "") -> Column:
     """Linear interpolation between the two neighbouring ranks."""
-    h = (F.col("size") - 1) * F.lit(float(p))
+    size = F.col(f"{of}_size") if of else F.col("size")
+    h = (size - 1) * F.lit(float(p))
     lo, hi = F.floor(h), F.ceil(h)
-    low, high = at_rank(value, lo), at_rank(value, hi)
+    low, high = at_rank(value, lo, of), at_rank(value, hi, of)
     part = F.max(h - lo)
     return low + (high - low) * part
 

@@ -105,6 +105,16 @@ def highest_before(value: Column) -> Running:
     return _max(value, BEFORE)
 
 
+def lowest_from(value: Column) -> Running:
+    """Minimum of the current and all later rows."""
+    return Running(
+        summary=lambda _o: F.min(value),
+        inherit=lambda s, w: F.min(s).over(w.rowsBetween(*AFTER)),
+        inner=lambda w: F.min(value).over(w.rowsBetween(0, W.unboundedFollowing)),
+        join=lambda a, b: F.least(a, b),
+    )
+
+
 def overall_max(value: Column) -> Running:
     return Running(
         summary=lambda _o: F.max(value),
