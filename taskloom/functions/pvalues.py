@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EXACT_STATES = 4_000_000
 
@@ -78,17 +79,17 @@ def mann_whitney_p(u: float, n1: float, n2: float, ties: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi_p(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi_square_sf(a, b) if b > 0 else float("nan") for a, b in zip(x, dof)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _z_p(z: pd.Series) -> pd.Series:
     return z.map(normal_two_sided)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _u_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([mann_whitney_p(*r) for r in zip(u, n1, n2, ties)])
 

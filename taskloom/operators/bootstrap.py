@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from taskloom.operators import ranks as R
 
@@ -93,7 +94,7 @@ def median_ranks(n: int, alpha: float = 0.05) -> tuple[int, int]:
     return first(alpha / 2), first(1 - alpha / 2)
 
 
-@F.pandas_udf("struct<lo:long,hi:long>")
+@F.pandas_udf(StructType([StructField("lo", LongType()), StructField("hi", LongType())]))
 def _ranks(n: pd.Series) -> pd.DataFrame:
     cache = {k: median_ranks(int(k)) for k in n.unique()}
     return pd.DataFrame([cache[k] for k in n], columns=["lo", "hi"])
