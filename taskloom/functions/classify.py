@@ -13,8 +13,7 @@ def task_types(prompt: Column) -> Column:
     """Every type that matches, in rule order; ['unknown'] when none does."""
     low = F.lower(prompt)
     hits = F.array_compact(
-        F.array(*[F.when(T.matches(low, "(?i)(?:" + "|".join(f"(?:{p})" for p in pats) + ")"), F.lit(name))
-                  for name, pats in P.TASK_TYPES.items()])
+        F.array(*[F.when(T.any_low(low, pats, True), F.lit(name)) for name, pats in P.TASK_TYPES.items()])
     )
     return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("unknown")))
 
@@ -27,7 +26,7 @@ def type_signals(prompt: Column) -> Column:
         rule = None
         for p in pats:
             text = F.lit(f"{name}: matched '{p}'")
-            hit = T.matches(low, f"(?i){p}")
+            hit = T.matches_low(low, p, True)
             rule = F.when(hit, text) if rule is None else rule.when(hit, text)
         parts.append(rule)
     found = F.array_compact(F.array(*parts))
@@ -48,7 +47,7 @@ def complexity(tools: Column, files: Column, lines: Column) -> Column:
 def complexity_signals(prompt: Column, tools: Column, files: Column, lines: Column) -> Column:
     low = F.lower(prompt)
     words = [
-        F.when(T.matches(low, p), F.lit(f"{level}: prompt matched '{p}'"))
+        F.when(T.matches_low(low, p), F.lit(f"{level}: prompt matched '{p}'"))
         for level, p in P.COMPLEXITY_WORDS
     ]
     measured = F.concat(
@@ -113,7 +112,7 @@ def agent_directive(prompt: Column) -> Column:
     """C14."""
     low = F.lower(prompt)
     return F.when(T.contains_any(low, P.PARALLEL_WORDS), "parallel").when(
-        T.matches_any(low, P.USE_AGENT_PATTERNS), "use_agents"
+        T.any_low(low, P.USE_AGENT_PATTERNS), "use_agents"
     )
 
 

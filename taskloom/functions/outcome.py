@@ -30,14 +30,14 @@ def outcome(text: Column) -> Column:
     low = T.stripped(F.lower(text))
     rule = F.when(T.is_generated(text), _outcome("system_continuation", "auto-generated"))
     for pattern, evidence in P.PLEASED:
-        rule = rule.when(T.matches(low, pattern), _outcome("satisfaction", evidence))
+        rule = rule.when(T.matches_low(low, pattern), _outcome("satisfaction", evidence))
     for pattern, evidence in P.DISPLEASED:
         rule = rule.when(
-            T.matches(low, pattern) & ~_asks_about_fix(low, pattern),
+            T.matches_low(low, pattern) & ~_asks_about_fix(low, pattern),
             _outcome("dissatisfaction", evidence),
         )
     for pattern, evidence in P.CARRYING_ON:
-        rule = rule.when(T.matches(low, pattern), _outcome("continuation", evidence))
+        rule = rule.when(T.matches_low(low, pattern), _outcome("continuation", evidence))
     return rule.when(F.length(low) > 20, _outcome("new_task", "new request")).otherwise(
         _outcome("unclear", "")
     )
@@ -55,7 +55,7 @@ def completion_signal(next_text: Column) -> Column:
     low = F.lower(next_text)
     return (
         F.when(next_text.isNull(), "session_end")
-        .when(T.matches_any(low, P.DONE_SIGNALS), "explicit_done")
-        .when(T.matches_any(low, P.UNHAPPY_SIGNALS), "user_dissatisfied")
+        .when(T.any_low(low, P.DONE_SIGNALS), "explicit_done")
+        .when(T.any_low(low, P.UNHAPPY_SIGNALS), "user_dissatisfied")
         .otherwise("user_continues")
     )

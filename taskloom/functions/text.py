@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,15 +33,53 @@ def matches_any(text: Column, pats: Iterable[str]) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return matches(text, "|".join(words))
-
-
-def count_matching(text: Column, pats: Iterable[str]) -> Column:
-    """How many of the patterns hit at least once."""
-    total = F.lit(0)
-    for p in pats:
-        total = total + matches(text, p).cast("int")
-    return total
+    return reduce(lambda x, y: x | y, [F.contains(text, F.lit(w)) for w in words])
+
+
+def required_words(pattern: str) -> list[str]:
+    """Literals of which a match must contain at least one; [] when there is no such set."""
+
+    def of_sequence(items) -> list[str]:
+        runs, run = [], ""
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+                continue
+            if run:
+                runs.append([run])
+                run = ""
+            if name == "SUBPATTERN":
+                runs.append(of_sequence(arg[3]))
+            elif name == "BRANCH":
+                parts = [of_sequence(x) for x in arg[1]]
+                if all(parts):
+                    runs.append([w for part in parts for w in part])
+            elif name == "MAX_REPEAT" and arg[0] >= 1:
+                runs.append(of_sequence(arg[2]))
+        runs.append([run] if run else [])
+        useful = [r for r in runs if r and min(map(len, r)) >= 2]
+        return max(useful, key=lambda r: (min(map(len, r)), -len(r)), default=[])
+
+    return of_sequence(re._parser.parse(pattern))
+
+
+def matches_low(low: Column, pattern: str, ignore_case: bool = False) -> Column:
+    """``matches`` on lower-case text: a substring search rules out most texts before the regex runs."""
+    words = required_words(pattern)
+    regex = matches(low, f"(?i:{pattern})" if ignore_case else pattern)
+    if not words:
+        return regex
+    return contains_any(low, [w.lower() if ignore_case else w for w in words]) & regex
+
+
+def any_low(low: Column, pats: Iterable[str], ignore_case: bool = False) -> Column:
+    return reduce(lambda x, y: x | y, [matches_low(low, p, ignore_case) for p in pats])
+
+
+def count_matching(low: Column, pats: Iterable[str]) -> Column:
+    """How many of the patterns hit the lower-case text at least once."""
+    return reduce(lambda x, y: x + y, [matches_low(low, p).cast("int") for p in pats])
 
 
 def is_skipped(text: Column, tags: list[str] | None = None) -> Column:

@@ -103,8 +103,8 @@ def _ranks(n: pd.Series) -> pd.DataFrame:
 def median_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """T9 for the median; null for n < 3."""
     table = R.ranked(df, keys, value)
-    sizes = table.groupBy(*keys).agg(F.max("size").alias("n")).withColumn("_r", _ranks("n"))
-    joined = table.join(sizes, keys)
+    sizes = table.groupBy(*keys).agg(F.max("size").alias("_n")).withColumn("_r", _ranks("_n"))
+    joined = table.join(sizes.drop("_n"), keys)
     enough = F.max("size") >= 3
     return joined.groupBy(*keys).agg(
         F.max("size").alias("n"), R.percentile_agg(value, 0.5).alias("median"),

@@ -65,16 +65,20 @@ def contained_pairs(small: DataFrame, large: DataFrame, keys: list[str], levels=
     """(keys, small_id, large_id) of texts where ``small`` occurs inside ``large``.
 
     Both inputs hold ``keys, id, text`` with distinct texts. A small text looks
-    up one anchor, a large text offers all of its anchors.
+    up one anchor, a large text offers all of its anchors of the levels that
+    the small texts of its group ask for.
     """
     level = _level(F.length("text"), levels)
+    probes = small.withColumn("level", level).where("level is not null")
+    asked = probes.select(*keys, "level").distinct()
+    offers = large.join(asked, keys)
     offer, probe = None, None
     for i, (least, gram, window) in enumerate(levels):
-        o = large.where(F.length("text") >= least).select(
+        o = offers.where((F.col("level") == i) & (F.length("text") >= least)).select(
             *keys, F.col("id").alias("large_id"), F.lit(i).alias("level"),
             F.explode(anchors(F.col("text"), gram, window)).alias("anchor"),
         )
-        p = small.where(level == i).select(
+        p = probes.where(F.col("level") == i).select(
             *keys, F.col("id").alias("small_id"), F.lit(i).alias("level"),
             F.array_min(anchors(F.col("text"), gram, window)).alias("anchor"),
         )
@@ -250,7 +254,7 @@ def last_context(overlap: DataFrame, context: DataFrame, chunk_size: int = 4096)
 
 def edit_context(tasks: DataFrame, errors: DataFrame) -> DataFrame:
     """Context rows for J9 from task starts and errors."""
-    unhappy = tasks.where(T.matches_any(F.lower("user_prompt"), P.DISSATISFIED_BETWEEN)).select(
+    unhappy = tasks.where(T.any_low(F.lower("user_prompt"), P.DISSATISFIED_BETWEEN)).select(
         "session_id", F.col("msg_index_start").alias("msg_index"), F.lit("unhappy").alias("kind"))
     return unhappy.unionByName(errors.select("session_id", "msg_index", F.lit("error").alias("kind")))
 

@@ -68,7 +68,7 @@ def main(folder: str, names: list[str]) -> int:
 
     spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "8g")
-             .config("spark.driver.bindAddress", "127.0.0.1").getOrCreate())
+             .config("spark.driver.bindAddress", "127.0.0.1").config("spark.driver.host", "127.0.0.1").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, failed = connect(folder), oracle_sql(), 0
     for name, fn in queries().items():
