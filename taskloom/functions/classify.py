@@ -11,28 +11,31 @@ from taskloom.functions import text as T
 
 def task_types(prompt: Column) -> Column:
     """Every type that matches, in rule order; ['unknown'] when none does."""
-    low = F.lower(prompt)
-    hits = F.array_compact(
-        F.array(*[F.when(T.any_low(low, pats, True), F.lit(name)) for name, pats in P.TASK_TYPES.items()])
-    )
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(F.lit("unknown")))
+    def found(low: Column) -> Column:
+        return F.array_compact(
+            F.array(*[F.when(T.any_low(low, pats, True), F.lit(name)) for name, pats in P.TASK_TYPES.items()]))
+    return _or_default(T.on_lower(prompt, found), "unknown")
+
+
+def _or_default(hits: Column, default: str) -> Column:
+    """The list itself, or a list of the default; ``hits`` is computed once."""
+    return F.element_at(F.transform(
+        F.array(hits), lambda h: F.when(F.size(h) > 0, h).otherwise(F.array(F.lit(default)))), 1)
 
 
 def type_signals(prompt: Column) -> Column:
     """First matching pattern of every type, as ``type: matched 'pattern'``."""
-    low = F.lower(prompt)
-    parts = []
-    for name, pats in P.TASK_TYPES.items():
-        rule = None
-        for p in pats:
-            text = F.lit(f"{name}: matched '{p}'")
-            hit = T.matches_low(low, p, True)
-            rule = F.when(hit, text) if rule is None else rule.when(hit, text)
-        parts.append(rule)
-    found = F.array_compact(F.array(*parts))
-    return F.when(F.size(found) > 0, found).otherwise(
-        F.array(F.lit("unknown: no patterns matched"))
-    )
+    def found(low: Column) -> Column:
+        parts = []
+        for name, pats in P.TASK_TYPES.items():
+            rule = None
+            for p in pats:
+                text = F.lit(f"{name}: matched '{p}'")
+                hit = T.matches_low(low, p, True)
+                rule = F.when(hit, text) if rule is None else rule.when(hit, text)
+            parts.append(rule)
+        return F.array_compact(F.array(*parts))
+    return _or_default(T.on_lower(prompt, found), "unknown: no patterns matched")
 
 
 def complexity(tools: Column, files: Column, lines: Column) -> Column:
@@ -45,16 +48,13 @@ def complexity(tools: Column, files: Column, lines: Column) -> Column:
 
 
 def complexity_signals(prompt: Column, tools: Column, files: Column, lines: Column) -> Column:
-    low = F.lower(prompt)
-    words = [
-        F.when(T.matches_low(low, p), F.lit(f"{level}: prompt matched '{p}'"))
-        for level, p in P.COMPLEXITY_WORDS
-    ]
+    words = T.on_lower(prompt, lambda low: F.array_compact(F.array(*[
+        F.when(T.matches_low(low, p), F.lit(f"{level}: prompt matched '{p}'")) for level, p in P.COMPLEXITY_WORDS])))
     measured = F.concat(
         complexity(tools, files, lines), F.lit(": tools="), tools.cast("string"),
         F.lit(", files="), files.cast("string"), F.lit(", lines="), lines.cast("string"),
     )
-    return F.array_compact(F.array(*words, measured))
+    return F.concat(words, F.array(measured))
 
 
 def domain_hits(path: Column) -> dict[str, Column]:
@@ -110,20 +110,18 @@ def classification(prompt: Column, tools: Column, files: Column, lines: Column,
 
 def agent_directive(prompt: Column) -> Column:
     """C14."""
-    low = F.lower(prompt)
-    return F.when(T.contains_any(low, P.PARALLEL_WORDS), "parallel").when(
-        T.any_low(low, P.USE_AGENT_PATTERNS), "use_agents"
-    )
+    return T.on_lower(prompt, lambda low: F.when(T.contains_any(low, P.PARALLEL_WORDS), "parallel").when(
+        T.any_low(low, P.USE_AGENT_PATTERNS), "use_agents"))
 
 
 def wants_agents(prompt: Column) -> Column:
     """C15."""
-    return T.contains_any(F.lower(prompt), P.AGENT_WORDS)
+    return T.on_lower(prompt, lambda low: T.contains_any(low, P.AGENT_WORDS))
 
 
 def wants_planning(prompt: Column) -> Column:
     """C15."""
-    return T.contains_any(F.lower(prompt), P.PLANNING_WORDS)
+    return T.on_lower(prompt, lambda low: T.contains_any(low, P.PLANNING_WORDS))
 
 
 def tool_class(name: Column, research=P.RESEARCH_TOOLS, implementation=P.WRITE_TOOLS) -> Column:

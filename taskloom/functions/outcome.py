@@ -27,8 +27,13 @@ def _asks_about_fix(text: Column, pattern: str) -> Column:
 
 def outcome(text: Column) -> Column:
     """First rule that holds, as struct(category, evidence)."""
-    low = T.stripped(F.lower(text))
-    rule = F.when(T.is_generated(text), _outcome("system_continuation", "auto-generated"))
+    return F.when(T.is_generated(text), _outcome("system_continuation", "auto-generated")).otherwise(
+        T.on_lower(T.stripped(text), _person_outcome)
+    )
+
+
+def _person_outcome(low: Column) -> Column:
+    rule = F.when(F.lit(False), _outcome("", ""))
     for pattern, evidence in P.PLEASED:
         rule = rule.when(T.matches_low(low, pattern), _outcome("satisfaction", evidence))
     for pattern, evidence in P.DISPLEASED:
@@ -52,10 +57,9 @@ def task_outcome(next_text: Column) -> Column:
 
 def completion_signal(next_text: Column) -> Column:
     """Signal of the basic segmentation."""
-    low = F.lower(next_text)
-    return (
-        F.when(next_text.isNull(), "session_end")
-        .when(T.any_low(low, P.DONE_SIGNALS), "explicit_done")
+    signal = T.on_lower(next_text, lambda low: (
+        F.when(T.any_low(low, P.DONE_SIGNALS), "explicit_done")
         .when(T.any_low(low, P.UNHAPPY_SIGNALS), "user_dissatisfied")
         .otherwise("user_continues")
-    )
+    ))
+    return F.when(next_text.isNull(), "session_end").otherwise(signal)

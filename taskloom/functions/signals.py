@@ -11,17 +11,18 @@ from taskloom.functions import text as T
 
 def keyword_signals(next_text: Column, outcome_category: Column) -> Column:
     """C7 as a struct."""
-    low = F.lower(F.coalesce(next_text, F.lit("")))
-    pos = T.count_matching(low, P.POSITIVE_WORDS)
-    neg = T.count_matching(low, P.NEGATIVE_WORDS)
-    con = T.count_matching(low, P.CONTINUING_WORDS)
-    return F.struct(
-        outcome_category.alias("outcome_category"),
-        hit_confidence(pos + neg + con).alias("outcome_confidence"),
-        pos.alias("positive_hits"),
-        neg.alias("negative_hits"),
-        con.alias("continuation_hits"),
-    )
+    def hits(low: Column) -> Column:
+        return F.struct(
+            T.count_matching(low, P.POSITIVE_WORDS).alias("pos"),
+            T.count_matching(low, P.NEGATIVE_WORDS).alias("neg"),
+            T.count_matching(low, P.CONTINUING_WORDS).alias("con"))
+    def shaped(h: Column) -> Column:
+        return F.struct(
+            outcome_category.alias("outcome_category"),
+            hit_confidence(h["pos"] + h["neg"] + h["con"]).alias("outcome_confidence"),
+            h["pos"].alias("positive_hits"), h["neg"].alias("negative_hits"), h["con"].alias("continuation_hits"))
+    counted = T.on_lower(F.coalesce(next_text, F.lit("")), hits)
+    return F.element_at(F.transform(F.array(counted), shaped), 1)
 
 
 def hit_confidence(total: Column) -> Column:
@@ -30,14 +31,12 @@ def hit_confidence(total: Column) -> Column:
 
 def vote(text: Column, votes: dict[str, list[str]]) -> Column:
     """Category with most hits, first listed wins ties, null without a hit."""
-    low = F.lower(text)
-    best = F.array_max(
-        F.array(*[
+    def best(low: Column) -> Column:
+        return F.array_max(F.array(*[
             F.struct(T.count_matching(low, pats).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("c"))
-            for i, (name, pats) in enumerate(votes.items())
-        ])
-    )
-    return F.when(best["n"] > 0, best["c"])
+            for i, (name, pats) in enumerate(votes.items())]))
+    return F.element_at(F.transform(
+        F.array(T.on_lower(text, best)), lambda b: F.when(b["n"] > 0, b["c"])), 1)
 
 
 def normalised(quality: Column, work: Column, sentiment: Column) -> dict[str, Column]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,6 +73,15 @@ def matches_low(low: Column, pattern: str, ignore_case: bool = False) -> Column:
     return contains_any(low, [w.lower() if ignore_case else w for w in words]) & regex
 
 
+def on_lower(text: Column, rule: Callable[[Column], Column]) -> Column:
+    """``rule`` applied to the lower-case text, which is computed once per row.
+
+    A plain ``lower(text)`` inside a rule of a hundred branches would be
+    evaluated again in every branch.
+    """
+    return F.element_at(F.transform(F.array(F.lower(text)), rule), 1)
+
+
 def any_low(low: Column, pats: Iterable[str], ignore_case: bool = False) -> Column:
     return reduce(lambda x, y: x | y, [matches_low(low, p, ignore_case) for p in pats])
 

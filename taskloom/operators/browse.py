@@ -70,9 +70,10 @@ def similar_to(tasks: DataFrame, target: DataFrame, k: int = 5) -> DataFrame:
     """
     one = target.select(F.struct(
         "task_id", words(F.col("user_prompt")).alias("words"), "tools", "files")).scalar()
-    scored = tasks.withColumn("_t", one).where(F.col("task_id") != F.col("_t.task_id")).select(
+    split = tasks.select("task_id", "tools", "files", words(F.col("user_prompt")).alias("_words"))
+    scored = split.withColumn("_t", one).where(F.col("task_id") != F.col("_t.task_id")).select(
         "task_id",
-        similarity(F.col("_t.words"), words(F.col("user_prompt")), F.col("_t.tools"), F.col("tools"),
+        similarity(F.col("_t.words"), F.col("_words"), F.col("_t.tools"), F.col("tools"),
                    F.col("_t.files"), F.col("files")).alias("score"))
     return scored.orderBy(F.desc("score"), "task_id").limit(k)
 

@@ -187,8 +187,8 @@ def overlaps(edits: DataFrame, stage=None) -> DataFrame:
     first later edit that overwrites it; the overwriting edit still overlaps.
     """
     keep = stage or (lambda df, _name: df)
-    edits = keep(edits, "edits")
     rel = keep(text_relations(edits), "relations")
+    edits = edits.drop("old_string", "new_string")
     chunk = F.floor(F.col("seq") / 1000000 / 4096)
 
     placed = edits.where("adds").select(*FILE, "seq", "new_id", "msg_index", "task_id")
@@ -203,6 +203,7 @@ def overlaps(edits: DataFrame, stage=None) -> DataFrame:
     first_hit = S.ordered(
         asking.unionByName(hits), [*FILE, "old_id"], ["seq", "asks"], chunk, b=S.next_after(F.col("hit"))
     ).where("asks = 1 and b is not null").drop("hit", "asks")
+    first_hit = keep(first_hit, "hits")
 
     cleared = S.ordered(
         edits.where("adds or clears").select(*FILE, "seq", "adds", F.when(F.col("clears"), F.col("seq")).alias("c")),
@@ -254,7 +255,7 @@ def last_context(overlap: DataFrame, context: DataFrame, chunk_size: int = 4096)
 
 def edit_context(tasks: DataFrame, errors: DataFrame) -> DataFrame:
     """Context rows for J9 from task starts and errors."""
-    unhappy = tasks.where(T.any_low(F.lower("user_prompt"), P.DISSATISFIED_BETWEEN)).select(
+    unhappy = tasks.where(T.on_lower(F.col("user_prompt"), lambda low: T.any_low(low, P.DISSATISFIED_BETWEEN))).select(
         "session_id", F.col("msg_index_start").alias("msg_index"), F.lit("unhappy").alias("kind"))
     return unhappy.unionByName(errors.select("session_id", "msg_index", F.lit("error").alias("kind")))
 
@@ -397,8 +398,9 @@ def edit_signals(events: DataFrame, errors: DataFrame, tasks: DataFrame) -> Data
 
     per_file = e.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(
         F.sum("n").alias("events"), F.max("n").alias("max_chain_depth"))
-    out = tasks.select(*key, T.count_matching(
-        F.lower(F.coalesce("next_user_message", F.lit(""))), P.CORRECTION_WORDS).alias("user_corrections"))
+    out = tasks.select(*key, T.on_lower(
+        F.coalesce("next_user_message", F.lit("")), lambda low: T.count_matching(low, P.CORRECTION_WORDS)
+    ).alias("user_corrections"))
     for part in (per_file, again, recovered):
         out = out.join(part, key, "left")
     out = out.na.fill(0, ["events", "max_chain_depth", "self_corrections", "error_recoveries"])

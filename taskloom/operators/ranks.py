@@ -16,11 +16,17 @@ from taskloom.operators import scan as S
 
 
 def value_borders(counted: DataFrame, value: str, blocks: int) -> Column:
-    """Array of ``blocks*blocks - 1`` range borders as a scalar subquery."""
+    """Array of ``blocks*blocks - 1`` range borders as a scalar subquery.
+
+    All columns of ``counted`` stay in use, so the subquery reads the very
+    exchange that the scan reads instead of counting the rows once more.
+    """
     n = blocks * blocks
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    counts = [F.col(c) for c in counted.columns[counted.columns.index(value) + 1:]]
+    some = F.greatest(*counts) if len(counts) > 1 else counts[0]
     return counted.select(
-        F.percentile_approx(F.col(value), probs, F.lit(4 * n))
+        F.percentile_approx(F.when(some > 0, F.col(value)), probs, F.lit(4 * n))
     ).scalar()
 
 
@@ -49,9 +55,12 @@ def ranked(
     ``<name>_below``, ``<name>_size`` and ``<name>_amount``.
     """
     counts = counts or {}
-    typed = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn(
-        value, F.col(value).cast("double")
-    )
+    # Groups without a key are left out here, not by the join below: every branch
+    # then has the same counted rows and Spark reuses one exchange for all of them.
+    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    for g in groups:
+        known = known & F.col(g).isNotNull()
+    typed = df.where(known).withColumn(value, F.col(value).cast("double"))
     counted = typed.groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]
     )

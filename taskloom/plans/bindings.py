@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from taskloom.operators import scan as S
 from taskloom.operators import segment as G
-from taskloom.plans.registry import table
+from taskloom.plans.registry import spread, table
 
 
 def cohort(ident: str):
@@ -15,6 +15,14 @@ def cohort(ident: str):
     return F.when(F.pmod(F.col(ident), F.lit(2)) == 0, "a").otherwise("b").alias("cohort")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), "doc_id")
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "lineitem"), "l_orderkey")
+
+
 def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Message log: one conversation is one session, the turn is the message index."""
     return table(spark, folder, "conversations").select(
@@ -55,7 +63,7 @@ def block_tasks(spark: SparkSession, folder: str, hours: int = 4) -> DataFrame:
 def document_edits(spark: SparkSession, folder: str) -> DataFrame:
     """Edits: a source is a session with one file per language; every document is an edit that
     meets its own text and leaves it behind. Texts are whole."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("source").alias("session_id"), F.col("lang").alias("file_path"),
         F.concat_ws("-", "source", F.floor(F.col("doc_id") / 200).cast("string")).alias("task_id"),
         F.col("doc_id").alias("msg_index"), F.lit(0).alias("pos"), F.lit("Edit").alias("tool_name"),

@@ -27,6 +27,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than cores, for work that is heavy per row.
+
+    A large table has more splits than cores and is returned as it is. ``key``
+    is unique, and a hash by key needs no sort.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Last select of a query: whole numbers as long, fractions rounded."""
     out = []

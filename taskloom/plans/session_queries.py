@@ -17,7 +17,7 @@ from taskloom.operators import segment as G
 from taskloom.operators import tasks as TK
 from taskloom.operators import timing as TM
 from taskloom.plans import bindings as B
-from taskloom.plans.registry import BLANK, NW, any_hit, hit, query, quoted, table, tidy
+from taskloom.plans.registry import BLANK, NW, any_hit, hit, query, quoted, tidy
 
 # --- message log --------------------------------------------------------------
 SKIP = "|".join(p.replace("^", "") for p in P.SKIP_TAGS)
@@ -88,7 +88,7 @@ def next_user_message(spark, folder):
     select lang, outcome_category, count(*)::bigint as docs from o group by all""")
 def document_outcomes(spark, folder):
     """C1 over every document text."""
-    docs = table(spark, folder, "documents").withColumn("o", O.task_outcome(F.col("text")))
+    docs = B.documents(spark, folder).withColumn("o", O.task_outcome(F.col("text")))
     return docs.groupBy("lang", F.col("o.category").alias("outcome_category")).agg(F.count(F.lit(1)).alias("docs"))
 
 

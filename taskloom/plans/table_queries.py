@@ -21,7 +21,8 @@ from taskloom.operators import publish as PB
 from taskloom.operators import ranks as R
 from taskloom.operators import timing as TM
 from taskloom.operators import tokens as TOK
-from taskloom.plans.bindings import cohort, document_edits
+from taskloom.plans.bindings import cohort, document_edits, documents, lines
+from taskloom.sources.stage import stage as write_stage
 from taskloom.plans.registry import BLANK, any_hit, count_hits, hit, query, quoted, table, tidy
 
 
@@ -31,7 +32,7 @@ def parity(c: str) -> str:
 
 # --- tokens ---------------------------------------------------------------------
 def line_tasks(spark, folder):
-    return table(spark, folder, "lineitem").select(
+    return lines(spark, folder).select(
         cohort("l_orderkey"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("task_id"),
         F.col("l_returnflag").alias("complexity"), F.col("l_linestatus").alias("type"),
         F.col("l_quantity").cast("long").alias("total_input_tokens"),
@@ -115,7 +116,7 @@ def nearest_rank(spark, folder):
        + " from lineitem group by all")
 def summary_stats(spark, folder):
     """A8, A10 with the deviation."""
-    return tidy(R.summary_stats(table(spark, folder, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"), 4)
+    return tidy(R.summary_stats(lines(spark, folder), ["l_returnflag", "l_linestatus"], "l_extendedprice"), 4)
 
 
 @query("terciles", """with r as (select o_orderpriority, o_totalprice as v, row_number() over (partition by o_orderpriority order by o_totalprice) - 1 as i,
@@ -145,14 +146,14 @@ def tercile_bins(spark, folder):
         from documents group by lang, source""")
 def distribution(spark, folder):
     """A12."""
-    return tidy(D.distribution(table(spark, folder, "documents"), ["lang"], "source"))
+    return tidy(D.distribution(documents(spark, folder), ["lang"], "source"))
 
 
 @query("unknown_rate", """with d as (select lang, (n_chars < 300) as u from documents)
     select lang, count(*)::bigint as total, count_if(u)::bigint as unknown, round(100.0 * count_if(u) / count(*), 6) as unknown_pct from d group by rollup(lang)""")
 def unknown_rate(spark, folder):
     """Short documents count as unknown."""
-    d = table(spark, folder, "documents").withColumn("type", F.when(F.col("n_chars") < 300, "unknown").otherwise("known"))
+    d = documents(spark, folder).withColumn("type", F.when(F.col("n_chars") < 300, "unknown").otherwise("known"))
     return tidy(D.unknown_rate(d, "lang", "type"))
 
 
@@ -315,7 +316,7 @@ def join_coverage(spark, folder):
         from documents d left join labels l using (doc_id) group by all""")
 def label_coverage(spark, folder):
     """J4."""
-    return tidy(AN.coverage(table(spark, folder, "documents"), table(spark, folder, "labels"), ["doc_id"], ["lang"]))
+    return tidy(AN.coverage(documents(spark, folder), table(spark, folder, "labels"), ["doc_id"], ["lang"]))
 
 
 @query("reconcile", """with j as (select d.lang, d.source as type, case when l.doc_id is null then null when quality = 1 then 'feature' else '' end as t,
@@ -325,7 +326,7 @@ def label_coverage(spark, folder):
     select lang, final_type, type_source, count(*)::bigint as n from r group by all""")
 def reconcile(spark, folder):
     """J3, J13."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("task_id"), "lang", F.col("source").alias("type"))
+    docs = documents(spark, folder).select(F.col("doc_id").alias("task_id"), "lang", F.col("source").alias("type"))
     notes = table(spark, folder, "labels").select(
         F.col("doc_id").alias("task_id"), F.when(F.col("quality") == 1, "feature").otherwise("").alias("task_type"),
         F.when(F.col("toxic") == 1, "low").when(F.col("doc_id") % 2 == 0, "medium").otherwise("high").alias("task_type_confidence"))
@@ -337,7 +338,7 @@ def missing_types(spark, folder):
     """J14."""
     notes = table(spark, folder, "labels").select(
         F.col("doc_id").alias("task_id"), F.when(F.col("quality") == 1, "feature").otherwise("").alias("task_type"))
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("task_id"), F.col("text").alias("prompt"))
+    docs = documents(spark, folder).select(F.col("doc_id").alias("task_id"), F.col("text").alias("prompt"))
     return AN.missing_types(notes, docs).select("task_id", "prompt")
 
 
@@ -346,7 +347,7 @@ def missing_types(spark, folder):
     select cohort, count(*)::bigint as docs, count(distinct p)::bigint as projects from d where p in (select p from s) group by all""")
 def overlap_projects(spark, folder):
     """J11, U2."""
-    d = table(spark, folder, "documents").select(
+    d = documents(spark, folder).select(
         cohort("n_chars"), F.concat_ws("/", "source", "lang", F.floor(F.col("n_chars") / 500).cast("string")).alias("project_path"))
     kept = AB.restricted(d, ("a", "b"))
     return kept.groupBy("cohort").agg(F.count(F.lit(1)).alias("docs"), F.countDistinct("project_path").alias("projects"))
@@ -360,7 +361,7 @@ def overlap_projects(spark, folder):
     select task_id, round(score, 6) as score from s order by score desc, task_id limit 5""")
 def similar_docs(spark, folder):
     """The five documents most like the first one."""
-    d = table(spark, folder, "documents").select(
+    d = documents(spark, folder).select(
         F.col("doc_id").cast("string").alias("task_id"), F.col("text").alias("user_prompt"), F.array("lang").alias("tools"),
         F.col("n_chars").alias("files"), "doc_id")
     first = d.where(F.col("doc_id") == d.select(F.min("doc_id")).scalar())
@@ -396,7 +397,7 @@ def types_sql() -> str:
            round(case when len(t) = 0 then 0.15::double else least(1.0::double, len(t) * 0.3::double) end, 6) as confidence from h""")
 def task_type(spark, folder):
     """C3, C6."""
-    d = table(spark, folder, "documents").select("doc_id", C.task_types(F.col("text")).alias("t"))
+    d = documents(spark, folder).select("doc_id", C.task_types(F.col("text")).alias("t"))
     return tidy(d.select("doc_id", F.col("t")[0].alias("type"), F.size("t").alias("n_types"),
                          C.confidence(F.size("t"), F.col("t")[0]).alias("confidence")))
 
@@ -429,7 +430,7 @@ def vote_sql(votes, default: str) -> str:
 def keyword_vote(spark, folder):
     """C9, C10."""
     t = F.col("text")
-    d = table(spark, folder, "documents").select("lang", *[c.alias(n) for n, c in G.normalised(t, t, t).items()])
+    d = documents(spark, folder).select("lang", *[c.alias(n) for n, c in G.normalised(t, t, t).items()])
     return d.groupBy(*d.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -440,7 +441,7 @@ def keyword_vote(spark, folder):
            count(*)::bigint as docs, sum(p)::bigint as positive_hits, sum(n)::bigint as negative_hits, sum(c)::bigint as continuation_hits from h group by all""")
 def keyword_signals(spark, folder):
     """C7, A36 input."""
-    s = table(spark, folder, "documents").select("lang", G.keyword_signals(F.col("text"), F.lit("")).alias("k")).select("lang", "k.*")
+    s = documents(spark, folder).select("lang", G.keyword_signals(F.col("text"), F.lit("")).alias("k")).select("lang", "k.*")
     return tidy(s.groupBy("lang", F.col("outcome_confidence").alias("confidence"), G.keyword_sentiment(
         F.col("positive_hits"), F.col("negative_hits")).alias("keyword_sentiment")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum("positive_hits").alias("positive_hits"),
@@ -454,7 +455,7 @@ def keyword_signals(spark, folder):
     from d group by all""")
 def normalisation_coverage(spark, folder):
     """A45."""
-    d = table(spark, folder, "documents").select(
+    d = documents(spark, folder).select(
         "lang", F.col("text").alias("execution_quality"), F.col("text").alias("work_category"), F.col("text").alias("user_sentiment"))
     return tidy(AN.normalisation_coverage(d, ["lang"]))
 
@@ -477,7 +478,7 @@ def completion_norm(spark, folder):
         from documents join labels using (doc_id)) select lang, guess, count(*)::bigint as count from d group by all""")
 def type_agreement(spark, folder):
     """Confusion counts."""
-    d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+    d = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id").select(
         "lang", F.when(F.col("quality") == 1, "en").when(F.col("toxic") == 1, "unknown").otherwise("fr").alias("guess"))
     return AN.type_agreement(d, "lang", "guess", [])[1]
 
@@ -485,7 +486,7 @@ def type_agreement(spark, folder):
 # --- behaviour -----------------------------------------------------------------------
 def doc_tasks(spark, folder):
     n = F.col("n_chars")
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         cohort("doc_id"), F.col("source").alias("session_id"), F.concat(
             F.when(n % 7 == 0, "use agents to ").when(n % 7 == 1, "in parallel ").otherwise(""), "text").alias("user_prompt"),
         (n % 3).alias("subagent_count"), (n % 3 > 0).alias("used_subagents"), (n % 2).alias("run_in_background_count"),
@@ -539,7 +540,7 @@ CROSS = """j as (select lang, quality = 1 as planned, case when toxic = 0 then n
         round(100.0 * count(score) / count(*), 6) as coverage_pct from x group by all""")
 def planning_crosstab(spark, folder):
     """A24."""
-    d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+    d = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id").select(
         F.col("lang").alias("complexity"), (F.col("quality") == 1).alias("planned"),
         F.when(F.col("toxic") == 0, F.col("n_chars").cast("double")).alias("score"))
     return tidy(BH.planning_crosstab(d, []))
@@ -552,7 +553,7 @@ def planning_crosstab(spark, folder):
            0::bigint as interrupted, 0::bigint as failed from j group by all""")
 def subagent_outcomes(spark, folder):
     """A21."""
-    d = table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+    d = documents(spark, folder).join(table(spark, folder, "labels"), "doc_id").select(
         (F.col("n_chars") % 3 == 0).alias("has_subagent"),
         F.when(F.col("quality") == 1, "satisfied").when(F.col("toxic") == 1, "frustrated").otherwise("neutral").alias("normalized_user_sentiment"),
         (F.col("n_chars") % 5 + 1).alias("alignment_score"),
@@ -578,12 +579,12 @@ LIN = f"""d as (select source as session_id, lang as file_path, source || '-' ||
 @query("edit_lineage", f"with {LIN} select session_id, file_path, edit_a_index, edit_b_index, tier, ratio from ov")
 def edit_lineage(spark, folder):
     """Documents as successive edits of a (source, language) file, whole texts."""
-    found = E.overlaps(E.prepare(document_edits(spark, folder)))
+    found = E.overlaps(E.prepare(document_edits(spark, folder)), write_stage)
     return tidy(found.select("session_id", "file_path", "edit_a_index", "edit_b_index", "tier", "ratio"))
 
 
 def _context(spark, folder):
-    j = table(spark, folder, "labels").join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    j = table(spark, folder, "labels").join(documents(spark, folder).select("doc_id", "source"), "doc_id")
     base = j.select(F.col("source").alias("session_id"), F.col("doc_id").alias("msg_index"), "toxic", "quality")
     return base.where("toxic = 1").select("session_id", "msg_index", F.lit("error").alias("kind")).unionByName(
         base.where("quality = 0").select("session_id", "msg_index", F.lit("unhappy").alias("kind")))
@@ -598,7 +599,7 @@ CLS = f"""{LIN}, cx as (select source as session_id, doc_id as i, toxic, quality
 
 def _classified(spark, folder):
     edits = E.prepare(document_edits(spark, folder))
-    return edits, E.classify_overlaps(E.overlaps(edits), _context(spark, folder))
+    return edits, E.classify_overlaps(E.overlaps(edits, write_stage), _context(spark, folder))
 
 
 @query("edit_classes", f"with {CLS} select session_id, tier, classification, count(*)::bigint as n from c group by all")
@@ -639,7 +640,7 @@ def edit_bins(spark, folder):
     select session_id, b as edit_index, max(depth)::bigint as depth from walk group by all""")
 def edit_chain_depth(spark, folder):
     """W25."""
-    return tidy(E.chain_depths(E.overlaps(E.prepare(document_edits(spark, folder)))))
+    return tidy(E.chain_depths(E.overlaps(E.prepare(document_edits(spark, folder)), write_stage)))
 
 
 @query("edit_signals", f"""with d as (select source as session_id, doc_id // 200 as task_n, lang, doc_id, text from documents),
@@ -653,7 +654,7 @@ def edit_chain_depth(spark, folder):
            round(coalesce(s.n, 0) / events, 6) as rewrite_rate from t left join s using (session_id, task_n) left join er using (session_id, task_n)""")
 def edit_signals(spark, folder):
     """C8, J10."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     block = F.floor(F.col("doc_id") / 200)
     events = document_edits(spark, folder).withColumn("task_n", F.floor(F.col("msg_index") / 200))
     errors = docs.join(table(spark, folder, "labels").where("toxic = 1"), "doc_id").select(
@@ -672,7 +673,7 @@ DOC_CFG = Measurements(
 
 
 def labelled(spark, folder):
-    return table(spark, folder, "documents").join(table(spark, folder, "labels"), "doc_id").select(
+    return documents(spark, folder).join(table(spark, folder, "labels"), "doc_id").select(
         cohort("doc_id"), "lang", "source", "n_chars", F.col("toxic").cast("string").alias("toxic"),
         F.col("quality").cast("string").alias("quality"))
 
@@ -807,7 +808,7 @@ def bootstrap_median(spark, folder):
 @query("stratified_sample")
 def stratified_sample(spark, folder):
     """A tenth of the documents, proportional per language."""
-    docs = table(spark, folder, "documents").select("doc_id", "lang")
+    docs = documents(spark, folder).select("doc_id", "lang")
     return AB.stratified_sample(docs, "lang", "doc_id", 100)
 
 
@@ -833,7 +834,7 @@ def anonymise(spark, folder):
 def public_aggregates(spark, folder):
     """A22, C21, S11."""
     n = F.col("n_chars")
-    docs = table(spark, folder, "documents").select(
+    docs = documents(spark, folder).select(
         cohort("doc_id"), F.col("lang").alias("outcome_category"),
         F.struct(F.col("source").alias("complexity"), F.col("lang").alias("type")).alias("classification"),
         F.when(n % 3 == 0, "Satisfied user").when(n % 3 == 1, "dissatisfied").otherwise("unclear").alias("user_sentiment"),
@@ -847,7 +848,7 @@ def public_aggregates(spark, folder):
     select cohort, output, n::bigint as n, included::bigint as included, case when n <= 0 then 'empty' when n > included then 'too_many' else 'ok' end as status from c left join b using (cohort)""")
 def consistency(spark, folder):
     """A39."""
-    base = table(spark, folder, "documents").groupBy(cohort("doc_id")).agg(F.count(F.lit(1)).alias("included"))
+    base = documents(spark, folder).groupBy(cohort("doc_id")).agg(F.count(F.lit(1)).alias("included"))
     parts = None
     for name, ident in (("labels", "doc_id"), ("pages", "page_id"), ("events", "event_id")):
         one = table(spark, folder, name).groupBy(cohort(ident)).agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(name))
