@@ -213,6 +213,11 @@ def epoch_seconds(column: str) -> Column:
     ) / F.lit(1e6)
 
 
+def epoch_seconds_of(moment: Column) -> Column:
+    """``epoch_seconds`` for an expression of TIMESTAMP type in a UTC session."""
+    return F.unix_micros(moment) / F.lit(1e6)
+
+
 def seconds_between(start: str, end: str) -> Column:
     return F.expr(
         f"timestampdiff(MICROSECOND, cast({start} as timestamp_ntz), cast({end} as timestamp_ntz))"

@@ -109,3 +109,30 @@ CLEAN = [
     user("ok.", 1), agent(1.05, text("fine"), request="k2"),
     user("tell me about the last thing", 2),
 ]
+
+OLD = "def compute(a, b):\n    return a + b + 12345"
+NEW = "def compute(a, b):\n    total = a + b + 12345\n    return total * 2"
+NEWER = "def compute(a, b):\n    total = a - b - 54321\n    return total * 3"
+EDITS = [
+    user("please rewrite the compute function in the module", 0),
+    agent(1, tool("e1", "Edit", file_path="/p/m.py", old_string=OLD, new_string=NEW), request="b1", output_tokens=1),
+    result("e1", 1.1),
+    # exact re-edit in the same task: self-correction, kills the text of e1
+    agent(2, tool("e2", "Edit", file_path="/p/m.py", old_string=NEW, new_string=NEWER), request="b2", output_tokens=1),
+    result("e2", 2.1),
+    agent(3, tool("e3", "Bash", command="pytest"), request="b3", output_tokens=1),
+    result("e3", 3.1, "Traceback: it failed", True),
+    # after an error: error recovery
+    agent(4, tool("e4", "Edit", file_path="/p/m.py", old_string=NEWER, new_string=NEW), request="b4", output_tokens=1),
+    result("e4", 4.1),
+    # failed edit is counted, but is no lineage
+    agent(4.5, tool("e5", "Edit", file_path="/p/m.py", old_string=NEW, new_string="x" * 30), request="b5", output_tokens=1),
+    result("e5", 4.6, "no match", True),
+    user("that is wrong, undo it please", 6),
+    # another task after an unhappy message: user directed, old text contained in the live text
+    agent(7, tool("e6", "Edit", file_path="/p/m.py", old_string=NEW[19:], new_string="y" * 25), request="b6", output_tokens=1),
+    result("e6", 7.1),
+    # replace_all neither matches nor overwrites
+    agent(8, tool("e7", "Edit", file_path="/p/m.py", old_string=NEW, new_string="z" * 25, replace_all=True), request="b7", output_tokens=1),
+    result("e7", 8.1),
+]
