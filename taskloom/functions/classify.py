@@ -81,11 +81,9 @@ def domain_from_counts(counts: dict[str, Column]) -> Column:
 
 def domain_of_files(files: Column) -> Column:
     """C5 over an array column of paths."""
-    counts = {
-        name: F.size(F.filter(files, lambda p, name=name: domain_hits(p)[name]))
-        for name in P.DOMAINS
-    }
-    return domain_from_counts(counts)
+    def hits(name: str) -> Column:
+        return F.size(F.filter(files, lambda p: domain_hits(p)[name]))
+    return domain_from_counts({name: hits(name) for name in P.DOMAINS})
 
 
 def confidence(n_signals: Column, primary: Column) -> Column:

@@ -29,7 +29,7 @@ def percent(num: Column, den: Column) -> Column:
 
 def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Column, Column]:
     """T5: (proportion, lower, upper), clamped to [0, 1], zeros when n = 0."""
-    n = total.cast("double")
+    n = F.nullif(total.cast("double"), F.lit(0.0))
     p = successes.cast("double") / n
     den = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / den
@@ -49,11 +49,11 @@ def cohens_h(p1: Column, p2: Column) -> Column:
 
 def cohens_d(n1, mean1, var1, n2, mean2, var2) -> Column:
     """T7 from sufficient statistics; null for n < 2, 0 for no spread."""
-    pooled = F.sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2))
+    pooled = F.sqrt(F.try_divide((n1 - 1) * var1 + (n2 - 1) * var2, n1 + n2 - 2))
     return (
         F.when((n1 < 2) | (n2 < 2), F.lit(None).cast("double"))
         .when(pooled == 0, 0.0)
-        .otherwise((mean1 - mean2) / pooled)
+        .otherwise(F.try_divide(mean1 - mean2, pooled))
     )
 
 

@@ -77,7 +77,7 @@ def mann_whitney(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements, min
     values = _unpivot(_sides(df, cohorts, cfg), list(cfg.continuous), "double")
     table = R.ranked(values, TEST, "value", {"a": F.col("is_a"), "b": ~F.col("is_a")})
     v, n, a, b = (F.col(c) for c in ("value", "n", "a", "b"))
-    mean_a, mean_b = F.col("a_amount") / F.col("a_size"), F.col("b_amount") / F.col("b_size")
+    mean_a, mean_b = N.ratio(F.col("a_amount"), F.col("a_size")), N.ratio(F.col("b_amount"), F.col("b_size"))
     folded = table.groupBy(*TEST).agg(
         F.max("a_size").alias("n_a"), F.max("b_size").alias("n_b"),
         F.sum(a * (F.col("below") + (n + 1) / 2.0)).alias("rank_sum_a"),

@@ -104,8 +104,8 @@ def overlap_tier(new_len, old_len, new_in_old, old_in_new, shared, new_lines, ol
     """C17: (tier, ratio) of two different texts from their sizes and relations."""
     forward = new_in_old & (new_len >= 40) & (new_len / old_len >= 0.3)
     backward = old_in_new & (old_len >= 40) & (old_len / new_len >= 0.3)
-    jaccard = shared / (new_lines + old_lines - shared)
-    coverage = shared / old_lines
+    jaccard = F.try_divide(shared, new_lines + old_lines - shared)
+    coverage = F.try_divide(shared, old_lines)
     by_line = (shared > 0) & ((jaccard > 0.3) | (coverage > 0.5))
     tier = F.when(forward | backward, "containment").when(by_line, "line_overlap")
     ratio = (

@@ -103,6 +103,10 @@ def read_runs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 _STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]|\[(\w+)=([^\]]+)\]")
 
 
+def _has(key: str, value: str):
+    return lambda x: x[key].cast("string") == F.lit(value)
+
+
 def lookup(column: Column, path: str, names: dict[str, str] | None = None) -> Column:
     """Nested value by dotted path, e.g. ``{a}.tests[field=cost].p_value`` or ``rows[0].n``.
 
@@ -117,7 +121,7 @@ def lookup(column: Column, path: str, names: dict[str, str] | None = None) -> Co
         elif index:
             column = F.get(column, int(index))
         else:
-            column = F.get(F.filter(column, lambda x, k=key, v=value: x[k].cast("string") == F.lit(v)), 0)
+            column = F.get(F.filter(column, _has(key, value)), 0)
     return column
 
 
