@@ -31,18 +31,43 @@ LEVELS = [(1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 4, 1), (20, 12, 9), (64, 32, 33)]
 LONG_LEVELS = LEVELS[4:]
 
 
+_BASE = 1099511628211  # odd, so it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    factors = np.full(n + 1, base, dtype=np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors)
+
+
+def _window_min(values: np.ndarray, window: int) -> np.ndarray:
+    """Minimum of every window in linear time: running minima from both ends of blocks."""
+    n, pad = len(values), -len(values) % window
+    blocks = np.concatenate([values, np.full(pad, np.iinfo(values.dtype).max, values.dtype)]).reshape(-1, window)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[: n - window + 1], ahead[window - 1: n])
+
+
 def _anchors(text: str, gram: int, window: int) -> np.ndarray:
-    """Smallest gram hash of every window (winnowing), distinct."""
+    """Smallest gram hash of every window (winnowing), distinct.
+
+    Gram hashes are differences of prefix sums of a polynomial, brought to
+    position 0 by the inverse power.
+    """
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    if len(codes) < gram + window - 1:
+    n = len(codes) - gram + 1
+    if n < window:
         return np.empty(0, dtype=np.int64)
-    grams = np.lib.stride_tricks.sliding_window_view(codes, gram)
-    powers = np.cumprod(np.full(gram, 1099511628211, dtype=np.uint64))
-    hashes = (grams * powers).sum(axis=1, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes) - 1))])
+    hashes = (sums[gram:] - sums[:n]) * _powers(_INVERSE, n - 1)
     hashes ^= hashes >> np.uint64(29)
     hashes *= np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(32)
     if window > 1:
-        hashes = np.lib.stride_tricks.sliding_window_view(hashes, window).min(axis=1)
+        hashes = _window_min(hashes, window)
+        hashes = hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
     return np.unique(hashes).view(np.int64)
 
 
@@ -66,25 +91,33 @@ def contained_pairs(small: DataFrame, large: DataFrame, keys: list[str], levels=
 
     Both inputs hold ``keys, id, text`` with distinct texts. A small text looks
     up one anchor, a large text offers all of its anchors of the levels that
-    the small texts of its group ask for.
+    small texts ask for. The two meet on one 64-bit hash of group, level and
+    anchor; a chance meeting does not survive the comparison of the texts.
     """
     level = _level(F.length("text"), levels)
     probes = small.withColumn("level", level).where("level is not null")
-    asked = probes.select(*keys, "level").distinct()
-    offers = large.join(asked, keys)
+    asked = probes.where(F.length("text") < MIN_TEXT).select(*keys, "level").distinct()
+    present = probes.select(F.collect_set("level")).scalar()
     offer, probe = None, None
     for i, (least, gram, window) in enumerate(levels):
-        o = offers.where((F.col("level") == i) & (F.length("text") >= least)).select(
-            *keys, F.col("id").alias("large_id"), F.lit(i).alias("level"),
+        # Grams of a few characters are offered only where the own group asks for them.
+        if least < MIN_TEXT:
+            here = large.join(asked.where(F.col("level") == i).drop("level"), keys)
+        else:
+            here = large.where(F.array_contains(present, i))
+        o = here.where(F.length("text") >= least).select(
+            F.col("id").alias("large_id"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)],
             F.explode(anchors(F.col("text"), gram, window)).alias("anchor"),
         )
+        o = o.select("large_id", F.xxhash64(F.lit(i), "anchor", *[f"_k{n}" for n in range(len(keys))]).alias("meet"))
         p = probes.where(F.col("level") == i).select(
-            *keys, F.col("id").alias("small_id"), F.lit(i).alias("level"),
+            *keys, F.col("id").alias("small_id"),
             F.array_min(anchors(F.col("text"), gram, window)).alias("anchor"),
         )
+        p = p.select(*keys, "small_id", F.xxhash64(F.lit(i), "anchor", *keys).alias("meet"))
         offer = o if offer is None else offer.union(o)
         probe = p if probe is None else probe.union(p)
-    pairs = probe.join(offer, [*keys, "level", "anchor"]).select(*keys, "small_id", "large_id").distinct()
+    pairs = probe.join(offer, "meet").select(*keys, "small_id", "large_id").distinct()
     s = small.select(*keys, F.col("id").alias("small_id"), F.col("text").alias("_small"))
     g = large.select(*keys, F.col("id").alias("large_id"), F.col("text").alias("_large"))
     return (

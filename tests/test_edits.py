@@ -127,3 +127,13 @@ def test_anchor_guarantee():
             small = "".join(rng.choice("abé ") for _ in range(size))
             big = "".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) + small + "tail" * rng.randint(0, 5)
             assert min(E._anchors(small, gram, window)) in set(E._anchors(big, gram, window))
+
+
+def test_anchors_tell_texts_apart():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    other = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    for _least, gram, window in E.LONG_LEVELS:
+        mine = set(E._anchors(text, gram, window))
+        assert len(mine) >= (1500 - gram) / window - 1
+        assert not mine & set(E._anchors(other, gram, window))
