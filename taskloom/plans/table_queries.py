@@ -719,7 +719,7 @@ def priced_orders(spark, folder):
 def mann_whitney(spark, folder):
     """T3, T7."""
     out = AB.mann_whitney(priced_orders(spark, folder), ("F", "O"), ORDER_CFG).drop("test")
-    return tidy(tidy(out, 6).select(
+    return tidy(out.select(
         "slice", "field", F.round("statistic", 4).alias("statistic"), "effect", "n_a", "n_b",
         *[F.round(c, 4).alias(c) for c in ("ties", "mean_a", "mean_b", "std_a", "std_b", "median_a", "median_b")]))
 
