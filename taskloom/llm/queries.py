@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from taskloom.llm.jaccard import jaccard_components
+from taskloom.llm.substrings import digest, remove_repeats
 
 QUERIES = {}
 ORACLES = {}
@@ -22,6 +23,11 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, folder):
+    return digest(remove_repeats(table(spark, folder, "documents")))
+
+
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"))
