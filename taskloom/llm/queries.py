@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from taskloom.llm.jaccard import jaccard_components
+from taskloom.llm.quality import score
+from taskloom.llm.secrets import RULES, scan
+from taskloom.llm.sharding import shards
 from taskloom.llm.substrings import digest, remove_repeats
 
 QUERIES = {}
@@ -23,6 +28,22 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_secret_scan")
+def op1_secret_scan(spark, folder):
+    found = scan(table(spark, folder, "documents"), RULES)
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(line(base), 256).alias("base_sha256"),
+                        line(F.col("spans")).alias("spans"))
+
+
+@query("op4_quality_rules")
+def op4_quality_rules(spark, folder):
+    done = score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept")
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark, folder):
     return digest(remove_repeats(table(spark, folder, "documents")))
@@ -31,3 +52,8 @@ def op6_substring_dedup(spark, folder):
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op9_sharding")
+def op9_sharding(spark, folder):
+    return shards(table(spark, folder, "documents"))
