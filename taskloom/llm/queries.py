@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from taskloom.llm.jaccard import jaccard_components
+from taskloom.llm.mixing import mix
+from taskloom.llm.native import n_words
 from taskloom.llm.quality import score
 from taskloom.llm.secrets import RULES, scan
 from taskloom.llm.sharding import shards
@@ -54,6 +56,12 @@ def op7_jaccard_join(spark, folder):
     return jaccard_components(table(spark, folder, "documents"))
 
 
+@query("op8_mixing")
+def op8_mixing(spark, folder):
+    slim = table(spark, folder, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
+    return mix(slim).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
 @query("op9_sharding")
 def op9_sharding(spark, folder):
     return shards(table(spark, folder, "documents"))
