@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taskloom.llm.decontaminate import find
+from taskloom.llm.html import extract
 from taskloom.llm.jaccard import jaccard_components
 from taskloom.llm.mixing import mix
 from taskloom.llm.native import n_words
@@ -40,6 +42,16 @@ def op1_secret_scan(spark, folder):
                         line(F.col("spans")).alias("spans"))
 
 
+@query("op2_decontamination")
+def op2_decontamination(spark, folder):
+    return find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op3_html_extraction")
+def op3_html_extraction(spark, folder):
+    return extract(table(spark, folder, "pages"))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark, folder):
     done = score(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -56,8 +56,8 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         at = to
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of each text; a null text has none. ``lower`` folds A-Z only."""
+def split(texts: pa.Array, lower: bool = False, letters: bool = False) -> Words:
+    """Words of each text; a null text has none. ``lower`` folds A-Z only; ``letters`` ends words at all other ASCII signs."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + n + 1]
@@ -66,7 +66,10 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     offsets = offsets - offsets[0]
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    if letters:
+        inside = (data >= 128) | ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90))
+    else:
+        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) if len(data) else inside
@@ -74,10 +77,11 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     after = np.concatenate([inside[1:], [False]]) if len(data) else inside
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
     first = np.searchsorted(start, offsets)
-    return Words(data, start, end, first, _hash(data, inside, start))
+    return Words(data, start, end, first, hash_runs(data, inside, start))
 
 
-def _hash(data: np.ndarray, inside: np.ndarray, start: np.ndarray) -> np.ndarray:
+def hash_runs(data: np.ndarray, inside: np.ndarray, start: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Hash of each word, or of its first ``most`` bytes."""
     if not len(start):
         return np.zeros(0, np.uint64)
     low = start[0]
@@ -88,7 +92,7 @@ def _hash(data: np.ndarray, inside: np.ndarray, start: np.ndarray) -> np.ndarray
         power = np.cumprod(power)
         place = np.arange(len(data) - low) - np.repeat(start - low, span)
         value = (data[low:].astype(np.uint64) + np.uint64(1)) * power[place]
-        value[~inside[low:]] = 0
+        value[~inside[low:] if most is None else ~inside[low:] | (place >= most)] = 0
         return mix(np.add.reduceat(value, start - low))
 
 
