@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from taskloom.llm import toxicity
 from taskloom.llm.decontaminate import find
 from taskloom.llm.html import extract
 from taskloom.llm.jaccard import jaccard_components
@@ -58,6 +59,12 @@ def op4_quality_rules(spark, folder):
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept")
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark, folder):
+    done = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return done.select("doc_id", "held_out", "score", "predicted", F.size("offending").cast("long").alias("n_offending"))
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark, folder):
     return digest(remove_repeats(table(spark, folder, "documents")))
