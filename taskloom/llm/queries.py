@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from taskloom.llm import toxicity
+from taskloom.llm import lm, toxicity
 from taskloom.llm.decontaminate import find
 from taskloom.llm.html import extract
 from taskloom.llm.jaccard import jaccard_components
@@ -84,3 +84,8 @@ def op8_mixing(spark, folder):
 @query("op9_sharding")
 def op9_sharding(spark, folder):
     return shards(table(spark, folder, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark, folder):
+    return lm.score(table(spark, folder, "documents"))
