@@ -1,28 +1,68 @@
-"""From raw documents to balanced training shards, one operator per stage."""
+"""From raw documents to balanced training shards, one operator per stage.
+
+Every stage reads what its predecessor wrote and returns the columns of
+``documents``; the last returns where each row goes. Rows without an id pass the
+near-duplicate stage, which names documents by id; of rows that repeat an id
+and a text one stays there. The mixing stage repeats a document once per copy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskloom.llm import decontaminate, mixing, quality, sharding
 from taskloom.llm.jaccard import jaccard_components
 from taskloom.sources.stage import stage
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and look like the trusted ones."""
+    return quality.score(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents stays: the one with the smallest id."""
-    keep = jaccard_components(docs).where("doc_id = component_id or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    """One document of each group of linked documents: the one with the smallest id."""
+    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
+    kept = kept.dropDuplicates(["doc_id", "_crc"]).select(*docs.columns)
+    return kept.unionAll(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.mix(docs).where("copies > 0")
+    return taken.select(*docs.columns, F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every row."""
+    return sharding.shards(docs)
 
 
-STAGES = [("near duplicates", near_duplicates)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("source mixing", mix_sources),
+    ("sharding", into_shards),
+]
 
-#: Rounding and Newton steps have no SQL form; the stages are tested against brute force instead.
+#: The log ratio, the Newton steps and the rounding have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -104,10 +104,11 @@ def multipliers(sizes: DataFrame, goal: DataFrame, limit: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, limit: int = 2) -> DataFrame:
-    """docs with size, source_size, target, copies and taken."""
+    """docs with size, source_size, target, copies and taken. Without a text column, ``size`` is taken as given."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    if "size" not in docs.columns or "text" in docs.columns:
-        docs = docs.withColumn("size", n_words(F.col("text")))
+    text = "text" in docs.columns
+    docs = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"),
+                       (n_words(F.col("text")) if text else F.col("size").cast("long")).alias("size"))
     sizes = stage(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     goal = stage(targets(sources, weights, budget, limit), "targets")
@@ -123,8 +124,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, limit: int = 2) -
     totals = stage(rows.groupBy("source", "block").agg(F.sum("rate").alias("sum")), "blocks")
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("to"), F.col("block").alias("in"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
-    tie = ["doc_id"] + (["text"] if "text" in docs.columns else [])
-    inside = Window.partitionBy("source", "block").orderBy(F.desc("size"), *tie).rowsBetween(Window.unboundedPreceding, 0)
+    tie = ["row.text"] if text else []
+    inside = Window.partitionBy("source", "block").orderBy(F.desc("size"), "doc_id", *tie).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("rate").over(inside)).join(
         totals, F.col("source").eqNullSafe(F.col("to")) & (F.col("block") == F.col("in")))
     rows = stage(rows.withColumns({"to_here": F.col("before") + F.col("upto"), "to_last": F.col("before") + F.col("upto") - F.col("rate")}).drop(
@@ -136,4 +137,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, limit: int = 2) -
     best = sums.select(F.col("source").alias("to"), F.array_min(F.array(*[
         F.struct(F.abs(F.col(f"_{k}") - F.col("goal")).alias("off"), F.lit(x).alias("start")) for k, x in enumerate(starts)]))["start"].alias("start"))
     rows = rows.join(best, F.col("source").eqNullSafe(F.col("to"))).withColumn("copies", F.coalesce(copies("start"), F.lit(0)))
-    return rows.select(*own, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

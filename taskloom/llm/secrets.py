@@ -163,7 +163,8 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """docs without text, with spans: array of (start, kind, end), by start and then by the order of the rules."""
     kinds = [r.kind for r in rules]
     found = candidates(docs.select("doc_id", "text"), rules)
-    df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
+    own = [c for c in docs.columns if c not in ("text", "spans")]
+    df = docs.select(F.struct(*own).alias("row"), "doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     empty = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     parts = []
@@ -174,7 +175,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     order = F.create_map(*[x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(i))])
     every = F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"),
                                                              s["kind"].alias("kind"), s["end"].alias("end")))
-    return df.select(*[c for c in docs.columns if c not in ("text", "spans")], F.array_sort(every).alias("spans"))
+    return df.select("row.*", F.array_sort(every).alias("spans"))
 
 
 def run_of(rule: Rule) -> str:
