@@ -7,8 +7,9 @@ make one shingle). Two documents link when ``100 * |x & y| >= percent * |x | y|`
 2. A link forces a shared shingle among the first ``|x| - ceil(t |x|) + 1`` of
    each set in any order that all sets use. The order puts shingles last that
    ``COMMON`` texts or more hold, so boilerplate hardly ever brings sets together.
-3. Each set is compared with the set that most often leads its shingle groups
-   (stars); components of these links remove nearly all comparisons of copies.
+3. Each set is compared with the set of another component that most often leads
+   its shingle groups (stars, a few rounds); components of these links remove
+   nearly all comparisons of copies.
 4. Groups that still hold several components are cut into tiles by size band
    and block. In a tile the bit signatures of the sets bound each overlap from
    above (the bits of two parity signatures that differ are at most the
@@ -30,7 +31,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskloom.llm.components import components
@@ -40,8 +41,10 @@ from taskloom.sources.stage import stage
 
 #: A shingle that so many texts hold is common: it comes last in the order.
 COMMON = 32
-#: 64-bit words of a signature.
-SIGNATURE = 16
+#: Bits of a signature: of sets below LARGE shingles, and of larger ones.
+SMALL_BITS, LARGE_BITS, LARGE = 1024, 4096, 1500
+#: Rounds of stars before tiles.
+STARS = 2
 #: Sets of a tile's side.
 BLOCK = 1024
 
@@ -52,10 +55,20 @@ def _set_hash(u: np.ndarray) -> np.int64:
 
 
 def _signature(u: np.ndarray) -> bytes:
-    odd = np.bincount((u & np.uint64(64 * SIGNATURE - 1)).astype(np.int64), minlength=64 * SIGNATURE) & 1
+    bits = SMALL_BITS if len(u) < LARGE else LARGE_BITS
+    odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _bits(signatures) -> np.ndarray:
+    """Signatures as rows of 64-bit words; large ones are folded if small ones are among them."""
+    signatures = list(signatures)
+    least = min(map(len, signatures))
+    if all(len(x) == least for x in signatures):
+        return np.frombuffer(b"".join(signatures), np.uint64).reshape(len(signatures), -1)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, least // 8), axis=0) for x in signatures])
+
+
 def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """One row per document: doc_id, n_shingles, node (set hash), prefix (shingles that must meet), signature."""
     bits = part_bits(docs.sparkSession)
@@ -158,12 +171,14 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def bound(batches):
         for batch in batches:
             rows = []
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column("s_a").to_pylist()), np.uint64).reshape(-1, SIGNATURE)
-                y = np.frombuffer(b"".join(batch.column("s_b").to_pylist()), np.uint64).reshape(-1, SIGNATURE)
-                total = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                keep = possible(total, np.bitwise_count(x ^ y).sum(1), percent)
-                rows = list(zip(batch.column("a").to_numpy()[keep].tolist(), batch.column("b").to_numpy()[keep].tolist()))
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            for large in (False, True):
+                at = np.flatnonzero((np.minimum(n_a, n_b) >= LARGE) == large)
+                if len(at):
+                    x, y = (batch.column(c).take(pa.array(at)).to_pylist() for c in ("s_a", "s_b"))
+                    bits = _bits(x + y)
+                    keep = at[possible((n_a + n_b)[at], np.bitwise_count(bits[:len(at)] ^ bits[len(at):]).sum(1), percent)]
+                    rows += zip(batch.column("a").to_numpy()[keep].tolist(), batch.column("b").to_numpy()[keep].tolist())
             yield batch_of(rows, "a long, b long")
 
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a long, b long")
@@ -210,6 +225,21 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
     return stage(both.mapInArrow(meet, "a long, b long"), "links")
 
 
+def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return shared.withColumn("label", F.col("node"))
+    return shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def stars(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """For each set one set of another component: the one that leads most of its shingle groups."""
+    named = labelled(shared, labels)
+    heads = named.groupBy("shingle").agg(F.min(F.struct("label", "node")).alias("low"), F.max(F.struct("label", "node")).alias("high")).where(
+        "low.label < high.label")
+    met = named.join(heads, "shingle").select(F.col("node").alias("a"), F.expr("if(label = low.label, high.node, low.node)").alias("b"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("times")).groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
+
+
 def tiles(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components that a tile cannot rule out; mixed has (shingle, node, n_shingles, label)."""
     size = mixed.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -223,6 +253,10 @@ def tiles(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         "*", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i")).select(
         "shingle", "band", "i", F.col("block").alias("j"), F.lit(1).alias("side"), "node", "n_shingles", "label")
     cells = low.unionAll(high).withColumn("tile", F.xxhash64("shingle", "band", "i", "j"))
+    # tiles of one component are dropped while their rows are still slim
+    whole = Window.partitionBy("tile")
+    cells = cells.select("tile", "side", "node", "n_shingles", "label", F.min("label").over(whole).alias("l"), F.max("label").over(whole).alias("h"),
+                         F.min("side").over(whole).alias("s")).where("l < h and s = 0")
     cells = cells.join(nodes.select("node", "signature"), "node").select("tile", "side", "node", "n_shingles", "label", "signature")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(parts, "tile").sortWithinPartitions("tile", "side")
@@ -245,17 +279,18 @@ def _pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     if not len(pdf):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
     tile, side, node, size, label = (pdf[c].to_numpy() for c in ("tile", "side", "node", "n_shingles", "label"))
-    bits = np.frombuffer(b"".join(pdf["signature"]), np.uint64).reshape(-1, SIGNATURE)
+    signatures = pdf["signature"].to_numpy()
     cut = np.flatnonzero(np.diff(tile)) + 1
     out = []
     for a, b in zip([0, *cut], [*cut, len(tile)]):
         m = a + int(np.searchsorted(side[a:b], 1))
         right = slice(m, b)
+        bits = _bits(signatures[a:b]) if a < m < b else None
         for i in range(a, m):
             ok = (label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))
             at = np.flatnonzero(ok) + m
             if len(at):
-                at = at[possible(size[at] + size[i], np.bitwise_count(bits[at] ^ bits[i]).sum(1), percent)]
+                at = at[possible(size[at] + size[i], np.bitwise_count(bits[at - a] ^ bits[i - a]).sum(1), percent)]
                 out += [(min(node[i], x), max(node[i], x)) for x in node[at]]
     out = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
@@ -270,17 +305,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         F.first("signature").alias("signature"), F.max(F.col("doc_id").isNull()).alias("any_null")), "nodes")
     shared = postings(nodes, common, part_bits(docs.sparkSession))
 
-    leads = shared.groupBy("shingle").agg(F.min("node").alias("b"))
-    stars = shared.select("shingle", F.col("node").alias("a")).join(leads, "shingle").where("a <> b")
-    stars = stars.groupBy("a", "b").agg(F.count("*").alias("times")).groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
-    links = verify(stage(may_link(stars, nodes, percent), "stars"), docs, nodes, n, percent)
-    labels = stage(components(links), "labels")
+    links = labels = None
+    for _ in range(STARS):
+        found = verify(stage(may_link(stars(shared, labels), nodes, percent), "stars"), docs, nodes, n, percent)
+        if not found.take(1):
+            break
+        links = found if links is None else links.unionAll(found)
+        labels = stage(components(links), "labels")
 
-    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = labelled(shared, labels)
     several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     mixed = stage(named.join(several.select("shingle"), "shingle", "left_semi"), "mixed")
     more = verify(stage(tiles(mixed, nodes, percent), "tiles"), docs, nodes, n, percent)
-    labels = stage(components(links.unionAll(more)), "labels")
+    labels = stage(components(more if links is None else links.unionAll(more)), "labels")
 
     owner = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = owner.groupBy("label").agg(F.min("rep").alias("component_id"))
