@@ -55,11 +55,7 @@ def ranked(
     ``<name>_below``, ``<name>_size`` and ``<name>_amount``.
     """
     counts = counts or {}
-    # Groups without a key are left out here, not by the join below: every branch
-    # then has the same counted rows and Spark reuses one exchange for all of them.
     known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    for g in groups:
-        known = known & F.col(g).isNotNull()
     typed = df.where(known).withColumn(value, F.col(value).cast("double"))
     counted = typed.groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]

@@ -173,13 +173,16 @@ def ordered(
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[r.alone(r.inner(w)).alias(name) for name, r in running.items()])
-    part = [*keys, "_chunk"]
+    # inside a struct, a null key or chunk equals another one, so its rows stay
+    cut = df.withColumn("_chunk", F.struct(chunk.alias("at")))
+    if keys:
+        cut = cut.withColumn("_key", F.struct(*keys))
+    part = ["_key", "_chunk"] if keys else ["_chunk"]
     along = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    cut = df.withColumn("_chunk", chunk)
     summary = cut.groupBy(*part).agg(
         *[r.summary(along).alias(f"_s_{name}") for name, r in running.items()]
     )
-    between = W.partitionBy(*keys).orderBy("_chunk")
+    between = W.partitionBy(*part[:-1]).orderBy("_chunk")
     carry = summary.select(
         *part, *[r.inherit(F.col(f"_s_{name}"), between).alias(f"_c_{name}") for name, r in running.items()]
     )

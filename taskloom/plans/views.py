@@ -385,10 +385,9 @@ def idle_sensitivity(r: Results) -> DataFrame:
 # --- findings --------------------------------------------------------------------------
 @view
 def findings_summary(r: Results) -> DataFrame:
-    """Significant overall findings, and up to thirty others of the report."""
-    overall = r.findings.where("fdr_significant and cross_cut = 'overall'")
-    others = r.findings.where("fdr_significant and cross_cut <> 'overall'").orderBy("rank").limit(30)
-    return overall.unionByName(others).orderBy("rank")
+    """Overall findings: the significant ones first, then the others."""
+    overall = r.findings.where("cross_cut = 'overall'")
+    return overall.orderBy(F.desc(F.coalesce("fdr_significant", F.lit(False))), "rank")
 
 
 def findings_by_theme(r: Results, theme: str) -> DataFrame:
@@ -398,7 +397,8 @@ def findings_by_theme(r: Results, theme: str) -> DataFrame:
 
 @view
 def sensitivity(r: Results) -> DataFrame:
-    return AB.persisting(r.tests, r.restricted_tests)
+    overall = F.col("slice") == "overall"
+    return AB.persisting(r.tests.where(overall), r.restricted_tests.where(overall))
 
 
 @view

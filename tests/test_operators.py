@@ -218,3 +218,16 @@ def test_incremental_ingestion(spark, tmp_path):
     X.write_session(src, "p", "two", X.CLEAN)
     streaming.ingest(spark, f"{src}/*", str(out), str(cp)).awaitTermination()
     assert spark.read.parquet(str(out)).count() == first + len(X.CLEAN)
+
+
+def test_null_keys_and_chunks_keep_their_rows(spark):
+    from pyspark.sql import functions as F
+
+    from taskloom.operators import ranks, scan
+
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("a", None, 30.0), (None, 5, 1.0), (None, None, 2.0)], "k string, t int, v double")
+    out = scan.ordered(df, ["k"], ["t"], F.col("t") % 2, total=scan.overall(F.col("v"))).collect()
+    assert sorted((r.k or "", r.total) for r in out) == [("", 3.0), ("", 3.0), ("a", 60.0), ("a", 60.0), ("a", 60.0)]
+    got = ranks.ranked(df, ["k"], "v").collect()
+    assert sorted((r.k or "", r.v, r.below, r["size"]) for r in got) == [
+        ("", 1.0, 0, 2), ("", 2.0, 1, 2), ("a", 10.0, 0, 3), ("a", 20.0, 1, 3), ("a", 30.0, 2, 3)]
