@@ -70,11 +70,13 @@ def multipliers(sizes: DataFrame, goal: DataFrame, limit: int) -> DataFrame:
     """goal with lam: Newton steps on the dual of every source. sizes has (source, size, n)."""
     bound = 64.0
     state = stage(goal.select(
-        "source", "target", (F.col("source_size") / F.col("n")).alias("mean"), F.lit(0.0).alias("lam"),
+        "source", "target", (F.col("source_size") / F.col("n")).alias("mean"),
         F.lit(-bound).alias("low"), F.lit(bound).alias("high"),
         # nothing to solve: an empty source, or one taken whole
-        ((F.col("source_size") == 0) | (F.col("target") >= limit * F.col("source_size"))).alias("done")).withColumn(
-        "lam", F.when(F.col("done"), F.lit(bound)).otherwise(F.lit(0.0))), "dual")
+        ((F.col("source_size") == 0) | (F.col("target") >= limit * F.col("source_size"))).alias("done"),
+        # the multiplier that a source of texts of its mean size would need
+        F.greatest(F.lit(-bound / 2), F.least(F.lit(bound / 2), 2 * F.log(F.col("target") / F.col("source_size")))).alias("start")).select(
+        "*", F.when(F.col("done"), F.lit(bound)).otherwise(F.coalesce("start", F.lit(0.0))).alias("lam")).drop("start"), "dual")
     salts = 8
     sizes = stage(sizes.where("size > 0").withColumn("salt", F.expr(f"pmod(size, {salts})")), "sizes")
     for _ in range(STEPS):

@@ -14,6 +14,7 @@ from taskloom.llm.quality import score
 from taskloom.llm.secrets import RULES, scan
 from taskloom.llm.sharding import shards
 from taskloom.llm.substrings import digest, remove_repeats
+from taskloom.sources.stage import stage
 
 QUERIES = {}
 ORACLES = {}
@@ -78,7 +79,7 @@ def op7_jaccard_join(spark, folder):
 @query("op8_mixing")
 def op8_mixing(spark, folder):
     slim = table(spark, folder, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(slim).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    return mix(stage(slim, "document-sizes")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 @query("op9_sharding")
