@@ -14,8 +14,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-EXACT_STATES = 4_000_000
-
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2.0))
@@ -52,24 +50,46 @@ def chi_square_sf(x: float, dof: float) -> float:
     return gamma_q(dof / 2.0, x / 2.0)
 
 
+def _partitions(small: int) -> tuple[int, list[int]]:
+    """(period, numerator): the numbers of partitions of at most k into parts of at most ``small`` have
+    the generating function numerator(q) / (1 - q**period)**(small + 1)."""
+    period = math.lcm(*range(1, small + 1))
+    top = np.zeros((small + 1) * period, object)
+    top[0] = 1
+    for part in [1, *range(1, small + 1)]:
+        # times (1 - q**period) / (1 - q**part)
+        for r in range(part):
+            top[r::part] = np.cumsum(top[r::part])
+        top[period:] = top[period:] - top[:-period]
+    return period, top.tolist()
+
+
 def exact_u_upper(u: float, n1: int, n2: int) -> float:
-    """P(U >= u) without ties: coefficients of the Gaussian binomial (n1 + n2 choose n1)."""
+    """P(U >= u) without ties, in whole numbers and a number of steps that does not depend on the larger side.
+
+    U <= k counts partitions of at most k into ``small`` parts of at most ``large``;
+    the upper bound of the parts is taken in by inclusion and exclusion.
+    """
     small, large = min(n1, n2), max(n1, n2)
-    counts = np.zeros(small * large + 1)
-    counts[0] = 1.0
+    period, top = _partitions(small)
+
+    def unbounded(k: int) -> int:
+        return sum(top[j] * math.comb((k - j) // period + small, small) for j in range(k % period, min(k + 1, len(top)), period))
+
+    # weight by which each total of large + i, i distinct in 1..small, goes in
+    terms = {0: 1}
     for i in range(1, small + 1):
-        step = large + i
-        counts[step:] -= counts[:-step].copy() if step < len(counts) else 0
-        for r in range(i):
-            counts[r::i] = np.cumsum(counts[r::i])
-    return float(counts[math.ceil(u):].sum() / counts.sum())
+        for total, sign in list(terms.items()):
+            terms[total + large + i] = terms.get(total + large + i, 0) - sign
+    k = small * large - math.ceil(u)
+    return sum(sign * unbounded(k - total) for total, sign in terms.items() if total <= k) / math.comb(small + large, small)
 
 
 def mann_whitney_p(u: float, n1: float, n2: float, ties: float) -> float:
     """Two-sided: exact when one side has at most 8 values and there are no ties,
     else normal with tie and continuity correction."""
     top = max(u, n1 * n2 - u)
-    if ties == 0 and min(n1, n2) <= 8 and n1 * n2 <= EXACT_STATES:
+    if ties == 0 and min(n1, n2) <= 8:
         return min(1.0, 2 * exact_u_upper(top, int(n1), int(n2)))
     n = n1 + n2
     spread = math.sqrt(max(0.0, n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))))

@@ -67,19 +67,31 @@ def mean_interval(df: DataFrame, keys: list[str], value: str, ident: str, resamp
     return grouped.groupBy(*keys).applyInPandas(interval, schema)
 
 
+def beta_i(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_i(b, a, 1 - x)
+    scale = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or tiny)
+    h, m, change = d, 0, 0.0
+    while abs(change - 1) > 1e-14:
+        m += 1
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            change = c * d
+            h *= change
+    return scale * h
+
+
 def _tail(n: int, k: int, need: int) -> float:
     """P(Binomial(n, k / n) >= need)."""
     if k >= n:
         return 1.0
     if k <= 0:
         return 0.0
-    p = k / n
-    if n > 2000:
-        z = (need - 0.5 - k) / math.sqrt(n * p * (1 - p))
-        return 0.5 * math.erfc(z / math.sqrt(2))
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p)
-           + (n - i) * math.log1p(-p) for i in range(need, n + 1)]
-    return float(sum(math.exp(x) for x in log))
+    return beta_i(need, n - need + 1, k / n)
 
 
 def median_ranks(n: int, alpha: float = 0.05) -> tuple[int, int]:

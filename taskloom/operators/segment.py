@@ -63,7 +63,7 @@ def with_outcome(starts: DataFrame) -> DataFrame:
     """W3 + C1."""
     return starts.withColumn("_o", O.task_outcome(F.col("next_text"))).select(
         *starts.columns,
-        F.substring(F.coalesce("next_text", F.lit("")), 1, 500).alias("next_user_message"),
+        F.coalesce("next_text", F.lit("")).alias("next_user_message"),
         F.col("_o.category").alias("outcome_category"),
         F.col("_o.evidence").alias("outcome_evidence"),
     )
@@ -78,7 +78,7 @@ def basic_segments(marked: DataFrame) -> DataFrame:
     signal = O.completion_signal(F.col("next_text"))
     return starts.select(
         "task_id", "session_id", "task_n",
-        F.substring("prompt", 1, 500).alias("user_prompt"),
+        F.col("prompt").alias("user_prompt"),
         signal.alias("completion_signal"),
         (signal != "user_dissatisfied").alias("appears_successful"),
         "msg_index_start", "msg_index_end",

@@ -59,9 +59,8 @@ def tool_calls(blocks: DataFrame) -> DataFrame:
         F.when(name == "Write", T.line_count(content)).when(name == "Edit", T.line_count(new))
         .otherwise(0).alias("lines_added"),
         F.when(name == "Edit", T.line_count(old)).otherwise(0).alias("lines_removed"),
-        F.when(name == "Bash", F.substring(command, 1, 100)).otherwise("").alias("command"),
-        F.when(name == "Grep", F.substring(pattern, 1, 50)).when(name == "Glob", pattern)
-        .otherwise("").alias("pattern"),
+        F.when(name == "Bash", command).otherwise("").alias("command"),
+        F.when(name.isin("Grep", "Glob"), pattern).otherwise("").alias("pattern"),
         F.coalesce(chars, F.lit(0)).alias("input_chars"),
         F.when(name == "Edit", F.length(old) + F.length(new)).otherwise(0).alias("edit_chars"),
         F.when(name.isin("Write", "NotebookEdit"),
@@ -98,25 +97,20 @@ def errors(results: DataFrame) -> DataFrame:
     """Tool results that failed or read like an error."""
     return results.where(
         F.col("is_tool_error") | ((F.length("text") > 0) & C.looks_like_error(F.col("text")))
-    ).select(*KEY, "msg_index", F.substring("text", 1, 200).alias("text"), "is_tool_error")
+    ).select(*KEY, "msg_index", "text", "is_tool_error")
 
 
-def edit_events(calls: DataFrame, results: DataFrame, max_chars: int | None = 200,
-                keep_content: bool = False) -> DataFrame:
+def edit_events(calls: DataFrame, results: DataFrame, keep_content: bool = False) -> DataFrame:
     """Edit calls matched to their first later result.
 
     The event belongs to the task open when the result arrived. Calls without a
-    result are dropped. ``max_chars`` cuts the stored strings as the log
-    extraction does; ``None`` keeps them whole.
+    result are dropped. Strings are kept whole.
     """
-    def cut(c: Column) -> Column:
-        return c if max_chars is None else F.substring(c, 1, max_chars)
-
     is_edit = F.col("name") == "Edit"
     uses = calls.where(F.col("name").isin("Edit", "Write") & (F.col("file") != "")).select(
         "session_id", "tool_use_id", F.col("name").alias("tool_name"), F.col("file").alias("file_path"),
-        F.when(is_edit, cut(F.col("old_string"))).otherwise("").alias("old_string"),
-        F.when(is_edit, cut(F.col("new_string"))).otherwise("").alias("new_string"),
+        F.when(is_edit, F.col("old_string")).otherwise("").alias("old_string"),
+        F.when(is_edit, F.col("new_string")).otherwise("").alias("new_string"),
         (is_edit & F.col("replace_all")).alias("replace_all"),
         "msg_index", "pos", "ts",
     )
@@ -319,7 +313,7 @@ def task_flags(prompt: Column, is_meta: Column, project: Column, compactions_bef
 
 
 def build(messages: DataFrame, meta_project: str | None = None, home_project: str = "",
-          max_edit_chars: int | None = 200, stage=write_stage) -> TaskTables:
+          stage=write_stage) -> TaskTables:
     """A2, A3, A5: canonical tasks before plan merging, plus their event tables.
 
     Tables that several branches read (marked messages, calls, results) are
@@ -329,7 +323,7 @@ def build(messages: DataFrame, meta_project: str | None = None, home_project: st
     blocks = explode_blocks(marked)
     calls = stage(tool_calls(blocks), "calls")
     results = stage(tool_results(blocks), "results")
-    edits = edit_events(calls, results, max_edit_chars)
+    edits = edit_events(calls, results)
     bad = errors(results)
     reqs = requests(marked, calls)
     comp = compactions(marked)
@@ -362,7 +356,7 @@ def build(messages: DataFrame, meta_project: str | None = None, home_project: st
     meta = project.contains(meta_project) if meta_project else F.lit(False)
     tasks = (
         wide.withColumn("duration_seconds", F.coalesce(S.seconds_between("start_ts", "end_ts"), F.lit(0.0)))
-        .withColumn("user_prompt", F.substring("prompt", 1, 500))
+        .withColumn("user_prompt", F.col("prompt"))
         .withColumn("is_meta", F.coalesce(meta, F.lit(False)))
         .withColumn("exclude_reason", exclude_reason(
             F.col("user_prompt"), F.col("outcome_category"), F.col("tool_count"), F.col("duration_seconds")))

@@ -95,7 +95,7 @@ def document_outcomes(spark, folder):
 CLEAN_SQL = f"""with {marked_sql()},
     c as (select s.*, (select count(*) from m where m.session_id = s.session_id and m.role = 'assistant'
                         and m.msg_index between s.msg_index_start and s.msg_index_end) as tools,
-                 {outcome_case('next_text', True)} as outcome, trim(substring(text, 1, 500), {BLANK}) as p from s),
+                 {outcome_case('next_text', True)} as outcome, trim(text, {BLANK}) as p from s),
     x as (select *, case
         when regexp_matches(p, '^<command-(?:name|message)>|^/[\\p{{L}}\\p{{N}}_]+') then 'slash_command'
         when outcome = 'system_continuation'
@@ -109,7 +109,7 @@ CLEAN_SQL = f"""with {marked_sql()},
       union all select cohort, 'status', case when reason = '' then 'included' else 'excluded' end from x
       union all select cohort, 'reason', reason from x where reason <> ''
       union all select cohort, 'flag', 'no_project' from x where reason = '' and conv_id % 7 = 0
-      union all select cohort, 'flag', 'interrupted' from x where reason = '' and contains(substring(text, 1, 500), '[Request interrupted')
+      union all select cohort, 'flag', 'interrupted' from x where reason = '' and contains(text, '[Request interrupted')
       union all select cohort, 'flag', 'meta' from x where reason = '' and conv_id % 5 = 0)
     select cohort, kind, name, count(*)::bigint as count from k group by all"""
 
@@ -121,7 +121,7 @@ def cleaning_report(spark, folder):
     work = marked.where("task_n > 0").groupBy("session_id", "task_n").agg(
         F.count_if(F.col("type") == "assistant").alias("tool_count"))
     starts = G.with_outcome(G.task_starts(marked)).join(work, ["session_id", "task_n"])
-    prompt = F.substring("prompt", 1, 500)
+    prompt = F.col("prompt")
     project = F.when(F.col("session_id").cast("long") % 7 != 0, F.lit("some-project")).otherwise("")
     checked = starts.withColumn("exclude_reason", TK.exclude_reason(
         prompt, F.col("outcome_category"), F.col("tool_count"), F.col("msg_index_end") - F.col("msg_index_start")))

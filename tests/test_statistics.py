@@ -154,3 +154,18 @@ def test_sensitivity_labels(spark):
     df = spark.createDataFrame(rows, "f double, r double, fs boolean, rs boolean")
     got = [r[0] for r in df.select(AB.agreement(F.col("f"), F.col("r"), F.col("fs"), F.col("rs"))).collect()]
     assert got == ["agree", "weak", "DIVERGE", "agree"]
+
+
+def test_exact_u_has_no_size_limit():
+    near = PV.exact_u_upper(6_000, 8, 1_000)
+    assert PV.exact_u_upper(6_000_000_000, 8, 1_000_000_000) == pytest.approx(near, rel=0.05)
+    assert PV.mann_whitney_p(7_999_999, 8, 1_000_000, 0) == pytest.approx(2 * 2 / math.comb(1_000_008, 8))
+
+
+def test_binomial_tail_is_one_formula_at_every_size():
+    for n in (3, 4, 101, 2001, 2500):
+        for k in range(1, n, max(1, n // 7)):
+            p, need = k / n, n // 2 + 1
+            exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p)
+                                 + (n - i) * math.log1p(-p)) for i in range(need, n + 1))
+            assert B._tail(n, k, need) == pytest.approx(exact, abs=1e-9)

@@ -126,3 +126,22 @@ def test_nested_row(tables):
     row = tasks.nested(t).where("task_id = 'basic-task-1'").first()
     assert [c["name"] for c in row.tool_calls] == ["Read", "Read", "Edit"]
     assert row.request_timings[0]["tool_count"] == 3
+
+
+def test_texts_stay_whole(spark, tmp_path):
+    head = "x = 1  # the same beginning\n" * 40
+    prompt = "please " * 200 + "[Request interrupted by user]"
+    X.write_session(tmp_path, "p", "long", [
+        X.user(prompt, 0),
+        X.agent(1, X.tool("a", "Edit", file_path="f", old_string=head + "first", new_string=head + "second"),
+                X.tool("b", "Bash", command="echo " * 100 + "end")),
+        X.result("a", 2), X.result("b", 3, "error: " + "y" * 400 + "tail", True),
+        X.user("thanks, " + "very well " * 100 + "done", 4),
+    ])
+    t = tasks.canonical(stage(logs.read_messages(spark, str(tmp_path))))
+    first = t.tasks.where("task_n = 1").first()
+    assert first.user_prompt == prompt and "interrupted" in first.flags
+    assert first.next_user_message.endswith("done")
+    edit = t.edits.first()
+    assert (edit.old_string, edit.new_string) == (head + "first", head + "second")
+    assert t.errors.first()["text"].endswith("tail")
