@@ -125,13 +125,17 @@ def explore_phase(calls: DataFrame, tasks: DataFrame, key: list[str], write_tool
 
 
 # --- W22, W23, A30 -----------------------------------------------------------
-def first_requests(requests: DataFrame, task: list[str], order: str) -> DataFrame:
-    """``is_first`` of each task and ``n`` requests, from one partial aggregate."""
-    head = requests.groupBy(*task).agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("request_n"))
-    return requests.join(head, task).withColumn("is_first", F.col(order) == F.col("_first")).drop("_first")
+def first_requests(requests: DataFrame, task: list[str], order: list[str]) -> DataFrame:
+    """``is_first`` of each task and ``n`` requests, from one partial aggregate.
+
+    ``order`` ends with what tells requests of one time apart, so that each task has one first request.
+    A request without a time is never the first.
+    """
+    head = requests.groupBy(*task).agg(F.min(F.when(F.col(order[0]).isNotNull(), F.struct(*order))).alias("_first"), F.count(F.lit(1)).alias("request_n"))
+    return requests.join(head, task).withColumn("is_first", F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))).drop("_first")
 
 
-def cold_warm(requests: DataFrame, task: list[str], order: str, group: list[str]) -> DataFrame:
+def cold_warm(requests: DataFrame, task: list[str], order: list[str], group: list[str]) -> DataFrame:
     """First request against the later ones, tasks with at least two requests."""
     r = first_requests(requests, task, order).where("request_n >= 2")
     first = F.col("is_first")
@@ -147,7 +151,7 @@ def cold_warm(requests: DataFrame, task: list[str], order: str, group: list[str]
 def request_timing(tasks: DataFrame, requests: DataFrame, key: list[str], group: list[str]) -> DataFrame:
     """Statistics of turn time, request time, first request and model-time share, as long rows."""
     timed = requests.withColumn("seconds", S.seconds_between("first_ts", "last_ts")).where("seconds >= 0")
-    firsts = first_requests(timed, key, "first_index")
+    firsts = first_requests(timed, key, ["first_index", "request_id"])
     named = tasks.select(*key, *group, "turn_duration_ms", "duration_seconds")
     req = firsts.join(named.select(*key, *group), key).select(
         *group, F.explode(F.array_compact(F.array(

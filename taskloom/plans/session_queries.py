@@ -274,7 +274,7 @@ def request_usage(spark, folder):
 
 
 @query("cold_warm_cache", f"""with {EV}, n as (select *, row_number() over w as nth, count(*) over (partition by session_id, day) as n from e
-        window w as (partition by session_id, day order by ts))
+        window w as (partition by session_id, day order by ts, event_id))
     select cohort, count_if(nth = 1)::bigint as tasks_analyzed,
            round(avg(case when nth = 1 then value end), 6) as avg_first_write, round(avg(case when nth > 1 then value end), 6) as avg_later_write,
            round(avg(case when nth = 1 then k end), 6) as avg_first_read, round(avg(case when nth > 1 then k end), 6) as avg_later_read,
@@ -283,7 +283,7 @@ def request_usage(spark, folder):
 def cold_warm_cache(spark, folder):
     """Every event is a request of its user-day."""
     e = B.event_calls(spark, folder).withColumn("cache_write", F.col("value")).withColumn("cache_read", F.col("k"))
-    return tidy(TM.cold_warm(e, TASK, "at_s", ["cohort"]))
+    return tidy(TM.cold_warm(e, TASK, ORDER, ["cohort"]))
 
 
 STATS_OUT = """count(v)::bigint as count, round(avg(v), 6) as mean, round(median(v), 6) as median,

@@ -231,3 +231,11 @@ def test_null_keys_and_chunks_keep_their_rows(spark):
     got = ranks.ranked(df, ["k"], "v").collect()
     assert sorted((r.k or "", r.v, r.below, r["size"]) for r in got) == [
         ("", 1.0, 0, 2), ("", 2.0, 1, 2), ("a", 10.0, 0, 3), ("a", 20.0, 1, 3), ("a", 30.0, 2, 3)]
+
+
+def test_one_first_request_per_task(spark):
+    d = spark.createDataFrame([("t", 1.0, "b"), ("t", 1.0, "a"), ("t", 2.0, "c"), ("u", None, "x"), ("u", 3.0, "y"), ("w", None, "z")],
+                              "task string, at double, id string")
+    got = TM.first_requests(d, ["task"], ["at", "id"])
+    assert sorted((r.task, r.id) for r in got.where("is_first").collect()) == [("t", "a"), ("u", "y")]
+    assert got.where("not is_first").count() == 4
