@@ -2,7 +2,8 @@
 
 A document is a bag of sentences (ended by ``. ! ?`` or a line break). A
 logistic model scores a sentence from the words it holds: each word gives
-itself and its first 4 to 8 bytes as features, letters folded. The score of a
+itself and its first 4 to 8 bytes as features, letters folded. A sentence without
+a screened feature adds exactly nothing; of others counts what exceeds it. The score of a
 document is the noisy-or of its sentences, ``1 - prod(1 - p)``, so a document is
 as toxic as its worst sentences and its label teaches the sentences that explain
 it. The same sentence scores then locate the offending ones.
@@ -36,8 +37,10 @@ FEATURES = 20_000
 LEAN = 5.0
 ROUNDS = 30
 PREFIXES = (4, 5, 6, 7, 8)
-#: Log odds of a sentence without any screened feature; fixed, so that long clean texts stay clean.
+#: Log odds of a sentence without any screened feature; what a sentence has beyond them counts.
 BIAS = -10.0
+#: Sentences whose log odds of BIAS stand for the label of a training document that nothing else explains.
+LEAK = 1000
 THRESHOLD = 0.3
 PARTS = 8
 
@@ -85,6 +88,12 @@ def sentence_scores(weights: np.ndarray, sentence: np.ndarray, feature: np.ndarr
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def excess(p: np.ndarray) -> np.ndarray:
+    """What sentences add to a document: nothing at BIAS or below, so that no length makes a text toxic."""
+    floor = sentence_scores(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)[0]
+    return np.where(p > floor * (1 + 1e-9), (p - floor) / (1 - floor), 0.0)
+
+
 def noisy_or(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(row, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
@@ -198,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             total = np.zeros(size)
             for toxic, row, sentence, feature in _bags(batches):
                 p = sentence_scores(sent.value, sentence, feature, len(row))
-                whole = np.maximum(noisy_or(p, row, len(toxic)), 1e-9)
+                n = np.minimum(np.bincount(row, minlength=len(toxic)), LEAK)
+                whole = np.maximum(1 - np.exp(n * np.log1p(-1 / (1 + np.exp(-BIAS)))) * (1 - noisy_or(excess(p), row, len(toxic))), 1e-9)
                 pull = p * np.where(toxic[row] == 1, 1 - 1 / whole[row], 1.0)
                 total += np.bincount(feature, pull[sentence], minlength=size)
             yield batch_of([(total.tobytes(),)], "v binary")
@@ -224,7 +234,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             for part in slices(b):
                 row, sentence, kinds, at = sentences(part.column("text"))
-                p = sentence_scores(weights, *lookup.find(sentence, kinds), len(row)) if len(row) else np.zeros(0)
+                p = excess(sentence_scores(weights, *lookup.find(sentence, kinds), len(row))) if len(row) else np.zeros(0)
                 whole = noisy_or(p, row, part.num_rows) if len(row) else np.zeros(part.num_rows)
                 found = [[] for _ in range(part.num_rows)]
                 texts, sizes = {}, np.cumsum([0] + [len((t.as_py() or "").encode()) for t in part.column("text")]) if (p >= THRESHOLD).any() else None

@@ -211,6 +211,19 @@ def test_toxicity(spark, odd):
     assert len(few) == odd.count() and all(r.predicted == 0 for r in few)
 
 
+def test_toxicity_of_long_clean_texts(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    clean = ". ".join(f"clean{i} words" for i in range(20_000)) + "."
+    docs = spark.createDataFrame([(1, clean), (2, clean + " you idiot."), (3, "you idiot."), (4, "clean words.")], "doc_id long, text string")
+    _, _, kinds, _ = toxicity.sentences(pa.array(["idiot"]))
+    monkeypatch.setattr(toxicity, "fit", lambda *_: (np.sort(kinds[0]), np.array([12.0])))
+    got = {r.doc_id: r for r in rows(toxicity.score(docs, None))}
+    assert got[1].score == got[4].score == 0 and got[1].predicted == 0 and got[1].offending == []
+    assert got[2].score == pytest.approx(got[3].score) and got[2].predicted == got[3].predicted == 1 and len(got[2].offending) == 1
+
+
 def test_lm(spark, documents, odd):
     for df in (documents, odd):
         data = [(r.doc_id, r.text) for r in rows(df.select("doc_id", "text"))]
