@@ -183,6 +183,28 @@ def test_html():
     assert len(main_text("<p>" + LONG)) == len(LONG)
 
 
+def test_html_names_and_siblings():
+    first, second = "First, with many, many words of the text. " * 9, "Second, also of some length, with words of the text. " * 9
+    text = f"{first}{second}".strip()
+    for mark in ("id=page class=has-sidebar", "class='content with-sidebar'", "class='post comments-open'", "class='layout sidebar'"):
+        body = f"<p>{first}</p><p>{second}</p>"
+        side = "<div class=sidebar><p>Some words aside.</p></div><div class=comments><p>Nice.</p></div>"
+        assert main_text(f"<body><div {mark}>{body}{side}</div></body>") == text
+        assert main_text(f"<body><div {mark}><article>{body}</article>{side}</div></body>") == text
+    page = f"<article><div class=article-header><h1>Title</h1></div><p>{first}</p><p class=notice>Mind this.</p><p>{second}</p></article>"
+    assert main_text(page) == f"Title {first}Mind this. {second}".strip()
+    widgets = "".join(f"<div class=widget><p>{x}</p></div>" for x in (first, second))
+    assert main_text(f"<body><div class=x>{widgets}</div></body>") == text
+    plain = "words " * 25
+    page = (f"<body><section><p>{first}</p><p>{second}</p></section><section><h3>More</h3><p>{plain}</p></section><h3>End</h3><p>Short.</p>"
+            "<ul><li>item</ul><ul><li><a href=x>link</a></ul></body>")
+    assert main_text(page) == f"{text} More {plain}End Short. item"
+    talk = f"<div class=comments>{f'<p>{second}</p>' * 5}</div>"
+    assert main_text(f"<body><div id=content><p>{first}</p><p>{second}</p></div>{talk}</body>") == text
+    rows_ = "".join(f"<div class=row><section><p>{x}</p></section></div>" for x in (first, second))
+    assert main_text(f"<body><div class=c>{rows_}</div></body>") == text
+
+
 def test_html_pages(spark):
     got = {r.page_id: r for r in rows(extract(table(spark, "pages")))}
     assert len(got) == table(spark, "pages").count()
