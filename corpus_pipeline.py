@@ -1,9 +1,9 @@
 """From raw documents to balanced training shards, one operator per stage.
 
 Every stage reads what its predecessor wrote and returns the columns of
-``documents``; the last returns where each row goes. Rows without an id pass the
-near-duplicate stage, which names documents by id; of rows that repeat an id
-and a text one stays there. The mixing stage repeats a document once per copy.
+``documents``; the last returns where each row goes. The near-duplicate stage
+knows rows by id and text, so null and repeated ids are deduplicated as others
+are. The mixing stage repeats a document once per copy.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm import decontaminate, mixing, quality, sharding
-from taskloom.llm.jaccard import jaccard_components
+from taskloom.llm.jaccard import representatives
 from taskloom.sources.stage import stage
 
 
@@ -26,11 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the smallest id."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").withColumn("_crc", F.crc32(F.coalesce("text", F.lit(""))))
-    kept = kept.dropDuplicates(["doc_id", "_crc"]).select(*docs.columns)
-    return kept.unionAll(docs.where("doc_id is null"))
+    """One row of each group of linked documents: the smallest id, nulls last. Without words and id, every row is a group."""
+    keep = stage(representatives(docs).toDF("_id", "_hash", "_single"), "representatives")
+    kept = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")))
+    kept = kept.withColumn("_row", F.when(F.col("_single"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")))
+    return kept.dropDuplicates(["_id", "_hash", "_row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _bits(signatures) -> np.ndarray:
 
 
 def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row per document: doc_id, n_shingles, node (set hash), prefix (shingles that must meet), signature."""
+    """One row per document: doc_id, text_hash, n_shingles, node (set hash), prefix (shingles that must meet), signature."""
     bits = part_bits(docs.sparkSession)
 
     def every(batches):
@@ -83,25 +83,25 @@ def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         yield from pack_counts((h for h in every(batches) if len(h)), bits)
 
     common = repeated_filter(docs.select("text").mapInArrow(packed, COUNTS), COMMON, bits)
-    schema = "doc_id long, n_shingles long, node long, prefix binary, signature binary"
+    schema = "doc_id long, text_hash long, n_shingles long, node long, prefix binary, signature binary"
 
     def build(batches):
         last = common.value
         for batch in batches:
             for part in slices(batch):
-                ids = part.column("doc_id").to_pylist()
+                ids, texts = part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist()
                 rows = []
                 for row, u in shingles(split(part.column("text"), lower=True), n):
                     if not len(u):
-                        rows.append((ids[row], 0, None, None, None))
+                        rows.append((ids[row], texts[row], 0, None, None, None))
                         continue
                     behind = hits(last, u)
                     need = len(u) - -(-percent * len(u) // 100) + 1
                     front = np.concatenate([u[~behind], u[behind]])[:need]
-                    rows.append((ids[row], len(u), int(_set_hash(u)), front.tobytes(), _signature(u)))
+                    rows.append((ids[row], texts[row], len(u), int(_set_hash(u)), front.tobytes(), _signature(u)))
                 yield batch_of(rows, schema)
 
-    return stage(docs.select("doc_id", "text").mapInArrow(build, schema), "sets"), common
+    return stage(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(build, schema), "sets"), common
 
 
 def postings(nodes: DataFrame, common, bits: int) -> DataFrame:
@@ -296,8 +296,8 @@ def _pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def linked_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles and node of every row, (node, label of its component, component_id) of every set)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     every, common = sets(docs, n, percent)
     nodes = stage(every.where("node is not null").groupBy("node").agg(
@@ -321,6 +321,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     owner = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = owner.groupBy("label").agg(F.min("rep").alias("component_id"))
-    owner = stage(owner.join(least, "label").select("node", "component_id"), "owners")
-    return every.select("doc_id", "n_shingles", "node").join(owner, "node", "left").select(
+    owner = stage(owner.join(least, "label").select("node", "label", "component_id"), "owners")
+    return every.select("doc_id", "text_hash", "n_shingles", "node"), owner
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    every, owner = linked_sets(docs, n, percent)
+    return every.join(owner.drop("label"), "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, text_hash, single) of one row per component: the smallest id, nulls last, then the smallest text hash.
+
+    Rows that link with nothing for want of words are all listed, once per (doc_id, text_hash);
+    ``single`` marks those without an id, each of which is a component.
+    """
+    every, owner = linked_sets(docs, n, percent)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    # rows of one set shrink to one before they meet their component
+    least = every.where("node is not null").groupBy("node").agg(F.min(row).alias("row")).join(owner, "node").groupBy("label").agg(F.min("row").alias("row"))
+    empty = every.where("node is null").select("doc_id", "text_hash", F.col("doc_id").isNull().alias("single")).distinct()
+    return least.select("row.doc_id", "row.text_hash", F.lit(False).alias("single")).unionAll(empty)

@@ -91,3 +91,13 @@ def test_pipeline_odd_rows(spark, odd):
     for _, step in corpus_pipeline.STAGES[2:]:
         docs = step(spark, docs, SF)
     assert docs.count() > 0
+
+
+def test_pipeline_null_and_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(3, a), (5, b), (5, a), (5, b), (None, a), (None, b + " more"), (None, c), (None, c), (None, c + " more"), (8, c + " end"), (None, " "),
+            (None, " "), (9, None), (9, None), (None, "only one"), (None, "only one")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in rows(corpus_pipeline.near_duplicates(spark, docs, SF))]
+    expected = [(3, a), (5, b), (8, c + " end"), (None, " "), (None, " "), (9, None), (None, "only one")]
+    assert sorted(kept, key=str) == sorted(expected, key=str)
