@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from taskloom.config import Measurements
 from taskloom.functions import numbers as N
@@ -207,18 +208,63 @@ def measure_by_slice(tests: DataFrame, field: str, prefix: str) -> DataFrame:
         F.substring_index("slice", ":", -1).alias("value"), "median_a", "median_b", "mean_a", "mean_b", "n_a", "n_b")
 
 
-def stratified_sample(df: DataFrame, stratum: str, ident: str, n: int, seed: int = 42) -> DataFrame:
-    """About n rows, proportional per stratum and at least one each.
+def quotas(sizes: DataFrame, stratum: str, n: Column) -> DataFrame:
+    """sizes (stratum, size) with ``quota``: n seats in all, or all rows if there are fewer.
 
-    Rows are ordered by a hash of (id, seed); the quota is a share of the
-    stratum, so the rank comes from ``ranks`` and no stratum meets in one task.
+    A stratum gets the whole part of its share of n, at least one, and the seats
+    left over go to the largest remainders. Where the ones alone overdraw n,
+    every stratum gets one and the others go by largest remainder over what the
+    strata have left. With fewer seats than strata the largest strata get one.
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.col(ident), F.lit(seed)).cast("double"))
-    table = R.ranked(hashed, [stratum], "_h")
-    total = df.select(F.count(F.lit(1))).scalar()
-    quota = F.greatest(F.lit(1), F.floor(F.lit(n) * F.col("size") / F.col("_total")))
-    picked = table.withColumn("_total", total).where(F.col("below") < quota).select(stratum, "_h")
-    return hashed.join(picked, [stratum, "_h"], "left_semi").drop("_h")
+    whole = sizes.agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("strata")).select(F.struct("total", "strata")).scalar()
+    known = sizes.withColumn("_all", whole).withColumn("_seats", F.least(n, F.col("_all.total")))
+
+    def shares(seats: Column, size: Column, total: Column) -> tuple[Column, Column]:
+        """Whole part and remainder of seats * size / total, exact at every size."""
+        product, some = seats.cast("decimal(38,0)") * size, F.greatest(total, F.lit(1))
+        part = F.when(seats > 0, F.floor(product / some)).otherwise(0).cast("long")
+        return part, ((product - part * some) / some).cast("double")
+
+    part, over = shares(F.col("_seats"), F.col("size"), F.col("_all.total"))
+    rest, left = F.col("_seats") - F.col("_all.strata"), F.col("_all.total") - F.col("_all.strata")
+    tight_part, tight_over = shares(rest, F.col("size") - 1, left)
+    both = known.withColumns({"_part": F.greatest(part, F.lit(1)), "_over": F.when(part > 0, over).otherwise(0.0),
+                              "_tight": 1 + tight_part, "_tight_over": tight_over})
+    sums = both.agg(F.struct(F.sum("_part").alias("part"), F.sum("_tight").alias("tight"))).scalar()
+    both = both.withColumn("_sums", sums)
+    loose, enough = F.col("_sums.part") <= F.col("_seats"), rest >= 0
+    score = F.when(loose, F.col("_over")).when(enough, F.col("_tight_over")).otherwise(F.col("size") / F.col("_all.total"))
+    given = F.when(loose, F.col("_part")).when(enough, F.col("_tight")).otherwise(0)
+    spare = F.col("_seats") - F.when(loose, F.col("_sums.part")).when(enough, F.col("_sums.tight")).otherwise(0)
+    placed = S.ordered(both.select(stratum, "size", given.alias("_given"), spare.alias("_spare"), (-score).alias("_score"),
+                                   F.col(stratum).isNull().alias("_null")),
+                       [], ["_score", "_null", stratum], F.floor(F.col("_score") * 256), _place=S.position())
+    return placed.select(stratum, "size", (F.col("_given") + (F.col("_place") <= F.col("_spare")).cast("long")).alias("quota"))
+
+
+def stratified_sample(df: DataFrame, stratum: str, ident: str, n: int | None = None, share: float | None = None, seed: int = 42,
+                      eligible: Column | None = None, taken: DataFrame | None = None) -> DataFrame:
+    """Exactly n rows (or a share of them), by stratum, at least one of each; a null stratum is one of them.
+
+    Only rows for which ``eligible`` holds and whose id is not in ``taken`` take
+    part. A stratum gives the rows whose MD5 of (id, seed) is smallest. Hashes
+    are counted by their first three digits; only the rows of the one block in
+    which a stratum reaches its quota are ever sorted.
+    """
+    pool = df if eligible is None else df.where(eligible)
+    if taken is not None:
+        pool = pool.join(taken.select(F.col(ident)).distinct(), ident, "left_anti")
+    pool = pool.withColumn("_h", F.md5(F.concat_ws(":", F.col(ident).cast("string"), F.lit(str(seed))))).withColumn("_block", F.substring("_h", 1, 3))
+    counts = pool.groupBy(stratum, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counts.groupBy(stratum).agg(F.sum("_n").alias("size"))
+    seats = F.lit(n).cast("long") if n is not None else F.ceil(F.lit(share) * sizes.agg(F.sum("size")).scalar()).cast("long")
+    before = Window.partitionBy(stratum).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows of a stratum at most
+    cut = S.join_keys(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))), quotas(sizes, stratum, seats), [stratum])
+    cut = cut.where("_before < quota").select(stratum, "_block", (F.col("quota") - F.col("_before")).alias("_need"), "_n")
+    kept = S.join_keys(pool, cut, [stratum, "_block"])
+    within = Window.partitionBy(stratum, "_block").orderBy("_h", ident)
+    last = kept.where("_need < _n").withColumn("_place", F.row_number().over(within)).where("_place <= _need")
+    return kept.where("_need >= _n").select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def shuffled_sample(df: DataFrame, ident: str, n: int, seed: int = 42) -> DataFrame:

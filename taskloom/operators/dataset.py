@@ -74,7 +74,7 @@ def distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
         total = counts.agg(F.sum("count").alias("n")).select("n").scalar()
         return counts.withColumn("pct", percent(F.col("count"), total))
     totals = counts.groupBy(*keys).agg(F.sum("count").alias("_n"))
-    return counts.join(totals, keys).withColumn("pct", percent(F.col("count"), F.col("_n"))).drop("_n")
+    return S.join_keys(counts, totals, keys).withColumn("pct", percent(F.col("count"), F.col("_n"))).drop("_n")
 
 
 def side_by_side(df: DataFrame, key: list[str], value: str, cohorts: tuple[str, str]) -> DataFrame:

@@ -194,6 +194,12 @@ def ordered(
     )
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which a null key meets a null key; the keys come from ``left``."""
+    other = right.select(F.struct(*keys).alias("_key"), *[c for c in right.columns if c not in keys])
+    return left.withColumn("_key", F.struct(*keys)).join(other, "_key", how).drop("_key")
+
+
 def index_chunk(column: str, size: int = 4096) -> Column:
     """At most ``size`` message indexes per chunk."""
     return F.floor(F.col(column) / size)

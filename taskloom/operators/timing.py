@@ -132,7 +132,7 @@ def first_requests(requests: DataFrame, task: list[str], order: list[str]) -> Da
     A request without a time is never the first.
     """
     head = requests.groupBy(*task).agg(F.min(F.when(F.col(order[0]).isNotNull(), F.struct(*order))).alias("_first"), F.count(F.lit(1)).alias("request_n"))
-    return requests.join(head, task).withColumn("is_first", F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))).drop("_first")
+    return S.join_keys(requests, head, task).withColumn("is_first", F.coalesce(F.struct(*order) == F.col("_first"), F.lit(False))).drop("_first")
 
 
 def cold_warm(requests: DataFrame, task: list[str], order: list[str], group: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from taskloom.functions import patterns as P
 from taskloom.functions.numbers import percent, ratio0
 from taskloom.operators import bootstrap as B
 from taskloom.operators import ranks as R
+from taskloom.operators import scan as S
 
 
 def expand_groups(tasks: DataFrame, levels: dict[str, str], always: list[str]) -> DataFrame:
@@ -74,21 +75,16 @@ def token_report(tasks: DataFrame, levels: dict[str, str], ident: str = "task_id
     expanded = expand_groups(tasks, levels, list(always))
     out = token_stats(expanded, keys, prices)
     for value, name in (("estimated_cost", "cost"), ("total_output_tokens", "output_tokens")):
-        median = R.quantiles(expanded, keys, value, {f"median_{name}": 0.5})
-        ci = B.mean_interval(expanded, keys, value, ident, 2000, by_index=True).select(
-            *keys, F.col("ci_lower").alias(f"{name}_ci_lower"), F.col("ci_upper").alias(f"{name}_ci_upper"))
-        out = out.join(median, keys, "left").join(ci, keys, "left")
-    per_request = expanded.withColumn(
-        "_o", ratio0(F.col("total_output_tokens"), F.col("request_count")))
-    ci = B.mean_interval(per_request, keys, "_o", ident, 2000, by_index=True).select(
-        *keys, F.col("ci_lower").alias("per_request_ci_lower"), F.col("ci_upper").alias("per_request_ci_upper"))
-    return out.join(ci, keys, "left")
+        out = S.join_keys(out, R.quantiles(expanded, keys, value, {f"median_{name}": 0.5}), keys, "left")
+    per_request = expanded.withColumn("_o", ratio0(F.col("total_output_tokens"), F.col("request_count")))
+    named = {"cost": "estimated_cost", "output_tokens": "total_output_tokens", "per_request": "_o"}
+    found = B.mean_intervals(per_request, keys, list(named.values()), ident, 2000, by_index=True)
+    ends = [F.col(v)[f"ci_{e}"].alias(f"{name}_ci_{e}") for name, v in named.items() for e in ("lower", "upper")]
+    return S.join_keys(out, found.select(*keys, *ends), keys, "left")
 
 
 def thinking_config(marked: DataFrame) -> DataFrame:
     """A5: thinking setting in force when a task starts: the last one seen in the session."""
-    from taskloom.operators import scan as S
-
     setting = F.when(F.col("has_thinking_meta"), F.struct("thinking_disabled", "max_thinking_tokens"))
     seen = S.ordered(marked, ["session_id"], ["msg_index"], S.index_chunk("msg_index"), _cfg=S.latest(setting))
     return seen.where("is_start").select(

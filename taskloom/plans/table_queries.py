@@ -793,23 +793,69 @@ def sensitivity(spark, folder):
         "slice", "field", "full_diff", "restricted_diff", "full_significant", "restricted_significant", "agreement"))
 
 
-@query("bootstrap_mean")
+def drawn(rows: str, keys: str, values: list[str], resamples: int) -> str:
+    """SQL of the resample sums: the counter hash over MD5 words, Poisson weights, weighted sums by (keys, b)."""
+    mask = 4294967295
+    weight = " + ".join(f"(h >= {t})::int" for t in BS.POISSON)
+    return f"""w0 as (select *, ('0x' || substr(md5(ident || ':42'), 1, 8))::ubigint as lo, ('0x' || substr(md5(ident || ':42'), 9, 8))::ubigint as hi from {rows}),
+    w1 as (select {keys}, {', '.join(values)}, hi, b, (lo + b::ubigint * {BS.STEP}) & {mask} as h from w0, range(1, {resamples + 1}) r(b)),
+    w2 as (select * replace (xor(h, h >> 16) * {BS.FIRST} & {mask} as h) from w1),
+    w3 as (select * replace (xor(xor(h, h >> 13), hi) * {BS.SECOND} & {mask} as h) from w2),
+    w4 as (select * exclude (h, hi), {weight.replace('h >=', 'xor(h, h >> 16) >=')} as w from w3),
+    dr as (select {keys}, b, sum(w) as w, {', '.join(f'sum(w * {v}) as {v}' for v in values)} from w4 group by all)"""
+
+
+@query("bootstrap_mean", f"""with o as (select o_orderstatus, o_totalprice::double as v, o_orderkey::varchar as ident from orders),
+    {drawn('o', 'o_orderstatus', ['v'], 5000)},
+    q as (select o_orderstatus, quantile_cont(v / w, 0.025) as lo, quantile_cont(v / w, 0.975) as hi from dr where w > 0 group by all),
+    n as (select o_orderstatus, count(*) as n, avg(v) as mean from o group by all)
+    select o_orderstatus, n::bigint as n, round(mean, 4) as mean, round(lo, 4) as ci_lower, round(hi, 4) as ci_upper from n join q using (o_orderstatus)""")
 def bootstrap_mean(spark, folder):
-    """Interval of the mean order price."""
-    return BS.mean_interval(table(spark, folder, "orders"), ["o_orderstatus"], "o_totalprice", "o_orderkey")
-
-
-@query("bootstrap_median")
+    """Interval of the mean order price."""
+    return tidy(BS.mean_interval(table(spark, folder, "orders"), ["o_orderstatus"], "o_totalprice", "o_orderkey"), 4)
+
+
+@query("token_intervals", f"""with t as (select {parity('l_orderkey')} as cohort, l_returnflag as complexity, l_linestatus as type, l_orderkey || '-' || l_linenumber as ident,
+        (l_extendedprice / 1000)::double as cost, floor(l_extendedprice)::double as outp, floor(l_extendedprice)::double / l_linenumber as per from lineitem),
+    {drawn('t', 'cohort, complexity, type', ['cost', 'outp', 'per'], 2000)},
+    g as (select cohort, b, 'overall' as "grouping", 'all' as group_value, sum(w) as w, sum(cost) as cost, sum(outp) as outp, sum(per) as per from dr group by all
+          union all select cohort, b, 'complexity', complexity, sum(w), sum(cost), sum(outp), sum(per) from dr group by all
+          union all select cohort, b, 'type', type, sum(w), sum(cost), sum(outp), sum(per) from dr group by all),
+    s as (select cohort, "grouping", group_value, list_sort(list(cost / w)) as c, list_sort(list(outp / w)) as o, list_sort(list(per / w)) as p from g where w > 0 group by all)
+    select cohort, "grouping", group_value, {', '.join(f"round({v}[floor(len({v}) * {p}::double)::int + 1], 4) as {name}_ci_{e}" for v, name in (('c', 'cost'), ('o', 'output_tokens'), ('p', 'per_request')) for p, e in ((0.025, 'lower'), (0.975, 'upper')))} from s""")
+def token_intervals(spark, folder):
+    """Bootstrap intervals of the token report over the grouping sets."""
+    report = TOK.token_report(line_tasks(spark, folder), LEVELS)
+    return tidy(report.select("cohort", "grouping", "group_value", *[
+        f"{name}_ci_{e}" for name in ("cost", "output_tokens", "per_request") for e in ("lower", "upper")]), 4)
+
+
+@query("bootstrap_median", """with o as (select o_orderstatus as s, o_totalprice::double as v, row_number() over (partition by o_orderstatus order by o_totalprice) - 1 as i from orders),
+    n as (select s, count(*) as n, median(v) as median from o group by all),
+    k as (select s, n, unnest(range(greatest(1, (n / 2 - 3 * sqrt(n))::bigint), least(n, (n / 2 + 3 * sqrt(n))::bigint + 1))) as k from n),
+    j as (select *, unnest(range(n // 2 + 1, n + 1)) as j from k),
+    t as (select s, k, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(k / n) + (n - j) * ln(1 - k / n))) as tail from j group by all),
+    r as (select s, min(k) filter (tail >= 0.025) - 1 as lo, min(k) filter (tail >= 0.975) - 1 as hi from t group by all)
+    select n.s as o_orderstatus, n::bigint as n, round(median, 4) as median, round((select v from o where o.s = r.s and i = lo), 4) as ci_lower,
+           round((select v from o where o.s = r.s and i = hi), 4) as ci_upper from n join r using (s)""")
 def bootstrap_median(spark, folder):
-    """Interval of the median order price."""
-    return BS.median_interval(table(spark, folder, "orders"), ["o_orderstatus"], "o_totalprice")
-
-
-@query("stratified_sample")
+    """Interval of the median order price; the SQL sums the binomial tail term by term."""
+    return tidy(BS.median_interval(table(spark, folder, "orders"), ["o_orderstatus"], "o_totalprice"), 4)
+
+
+@query("stratified_sample", """with d as (select doc_id, lang, source, md5(doc_id || ':42') as h from documents where n_chars > 20),
+    z as (select source, count(*) as size from d group by all),
+    w as (select *, sum(size) over () as total, ceil(0.1::double * sum(size) over ())::bigint as n from z),
+    b as (select *, (n::hugeint * size) // total as part, ((n::hugeint * size) % total)::double as over from w),
+    q as (select *, greatest(part, 1) + (row_number() over (order by case when part > 0 then over else 0 end desc, source is null, source)
+          <= n - sum(greatest(part, 1)) over ())::int as quota from b),
+    r as (select d.*, quota, row_number() over (partition by d.source order by h, doc_id) as place from d join q on d.source is not distinct from q.source)
+    select doc_id, lang, source from r where place <= quota""")
 def stratified_sample(spark, folder):
-    """A tenth of the documents, proportional per language."""
-    docs = documents(spark, folder).select("doc_id", "lang")
-    return AB.stratified_sample(docs, "lang", "doc_id", 100)
+    """A tenth of the documents that hold something, proportional per source."""
+    docs = documents(spark, folder)
+    picked = AB.stratified_sample(docs, "source", "doc_id", share=0.1, eligible=F.col("n_chars") > 20)
+    return picked.select("doc_id", "lang", "source")
 
 
 # --- publication -----------------------------------------------------------------------------

@@ -149,6 +149,93 @@ def test_stratified_sample(spark):
     assert got == {"big": 90, "small": 9, "one": 1}
 
 
+def brute_quotas(sizes, n):
+    total, strata = sum(sizes.values()), len(sizes)
+    n = min(n, total)
+    order = lambda score: sorted(sizes, key=lambda k: (-score[k], k is None, k or ""))
+    if n < strata:
+        first = order({k: v for k, v in sizes.items()})[:n]
+        return {k: int(k in first) for k in sizes}
+    part = {k: n * v // total for k, v in sizes.items()}
+    quota, over = {k: max(1, x) for k, x in part.items()}, {k: (n * v % total if part[k] else 0) for k, v in sizes.items()}
+    if sum(quota.values()) > n:
+        rest, left = n - strata, max(1, total - strata)
+        quota, over = {k: 1 + rest * (v - 1) // left for k, v in sizes.items()}, {k: rest * (v - 1) % left for k, v in sizes.items()}
+    for k in order(over)[:n - sum(quota.values())]:
+        quota[k] += 1
+    return quota
+
+
+@pytest.mark.parametrize("n", [1, 3, 7, 23, 100, 333, 5000])
+def test_sample_fills_its_quotas(spark, n):
+    sizes = {"a": 400, "b": 300, None: 120, "c": 60, "d": 7, "e": 1, "f": 1}
+    rows = [(1000 * j + i, s, i % 2 == 0) for j, (s, size) in enumerate(sizes.items()) for i in range(2 * size)]
+    df = spark.createDataFrame(rows, "id long, s string, good boolean")
+    got = AB.stratified_sample(df, "s", "id", n, eligible=F.col("good")).collect()
+    want = brute_quotas(sizes, n)
+    assert {k: sum(r.s == k for r in got) for k in sizes} == want and sum(want.values()) == min(n, sum(sizes.values()))
+    assert all(r.good for r in got) and len({r.id for r in got}) == len(got)
+    import hashlib
+    code = lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest()
+    for s in sizes:
+        own = sorted((r[0] for r in rows if r[1] == s and r[2]), key=code)
+        assert {r.id for r in got if r.s == s} == set(own[:want[s]])
+    again = AB.stratified_sample(df, "s", "id", n, eligible=F.col("good"), taken=spark.createDataFrame([(r.id,) for r in got], "id long"))
+    assert not {r.id for r in again.collect()} & {r.id for r in got}
+
+
+def test_sample_of_nothing_and_of_a_share(spark):
+    df = spark.range(1000).selectExpr("id", "if(id % 3 = 0, null, 'x') as s")
+    assert AB.stratified_sample(df.limit(0), "s", "id", 5).collect() == []
+    assert AB.stratified_sample(df, "s", "id", share=0.1).count() == 100
+
+
+def brute_weights(ident, resamples, seed=42):
+    import hashlib
+    digest = hashlib.md5(f"{ident}:{seed}".encode()).hexdigest()
+    low, high, mask, out = int(digest[:8], 16), int(digest[8:16], 16), 2**32 - 1, []
+    for b in range(1, resamples + 1):
+        h = (low + b * B.STEP) & mask
+        h = ((h ^ h >> 16) * B.FIRST) & mask
+        h = ((h ^ h >> 13 ^ high) * B.SECOND) & mask
+        h ^= h >> 16
+        out.append(sum(h >= t for t in B.POISSON))
+    return out
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 16])
+def test_bootstrap_equals_plain_resampling(spark, monkeypatch, piece):
+    monkeypatch.setattr(B, "PIECE", piece)
+    rows = [(None if i % 5 == 0 else "g", None if i % 4 == 0 else i % 3, f"r{i}", None if i % 11 == 0 else float(i * i % 97), float(i)) for i in range(200)]
+    df = spark.createDataFrame([*rows, ("few", 1, "x", 1.0, 2.0), ("none", 1, "y", None, 3.0)], "g string, k long, id string, v double, w double")
+    got = {(r.g, r.k): r for r in B.mean_intervals(df, ["g", "k"], ["v", "w"], "id", 200, by_index=True).collect()}
+    for key in {(r[0], r[1]) for r in rows}:
+        for name, at in (("v", 3), ("w", 4)):
+            own = [(brute_weights(r[2], 200), r[at]) for r in rows if (r[0], r[1]) == key and r[at] is not None]
+            means = sorted(sum(w[b] * v for w, v in own) / n for b in range(200) if (n := sum(w[b] for w, _ in own)))
+            r = got[key][name]
+            assert r.n == len(own) and r.mean == pytest.approx(sum(v for _, v in own) / len(own))
+            assert r.ci_lower == pytest.approx(means[int(len(means) * 0.025)]) and r.ci_upper == pytest.approx(means[int(len(means) * 0.975)])
+    assert got["few", 1].v.ci_lower == 1.0 and got["none", 1].v is None and got["none", 1].w.mean == 3.0
+
+
+def test_poisson_weights():
+    rng = np.random.default_rng(4)
+    w = B.weights(rng.integers(0, 2**32, 2000), rng.integers(0, 2**32, 2000), 500).astype(float)
+    assert w.mean() == pytest.approx(1, abs=0.005) and w.var() == pytest.approx(1, abs=0.02)
+    # neighbouring resamples and rows are unrelated
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+
+def test_null_groups_stay(spark):
+    from taskloom.operators import dataset as D
+    from taskloom.operators import timing as TM
+    df = spark.createDataFrame([(g, float(i), i) for g in ("a", None) for i in range(3)], "g string, v double, i long")
+    assert {r.g: (r.n, r.median) for r in B.median_interval(df, ["g"], "v").collect()} == {"a": (3, 1.0), None: (3, 1.0)}
+    assert TM.first_requests(df, ["g"], ["v", "i"]).where("is_first").count() == 2
+    assert {(r.g, r.i): r.pct for r in D.distribution(df, ["g"], "i").collect()}[None, 1] == pytest.approx(100 / 3)
+
+
 def test_sensitivity_labels(spark):
     rows = [(0.1, 0.2, True, True), (0.1, 0.2, True, False), (0.1, -0.2, True, True), (0.0, -0.2, False, False)]
     df = spark.createDataFrame(rows, "f double, r double, fs boolean, rs boolean")
