@@ -2,8 +2,8 @@
 
 The lineage is a set of equi-joins. Texts of a (session, file) are reduced to
 distinct texts first; two texts become a candidate pair only when they share a
-line or an anchor (a gram that a contained text must share with its container).
-The life of a piece of text is an as-of scan for the first later edit that
+line that is rare for both, or the rarest anchor (a gram that a contained text
+must share with its container) of one. The life of a piece of text is an as-of scan for the first later edit that
 overwrites it. Nothing compares all edits of a file with each other, and exact
 copies count once.
 """
@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taskloom.functions import classify as C
 from taskloom.functions import patterns as P
 from taskloom.functions import text as T
 from taskloom.functions.numbers import ratio0
@@ -71,12 +72,15 @@ def _anchors(text: str, gram: int, window: int) -> np.ndarray:
     return np.unique(hashes).view(np.int64)
 
 
-def anchors(text: Column, gram: int, window: int) -> Column:
-    @F.pandas_udf("array<long>")
-    def winnow(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _anchors(t, gram, window))
+def anchors(text: Column, asked: Column, levels) -> Column:
+    """Anchors of a text for every level named in the bit mask ``asked``; empty for the others."""
+    @F.pandas_udf("array<array<long>>")
+    def winnow(texts: pd.Series, masks: pd.Series) -> pd.Series:
+        none = np.empty(0, dtype=np.int64)
+        return pd.Series([[_anchors(t, gram, window) if m >> i & 1 else none for i, (_, gram, window) in enumerate(levels)]
+                          for t, m in zip(texts, masks)])
 
-    return winnow(text)
+    return winnow(text, asked)
 
 
 def _level(length: Column, levels) -> Column:
@@ -86,47 +90,104 @@ def _level(length: Column, levels) -> Column:
     return rule
 
 
-def contained_pairs(small: DataFrame, large: DataFrame, keys: list[str], levels=LONG_LEVELS) -> DataFrame:
-    """(keys, small_id, large_id) of texts where ``small`` occurs inside ``large``.
+def roles(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per distinct text: ``keys, id, text, is_new, is_old``. Both inputs hold ``keys, id, text``."""
+    both = new.select(*keys, "id", "text", F.lit(True).alias("is_new"), F.lit(False).alias("is_old")).unionByName(
+        old.select(*keys, "id", "text", F.lit(False).alias("is_new"), F.lit(True).alias("is_old")))
+    return both.groupBy(*keys, "id").agg(F.any_value("text").alias("text"), F.bool_or("is_new").alias("is_new"), F.bool_or("is_old").alias("is_old"))
 
-    Both inputs hold ``keys, id, text`` with distinct texts. A small text looks
-    up one anchor, a large text offers all of its anchors of the levels that
-    small texts ask for. The two meet on one 64-bit hash of group, level and
-    anchor; a chance meeting does not survive the comparison of the texts.
+
+def with_anchors(texts: DataFrame, keys: list[str], levels=LONG_LEVELS) -> DataFrame:
+    """texts with ``level`` and ``grams``; a group offers the levels that its own texts ask for."""
+    sized = texts.withColumn("level", _level(F.length("text"), levels))
+    asked = sized.where("level is not null").groupBy(*keys).agg(F.bit_or(F.expr("1 << level")).alias("_asked"))
+    met = S.join_keys(sized, asked, keys, "left")
+    return met.withColumn("grams", anchors(F.col("text"), F.coalesce("_asked", F.lit(0)), levels)).drop("_asked")
+
+
+def contained_pairs(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, small_id, large_id) of different texts where the first occurs inside the second and one is new, one old.
+
+    ``texts`` comes from ``roles`` and ``with_anchors`` and should be a stage. A
+    text that contains another offers each anchor of it, so the small text looks
+    up only the one that fewest texts offer: a licence or an import block that
+    all files share is never the meeting place of a text that has anything of
+    its own. Keys, level and anchor meet in one 64-bit hash; a chance meeting
+    does not survive the comparison of the texts, which are fetched for the
+    remaining pairs alone.
     """
-    level = _level(F.length("text"), levels)
-    probes = small.withColumn("level", level).where("level is not null")
-    asked = probes.where(F.length("text") < MIN_TEXT).select(*keys, "level").distinct()
-    present = probes.select(F.collect_set("level")).scalar()
-    offer, probe = None, None
-    for i, (least, gram, window) in enumerate(levels):
-        # Grams of a few characters are offered only where the own group asks for them.
-        if least < MIN_TEXT:
-            here = large.join(asked.where(F.col("level") == i).drop("level"), keys)
-        else:
-            here = large.where(F.array_contains(present, i))
-        o = here.where(F.length("text") >= least).select(
-            F.col("id").alias("large_id"), *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)],
-            F.explode(anchors(F.col("text"), gram, window)).alias("anchor"),
-        )
-        o = o.select("large_id", F.xxhash64(F.lit(i), "anchor", *[f"_k{n}" for n in range(len(keys))]).alias("meet"))
-        p = probes.where(F.col("level") == i).select(
-            *keys, F.col("id").alias("small_id"),
-            F.array_min(anchors(F.col("text"), gram, window)).alias("anchor"),
-        )
-        p = p.select(*keys, "small_id", F.xxhash64(F.lit(i), "anchor", *keys).alias("meet"))
-        offer = o if offer is None else offer.union(o)
-        probe = p if probe is None else probe.union(p)
-    pairs = probe.join(offer, "meet").select(*keys, "small_id", "large_id").distinct()
-    s = small.select(*keys, F.col("id").alias("small_id"), F.col("text").alias("_small"))
-    g = large.select(*keys, F.col("id").alias("large_id"), F.col("text").alias("_large"))
+    each = texts.select(*keys, "id", "is_new", "is_old", "level", F.posexplode("grams").alias("at", "anchor"))
+    each = each.select(*keys, "id", "is_new", "is_old", "level", "at", F.explode("anchor").alias("anchor"))
+    offer = each.select(*keys, "id", "is_new", "is_old", (F.col("at") == F.col("level")).alias("own"), F.xxhash64("at", "anchor", *keys).alias("meet"))
+    offered = offer.groupBy("meet").agg(F.count(F.lit(1)).alias("times"))
+    # a text offers its own anchors too, so one that is offered once has no container
+    probe = offer.where("own").join(offered, "meet").groupBy(*keys, "id").agg(
+        F.min(F.struct("times", "meet")).alias("rare"), F.any_value("is_new").alias("small_new"), F.any_value("is_old").alias("small_old"))
+    probe = probe.where("rare.times > 1").select(F.struct(*keys).alias("k"), F.col("id").alias("small_id"), "small_new", "small_old", F.col("rare.meet").alias("meet"))
+    pairs = probe.join(offer.withColumnRenamed("id", "large_id"), "meet").where(
+        "small_id <> large_id and (small_new and is_old or small_old and is_new)").where(F.col("k") == F.struct(*keys))
+    pairs = pairs.select(*keys, "small_id", "large_id").distinct()
+    s = texts.select(*keys, F.col("id").alias("small_id"), F.col("text").alias("_small"))
+    g = texts.select(*keys, F.col("id").alias("large_id"), F.col("text").alias("_large"))
     return (
-        pairs.join(s, [*keys, "small_id"]).join(g, [*keys, "large_id"])
+        S.join_keys(S.join_keys(pairs, s, [*keys, "small_id"]), g, [*keys, "large_id"])
         .where(F.contains("_large", F.col("_small")))
         .select(*keys, "small_id", "large_id")
     )
 
 
+def related_texts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, new_id, old_id, fwd, bwd): ``fwd`` if the new text occurs in the old one, ``bwd`` if the old one in the new."""
+    found = contained_pairs(texts, keys)
+    role = texts.select(*keys, "id", "is_new", "is_old")
+    small = S.join_keys(found, role.withColumnRenamed("id", "small_id").withColumnsRenamed({"is_new": "small_new", "is_old": "small_old"}), [*keys, "small_id"])
+    both = S.join_keys(small, role.withColumnRenamed("id", "large_id"), [*keys, "large_id"])
+    def way(new: str, old: str, forward: int, usable: Column) -> DataFrame:
+        return both.where(usable).select(*keys, F.col(new).alias("new_id"), F.col(old).alias("old_id"),
+                                         F.lit(forward).alias("fwd"), F.lit(1 - forward).alias("bwd"))
+    return way("small_id", "large_id", 1, F.col("small_new") & F.col("is_old")).unionByName(
+        way("large_id", "small_id", 0, F.col("is_new") & F.col("small_old")))
+
+
+def shared_lines(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, new_id, old_id, shared) of all pairs with Jaccard above 0.3 or more than half of the old lines shared.
+
+    Set similarity join with a prefix filter. Lines are ordered by how many
+    texts of the group have them, rare ones first. More than half of the old
+    lines shared means that one of its rarest half is; a Jaccard above 0.3 means
+    that over 3/13 of both sizes together are shared, so the rarest shared line
+    stands early in both. Lines that are common everywhere thus bring texts
+    together only if the texts consist of little else. The sets are compared as
+    arrays of line hashes.
+    """
+    sets = texts.where(F.size("lines") > 0).select(F.struct(*keys).alias("k"), "id", "is_new", "is_old", F.size("lines").alias("n"), "lines")
+    each = sets.select("k", "id", "is_new", "is_old", "n", F.explode("lines").alias("line"))
+    times = each.groupBy("k", "line").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    known = each.join(times, ["k", "line"]).groupBy("k", "id", "is_new", "is_old", "n").agg(
+        F.sort_array(F.collect_list(F.struct("times", "line"))).alias("known"))
+    # lines of no other text come first in the order of a text and bring nobody together
+    placed = known.withColumn("alone", F.col("n") - F.size("known")).select(
+        "k", "id", "is_new", "is_old", "n", "alone", F.posexplode("known").alias("at", "line")).select(
+        "k", "id", "is_new", "is_old", "n", "line.line", (F.col("alone") + F.col("at")).alias("at"))
+    half = placed.where("is_old and at < n - n div 2").select("k", "line", F.col("id").alias("old_id"))
+    met = half.join(placed.where("is_new").select("k", "line", F.col("id").alias("new_id")), ["k", "line"])
+
+    # both sets have over 3/13 of their sizes together in common; sizes meet in bands of half an octave
+    band = lambda n: F.floor(2 * F.log2(n)).cast("int")
+    sized = placed.withColumns({"own": band(F.col("n")), "other": F.explode(F.sequence(
+        F.greatest(F.lit(0), band(F.col("n") * 0.3)), band(F.col("n") / 0.3)))})
+    least = F.greatest(F.ceil(F.pow(F.lit(2.0), F.col("other") / 2)), F.lit(1))
+    rare = sized.where(F.col("at") + F.floor(3 * (F.col("n") + least) / 13) < F.col("n"))
+    def side(role: str, name: str, own: str, other: str) -> DataFrame:
+        return rare.where(role).select("k", "line", F.col("own").alias(own), F.col("other").alias(other), F.col("id").alias(name))
+    met = met.unionByName(side("is_old", "old_id", "o", "n").join(side("is_new", "new_id", "n", "o"), ["k", "line", "o", "n"]).select("k", "line", "old_id", "new_id"))
+    pairs = met.where("new_id <> old_id").select("k", "new_id", "old_id").distinct()
+    def lines_of(name: str) -> DataFrame:
+        return sets.select("k", F.col("id").alias(f"{name}_id"), F.col("lines").alias(f"{name}_lines"))
+    both = pairs.join(lines_of("new"), ["k", "new_id"]).join(lines_of("old"), ["k", "old_id"])
+    return both.select("k.*", "new_id", "old_id", F.size(F.array_intersect("new_lines", "old_lines")).cast("long").alias("shared"))
+
+
 def plain_lines(text: Column) -> Column:
     """Distinct stripped lines of more than 15 characters."""
     lines = F.transform(F.split(text, "\n"), lambda x: T.stripped(x))
@@ -148,46 +209,33 @@ def overlap_tier(new_len, old_len, new_in_old, old_in_new, shared, new_lines, ol
     return tier, ratio
 
 
-def text_relations(edits: DataFrame) -> DataFrame:
+def text_relations(edits: DataFrame, keep=write_stage) -> DataFrame:
     """C17 for every related pair of distinct (new text, old text) of a file.
 
     Columns: session_id, file_path, new_id, old_id, tier, ratio, kills. ``kills``
     marks old texts that contain the new text and therefore overwrite it.
     """
-    new = edits.where("adds").select(*FILE, F.col("new_id").alias("id"), F.col("new_string").alias("text")).distinct()
-    old = edits.where("probes").select(*FILE, F.col("old_id").alias("id"), F.col("old_string").alias("text")).distinct()
-    sized_new = new.select(*FILE, F.col("id").alias("new_id"), F.length("text").alias("new_len"),
-                           plain_lines(F.col("text")).alias("lines"))
-    sized_old = old.select(*FILE, F.col("id").alias("old_id"), F.length("text").alias("old_len"),
-                           plain_lines(F.col("text")).alias("lines"))
-    by_line = (
-        sized_new.select(*FILE, "new_id", F.explode("lines").alias("line"))
-        .join(sized_old.select(*FILE, "old_id", F.explode("lines").alias("line")), [*FILE, "line"])
-        .where("new_id <> old_id")
-        .groupBy(*FILE, "new_id", "old_id").agg(F.count(F.lit(1)).alias("shared"))
-    )
-    forward = contained_pairs(new, old, FILE).select(
-        *FILE, F.col("small_id").alias("new_id"), F.col("large_id").alias("old_id"),
-        F.lit(0).cast("long").alias("shared"), F.lit(1).alias("fwd"), F.lit(0).alias("bwd"))
-    backward = contained_pairs(old, new, FILE).select(
-        *FILE, F.col("large_id").alias("new_id"), F.col("small_id").alias("old_id"),
-        F.lit(0).cast("long").alias("shared"), F.lit(0).alias("fwd"), F.lit(1).alias("bwd"))
+    new = edits.where("adds").select(*FILE, F.col("new_id").alias("id"), F.col("new_string").alias("text"))
+    old = edits.where("probes").select(*FILE, F.col("old_id").alias("id"), F.col("old_string").alias("text"))
+    lines = F.array_distinct(F.transform(plain_lines(F.col("text")), lambda x: F.xxhash64(x)))
+    texts = roles(new, old, FILE).withColumns({"length": F.length("text"), "lines": lines})
+    texts = keep(with_anchors(texts, FILE), "texts")
+    none = F.lit(0).cast("long")
     pairs = (
-        by_line.withColumn("fwd", F.lit(0)).withColumn("bwd", F.lit(0))
-        .unionByName(forward).unionByName(backward)
-        .where("new_id <> old_id")
+        shared_lines(texts, FILE).withColumns({"fwd": F.lit(0), "bwd": F.lit(0)})
+        .unionByName(related_texts(texts, FILE).withColumn("shared", none))
         .groupBy(*FILE, "new_id", "old_id")
         .agg(F.max("shared").alias("shared"), F.max("fwd").alias("fwd"), F.max("bwd").alias("bwd"))
     )
-    sized = pairs.join(
-        sized_new.withColumn("new_lines", F.size("lines")).drop("lines"), [*FILE, "new_id"]
-    ).join(sized_old.withColumn("old_lines", F.size("lines")).drop("lines"), [*FILE, "old_id"])
+    def sizes(name: str) -> DataFrame:
+        return texts.select(*FILE, F.col("id").alias(f"{name}_id"), F.col("length").alias(f"{name}_len"), F.size("lines").alias(f"{name}_lines"))
+    sized = S.join_keys(S.join_keys(pairs, sizes("new"), [*FILE, "new_id"]), sizes("old"), [*FILE, "old_id"])
     tier, ratio = overlap_tier(
         F.col("new_len"), F.col("old_len"), F.col("fwd") == 1, F.col("bwd") == 1,
         F.col("shared"), F.col("new_lines"), F.col("old_lines"))
     different = sized.select(*FILE, "new_id", "old_id", tier.alias("tier"), ratio.alias("ratio"),
                              (F.col("fwd") == 1).alias("kills"))
-    same = new.join(old.select(*FILE, "id"), [*FILE, "id"]).select(
+    same = texts.where("is_new and is_old").select(
         *FILE, F.col("id").alias("new_id"), F.col("id").alias("old_id"),
         F.lit("exact").alias("tier"), F.lit(1.0).alias("ratio"), F.lit(True).alias("kills"))
     return different.where("kills or tier is not null").unionByName(same)
@@ -220,7 +268,7 @@ def overlaps(edits: DataFrame, stage=None) -> DataFrame:
     first later edit that overwrites it; the overwriting edit still overlaps.
     """
     keep = stage or (lambda df, _name: df)
-    rel = keep(text_relations(edits), "relations")
+    rel = keep(text_relations(edits, keep), "relations")
     edits = edits.drop("old_string", "new_string")
     chunk = F.floor(F.col("seq") / 1000000 / 4096)
 
@@ -293,22 +341,49 @@ def edit_context(tasks: DataFrame, errors: DataFrame) -> DataFrame:
     return unhappy.unionByName(errors.select("session_id", "msg_index", F.lit("error").alias("kind")))
 
 
-def chain_depths(overlap: DataFrame, stage=write_stage) -> DataFrame:
-    """Longest chain of overlaps ending at each edit.
+def distances(parents: DataFrame, keep) -> DataFrame:
+    """Steps from every node up to its root: (session_id, edit_index, depth) from rows with ``parent`` (null for a root).
 
-    Level k holds the edits reached by k overlaps; the number of rounds is the
-    longest chain, and each level is written as a stage.
+    Pointer jumping: each round doubles how far a node sees, so the number of
+    rounds is the logarithm of the longest way. Nodes that see their root are
+    done and only answer the others.
+    """
+    key = ["session_id", "edit_index"]
+    state = keep(parents.select(*key, F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")), "jump")
+    while not state.where("up is not null").isEmpty():
+        seen = state.select("session_id", F.col("edit_index").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_far"))
+        ahead = state.where("up is not null").join(seen, ["session_id", "up"], "left").select(
+            *key, F.col("_up").alias("up"), (F.col("depth") + F.col("_far")).alias("depth"))
+        state = keep(ahead.unionByName(state.where("up is null")), "jump")
+    return state.select(*key, "depth")
+
+
+def chain_depths(overlap: DataFrame, stage=write_stage) -> DataFrame:
+    """Longest chain of overlaps that ends at each edit.
+
+    Every later edit follows one of the edits it overlaps, at first the nearest.
+    Pointer jumping gives the length of the way this makes for all edits at
+    once. Then each edit that overlaps one with a longer way follows that one
+    instead; depths never fall by this, and when nothing changes every depth is
+    the longest. A chain of n edits takes log n rounds; without forks there is
+    one pass. Each edit is one row in every round, exact copies of an overlap
+    are removed first, and no group of rows meets in one task.
     """
     edges = stage(overlap.select("session_id", F.col("edit_a_index").alias("a"),
-                                 F.col("edit_b_index").alias("b")).distinct(), "edges")
-    level = stage(edges.select("session_id", F.col("b").alias("edit_index")).distinct(), "level")
-    levels, k = level.withColumn("depth", F.lit(1)), 1
-    while not level.isEmpty():
-        k += 1
-        reached = edges.join(level.withColumnRenamed("edit_index", "a"), ["session_id", "a"], "left_semi")
-        level = stage(reached.select("session_id", F.col("b").alias("edit_index")).distinct(), "level")
-        levels = levels.unionByName(level.withColumn("depth", F.lit(k)))
-    return levels.groupBy("session_id", "edit_index").agg(F.max("depth").alias("depth"))
+                                 F.col("edit_b_index").alias("edit_index")).distinct(), "edges")
+    key = ["session_id", "edit_index"]
+    nodes = edges.select("session_id", F.col("a").alias("edit_index")).distinct()
+    parents = nodes.join(edges.groupBy(*key).agg(F.max("a").alias("parent")), key, "full")
+    parents = stage(parents, "parents")
+    while True:
+        depth = distances(parents, stage)
+        # of all edits that b overlaps, the deepest one, then the nearest
+        reached = edges.join(depth.select("session_id", F.col("edit_index").alias("a"), F.col("depth").alias("_d")), ["session_id", "a"])
+        best = reached.groupBy(*key).agg(F.max(F.struct("_d", "a")).alias("best"))
+        now = stage(depth.join(best, key, "left").select(*key, "depth", (F.col("best._d") + 1).alias("better"), F.col("best.a").alias("parent")), "depths")
+        if now.where("better > depth").isEmpty():
+            return now.where("depth > 0").select(*key, "depth")
+        parents = now.select(*key, "parent")
 
 
 def classify_overlaps(overlap: DataFrame, context: DataFrame, depths: DataFrame | None = None) -> DataFrame:
@@ -331,8 +406,19 @@ def classify_overlaps(overlap: DataFrame, context: DataFrame, depths: DataFrame
     return seen.withColumn("classification", kind).drop("last_error", "last_unhappy")
 
 
-def edit_metrics(edits: DataFrame, classified: DataFrame, all_events: DataFrame | None = None) -> DataFrame:
-    """A18/A19 per task. ``all_events`` (with failures) adds the failed count."""
+def task_flags(calls: DataFrame, tasks: DataFrame) -> DataFrame:
+    """C20 and the use of subagents per task: session_id, task_id, bash_file_mod_count, has_subagent_edits.
+
+    ``calls`` holds session_id, task_id and the shell ``command`` of each call, ``tasks`` session_id, task_id and ``used_subagents``.
+    """
+    key = ["session_id", "task_id"]
+    mods = calls.where(C.changes_files(F.col("command"))).groupBy(*key).agg(F.count(F.lit(1)).alias("bash_file_mod_count"))
+    return tasks.select(*key, F.coalesce("used_subagents", F.lit(False)).alias("has_subagent_edits")).join(mods, key, "left").na.fill(
+        0, ["bash_file_mod_count"])
+
+
+def edit_metrics(edits: DataFrame, classified: DataFrame, all_events: DataFrame | None = None, flags: DataFrame | None = None) -> DataFrame:
+    """A18/A19 per task. ``all_events`` (with failures) adds the failed count, ``flags`` comes from ``task_flags``."""
     base = edits.groupBy("session_id", "task_id").agg(
         F.count_if(F.col("tool_name") == "Edit").alias("edit_count"),
         F.count_if(F.col("tool_name") == "Write").alias("write_count"),
@@ -356,6 +442,9 @@ def edit_metrics(edits: DataFrame, classified: DataFrame, all_events: DataFrame
     else:
         out = out.withColumn("failed_edit_count", F.lit(0).cast("long"))
     counts = [c for c in found.columns if c not in key] + ["failed_edit_count"]
+    if flags is not None:
+        out = out.join(flags, key, "left").na.fill(False, ["has_subagent_edits"])
+        counts.append("bash_file_mod_count")
     return out.na.fill(0, counts).withColumn("triage_score", triage_score())
 
 
@@ -398,7 +487,7 @@ def tercile_of(value: Column, t1: Column, t2: Column) -> Column:
     return F.when(value <= t1, "short").when(value <= t2, "medium").otherwise("long")
 
 
-def edit_signals(events: DataFrame, errors: DataFrame, tasks: DataFrame) -> DataFrame:
+def edit_signals(events: DataFrame, errors: DataFrame, tasks: DataFrame, keep=write_stage) -> DataFrame:
     """Per task self-corrections, error recoveries, user corrections, rewrite rate, edits per file.
 
     A self-correction is an edit whose old text contains, or is contained in,
@@ -410,12 +499,11 @@ def edit_signals(events: DataFrame, errors: DataFrame, tasks: DataFrame) -> Data
     e = events.select(
         *place, "msg_index", (F.col("msg_index") * 1000000 + F.col("pos")).alias("seq"),
         "old_string", "new_string", F.md5("old_string").alias("old_id"), F.md5("new_string").alias("new_id"))
-    new = e.where("new_string <> ''").select(*place, F.col("new_id").alias("id"), F.col("new_string").alias("text")).distinct()
-    old = e.where("old_string <> ''").select(*place, F.col("old_id").alias("id"), F.col("old_string").alias("text")).distinct()
-    related = contained_pairs(new, old, place, LEVELS).select(
-        *place, F.col("small_id").alias("new_id"), F.col("large_id").alias("old_id")
-    ).unionByName(contained_pairs(old, new, place, LEVELS).select(
-        *place, F.col("large_id").alias("new_id"), F.col("small_id").alias("old_id"))).distinct()
+    new = e.where("new_string <> ''").select(*place, F.col("new_id").alias("id"), F.col("new_string").alias("text"))
+    old = e.where("old_string <> ''").select(*place, F.col("old_id").alias("id"), F.col("old_string").alias("text"))
+    texts = keep(with_anchors(roles(new, old, place), place, LEVELS), "signal-texts")
+    same = texts.where("is_new and is_old").select(*place, F.col("id").alias("new_id"), F.col("id").alias("old_id"))
+    related = related_texts(texts, place).select(*place, "new_id", "old_id").unionByName(same)
     placed = e.where("new_string <> ''").groupBy(*place, "new_id").agg(F.min("seq").alias("placed_at"))
     earliest = related.join(placed, [*place, "new_id"]).groupBy(*place, "old_id").agg(
         F.min("placed_at").alias("placed_at"))

@@ -61,10 +61,16 @@ def block_tasks(spark: SparkSession, folder: str, hours: int = 4) -> DataFrame:
 
 
 def document_edits(spark: SparkSession, folder: str) -> DataFrame:
-    """Edits: a source is a session with one file per language; every document is an edit that
-    meets its own text and leaves it behind. Texts are whole."""
-    return documents(spark, folder).select(
+    """Edits: a source is a session with one file per language; every document is an edit that leaves its
+    own text behind. It replaces the text of the document before it in the file (with its own behind it, for
+    every third document). Every 13th writes the file anew, every 11th replaces all places. Texts are whole."""
+    docs = documents(spark, folder).select("source", "lang", "doc_id", "text")
+    before = S.ordered(docs, ["source", "lang"], ["doc_id"], S.index_chunk("doc_id"), before=S.latest_before(F.col("text")))
+    ident, previous = F.col("doc_id"), F.coalesce("before", F.lit(""))
+    write = ident % 13 == 0
+    old = F.when(write, "").when((ident % 3 == 0) & (previous != ""), F.concat(previous, F.lit("\n"), "text")).otherwise(previous)
+    return before.select(
         F.col("source").alias("session_id"), F.col("lang").alias("file_path"),
-        F.concat_ws("-", "source", F.floor(F.col("doc_id") / 200).cast("string")).alias("task_id"),
-        F.col("doc_id").alias("msg_index"), F.lit(0).alias("pos"), F.lit("Edit").alias("tool_name"),
-        F.col("text").alias("old_string"), F.col("text").alias("new_string"), F.lit(False).alias("replace_all"))
+        F.concat_ws("-", "source", F.floor(ident / 200).cast("string")).alias("task_id"),
+        ident.alias("msg_index"), F.lit(0).alias("pos"), F.when(write, "Write").otherwise("Edit").alias("tool_name"),
+        old.alias("old_string"), F.col("text").alias("new_string"), (~write & (ident % 11 == 0)).alias("replace_all"))

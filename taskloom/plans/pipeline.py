@@ -75,7 +75,8 @@ def analyse(spark: SparkSession, paths: str | list[str], cohorts: dict[str, str]
     context = E.edit_context(tasks, tables.errors)
     overlaps = stage(E.classify_overlaps(found, context, E.chain_depths(found, stage)).join(
         by_session, "session_id"), "classified-overlaps")
-    metrics = stage(E.edit_metrics(done, overlaps, events).join(by_session, "session_id"), "edit-metrics")
+    flags = E.task_flags(tables.calls.join(named, ["session_id", "task_n"]), tasks)
+    metrics = stage(E.edit_metrics(done, overlaps, events, flags).join(by_session, "session_id"), "edit-metrics")
 
     signals = E.edit_signals(tables.edits, tables.errors, tasks)
     notes = AN.validated(annotations if annotations is not None else spark.createDataFrame([], "task_id string"))

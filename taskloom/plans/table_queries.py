@@ -562,13 +562,22 @@ def subagent_outcomes(spark, folder):
 
 
 # --- edits ------------------------------------------------------------------------------
-LIN = f"""d as (select source as session_id, lang as file_path, source || '-' || (doc_id // 200) as task_id, doc_id, text, md5(text) as h,
-        list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {BLANK})), lambda x: length(x) > 15)) as lines
-        from documents where length(text) >= 20),
-    pr as (select a.session_id, a.file_path, a.doc_id as a, b.doc_id as b, a.task_id as ta, b.task_id as tb, length(a.text) as la, length(b.text) as lb,
-           a.h = b.h as same, contains(b.text, a.text) as fwd, contains(a.text, b.text) as bwd, len(list_intersect(a.lines, b.lines)) as sh,
-           len(a.lines) as na, len(b.lines) as nb from d a join d b on a.session_id = b.session_id and a.file_path = b.file_path and a.doc_id < b.doc_id),
-    de as (select a, min(b) as death from pr where fwd group by a),
+def line_set(text: str) -> str:
+    return f"list_distinct(list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x, {BLANK})), lambda x: length(x) > 15))"
+
+
+#: The edits of ``bindings.document_edits``.
+EDITS = """e0 as (select source, lang, doc_id, text, coalesce(lag(text ignore nulls) over (partition by source, lang order by doc_id), '') as prev from documents),
+    ed0 as (select source as session_id, lang as file_path, source || '-' || (doc_id // 200) as task_id, doc_id, doc_id % 13 = 0 as wr, doc_id % 13 <> 0 and doc_id % 11 = 0 as ra,
+        case when doc_id % 13 = 0 then '' when doc_id % 3 = 0 and prev <> '' then prev || chr(10) || text else prev end as old, text as new from e0)"""
+LIN = f"""{EDITS}, d as (select *, length(new) >= 20 as adds, not wr and not ra and length(old) >= 20 as probes, wr and length(new) >= 20 as clears,
+        {line_set('new')} as ln, {line_set('old')} as lo from ed0),
+    pr as (select a.session_id, a.file_path, a.doc_id as a, b.doc_id as b, a.task_id as ta, b.task_id as tb, length(a.new) as la, length(b.old) as lb, a.new = b.old as same,
+           contains(b.old, a.new) as fwd, contains(a.new, b.old) as bwd, len(list_intersect(a.ln, b.lo)) as sh, len(a.ln) as na, len(b.lo) as nb
+           from d a join d b on a.session_id = b.session_id and a.file_path = b.file_path and a.doc_id < b.doc_id and a.adds and b.probes),
+    de0 as (select a, min(b) as death from pr where fwd group by a),
+    de as (select d.doc_id as a, least(min(de0.death), min(w.doc_id)) as death from d left join de0 on de0.a = d.doc_id
+           left join d w on w.clears and w.session_id = d.session_id and w.file_path = d.file_path and w.doc_id > d.doc_id group by all),
     tr as (select pr.*, case when same then 'exact' when fwd and la >= 40 and la / lb >= 0.3 then 'containment' when bwd and lb >= 40 and lb / la >= 0.3 then 'containment'
            when sh > 0 and (sh / (na + nb - sh) > 0.3 or sh / nb > 0.5) then 'line_overlap' end as tier,
            case when same then 1.0::double when fwd and la >= 40 and la / lb >= 0.3 then la / lb when bwd and lb >= 40 and lb / la >= 0.3 then lb / la
@@ -590,16 +599,22 @@ def _context(spark, folder):
         base.where("quality = 0").select("session_id", "msg_index", F.lit("unhappy").alias("kind")))
 
 
-CLS = f"""{LIN}, cx as (select source as session_id, doc_id as i, toxic, quality from labels join documents using (doc_id)),
-    k as (select ov.*, exists (select 1 from cx where cx.session_id = ov.session_id and toxic = 1 and i > edit_a_index and i < edit_b_index) as err,
-          exists (select 1 from cx where cx.session_id = ov.session_id and quality = 0 and i > edit_a_index and i < edit_b_index) as unhappy from ov),
-    c as (select *, case when ta = tb then case when err then 'error_recovery' else 'self_correction' end when unhappy then 'user_directed'
-          else 'iterative_refinement' end as classification from k)"""
+DEPTHS = """ed as (select distinct session_id, edit_a_index as a, edit_b_index as b from ov),
+    walk as (select session_id, b, 1 as depth from ed union select ed.session_id, ed.b, walk.depth + 1 from walk join ed on walk.session_id = ed.session_id and walk.b = ed.a),
+    dp as (select session_id, b as edit_index, max(depth)::bigint as depth from walk group by all)"""
+CLS = f"""recursive {LIN}, {DEPTHS}, cx as (select source as session_id, doc_id as i, toxic, quality from labels join documents using (doc_id)),
+    k as (select ov.*, coalesce(dp.depth, 0) + 1 as depth,
+          exists (select 1 from cx where cx.session_id = ov.session_id and toxic = 1 and i > edit_a_index and i < edit_b_index) as err,
+          exists (select 1 from cx where cx.session_id = ov.session_id and quality = 0 and i > edit_a_index and i < edit_b_index) as unhappy
+          from ov left join dp on dp.session_id = ov.session_id and dp.edit_index = ov.edit_a_index),
+    c as (select *, case when depth > 3 then 'iterative_refinement' when ta = tb then case when err then 'error_recovery' else 'self_correction' end
+          when unhappy then 'user_directed' else 'iterative_refinement' end as classification from k)"""
 
 
 def _classified(spark, folder):
     edits = E.prepare(document_edits(spark, folder))
-    return edits, E.classify_overlaps(E.overlaps(edits, write_stage), _context(spark, folder))
+    found = write_stage(E.overlaps(edits, write_stage), "overlaps")
+    return edits, E.classify_overlaps(found, _context(spark, folder), E.chain_depths(found))
 
 
 @query("edit_classes", f"with {CLS} select session_id, tier, classification, count(*)::bigint as n from c group by all")
@@ -608,25 +623,31 @@ def edit_classes(spark, folder):
     return _classified(spark, folder)[1].groupBy("session_id", "tier", "classification").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("edit_metrics", f"""with {CLS}, e as (select source as session_id, source || '-' || (doc_id // 200) as task_id, count(*)::bigint as edit_count,
-        count(distinct lang)::bigint as files_edited from documents group by all),
+@query("edit_metrics", f"""with {CLS}, e as (select session_id, task_id, count_if(not wr)::bigint as edit_count, count_if(wr)::bigint as write_count, count_if(ra)::bigint as replace_all_count,
+        count(distinct file_path)::bigint as files_edited from ed0 group by all),
     o as (select session_id, tb as task_id, count(*) as n, count_if(classification = 'self_correction') as sc, count_if(classification = 'error_recovery') as er,
-          count_if(classification = 'user_directed') as uc, count_if(classification = 'iterative_refinement') as ir from c group by all)
-    select e.session_id, e.task_id, edit_count, files_edited, coalesce(n, 0)::bigint as overlap_count, coalesce(sc, 0)::bigint as self_corrections,
-           coalesce(er, 0)::bigint as error_recoveries, coalesce(uc, 0)::bigint as user_corrections, coalesce(ir, 0)::bigint as iterative_refinements,
-           round((coalesce(sc, 0) * 3 + coalesce(er, 0) * 2 + coalesce(uc, 0) * 5 + case when n > 0 then 1 else 0 end) / edit_count, 6) as triage_score
-    from e left join o on e.session_id = o.session_id and e.task_id = o.task_id""")
+          count_if(classification = 'user_directed') as uc, count_if(classification = 'iterative_refinement') as ir, max(depth) as md from c group by all),
+    fl as (select source as session_id, source || '-' || (doc_id // 200) as task_id, bool_or(n_chars % 50 = 0) as sub,
+           count_if({hit('text', r'\b(sed|tee)\b')} or regexp_matches(text, '[\\p{{L}}\\p{{N}}_](>>|>\\s)[\\p{{L}}\\p{{N}}_]'))::bigint as mods from documents group by all)
+    select e.session_id, e.task_id, edit_count, write_count, replace_all_count, files_edited, coalesce(n, 0)::bigint as overlap_count, coalesce(sc, 0)::bigint as self_corrections,
+           coalesce(er, 0)::bigint as error_recoveries, coalesce(uc, 0)::bigint as user_corrections, coalesce(ir, 0)::bigint as iterative_refinements, coalesce(md, 0)::bigint as max_chain_depth,
+           mods as bash_file_mod_count, sub as has_subagent_edits,
+           round((coalesce(sc, 0) * 3 + coalesce(er, 0) * 2 + coalesce(uc, 0) * 5 + coalesce(md, 0)) / (edit_count + write_count), 6) as triage_score
+    from e left join o on e.session_id = o.session_id and e.task_id = o.task_id join fl on fl.session_id = e.session_id and fl.task_id = e.task_id""")
 def edit_metrics(spark, folder):
-    """A18, A19 per task, chains counted as short."""
+    """A18, A19, C20 per task, with the depth of its chains. Every document is also taken as a shell command."""
     edits, classified = _classified(spark, folder)
-    return tidy(E.edit_metrics(edits, classified).select(
-        "session_id", "task_id", "edit_count", "files_edited", "overlap_count", "self_corrections", "error_recoveries",
-        "user_corrections", "iterative_refinements", "triage_score"))
+    block = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 200).cast("string")).alias("task_id")
+    docs = documents(spark, folder).select(F.col("source").alias("session_id"), block, F.col("text").alias("command"), "n_chars")
+    tasks = docs.groupBy("session_id", "task_id").agg(F.bool_or(F.col("n_chars") % 50 == 0).alias("used_subagents"))
+    return tidy(E.edit_metrics(edits, classified, flags=E.task_flags(docs, tasks)).select(
+        "session_id", "task_id", "edit_count", "write_count", "replace_all_count", "files_edited", "overlap_count", "self_corrections", "error_recoveries",
+        "user_corrections", "iterative_refinements", "max_chain_depth", "bash_file_mod_count", "has_subagent_edits", "triage_score"))
 
 
-@query("edit_bins", f"""with {CLS}, e as (select source as session_id, count(*)::bigint as edits from documents group by all),
+@query("edit_bins", f"""with {CLS}, e as (select session_id, count_if(not wr)::bigint as edits, count(*) as ops from ed0 group by all),
     o as (select session_id, count(*) as n, count_if(classification = 'self_correction') as sc, count_if(classification = 'iterative_refinement') as ir from c group by all)
-    select e.session_id, edits, round(coalesce(sc, 0) / edits, 6) as self_correction_rate, round(coalesce(ir, 0) / edits, 6) as iterative_refinement_rate
+    select e.session_id, edits, round(coalesce(sc, 0) / ops, 6) as self_correction_rate, round(coalesce(ir, 0) / ops, 6) as iterative_refinement_rate
     from e left join o using (session_id)""")
 def edit_bins(spark, folder):
     """A17 rates per bin, J4."""
@@ -635,33 +656,32 @@ def edit_bins(spark, folder):
         "session_id", "edits", "self_correction_rate", "iterative_refinement_rate"))
 
 
-@query("edit_chain_depth", f"""with recursive {LIN}, ed as (select distinct session_id, edit_a_index as a, edit_b_index as b from ov),
-    walk as (select session_id, b, 1 as depth from ed union select ed.session_id, ed.b, walk.depth + 1 from walk join ed on walk.session_id = ed.session_id and walk.b = ed.a)
-    select session_id, b as edit_index, max(depth)::bigint as depth from walk group by all""")
+@query("edit_chain_depth", f"with recursive {LIN}, {DEPTHS} select * from dp")
 def edit_chain_depth(spark, folder):
     """W25."""
     return tidy(E.chain_depths(E.overlaps(E.prepare(document_edits(spark, folder)), write_stage)))
 
 
-@query("edit_signals", f"""with d as (select source as session_id, doc_id // 200 as task_n, lang, doc_id, text from documents),
-    s as (select session_id, task_n, count(*) as n from d b where text <> '' and exists (select 1 from d a where a.session_id = b.session_id and a.task_n = b.task_n and a.lang = b.lang
-          and a.doc_id < b.doc_id and a.text <> '' and (contains(b.text, a.text) or contains(a.text, b.text))) group by all),
+@query("edit_signals", f"""with {EDITS}, d as (select session_id, doc_id // 200 as task_n, file_path, doc_id, old, new from ed0),
+    s as (select session_id, task_n, count(*) as n from d b where old <> '' and exists (select 1 from d a where a.session_id = b.session_id and a.task_n = b.task_n and a.file_path = b.file_path
+          and a.doc_id < b.doc_id and a.new <> '' and (contains(b.old, a.new) or contains(a.new, b.old))) group by all),
     er as (select d.session_id, d.task_n, count(*) as n from d where exists (select 1 from labels l join documents x using (doc_id) where l.toxic = 1 and x.source = d.session_id
            and x.doc_id // 200 = d.task_n and d.doc_id - x.doc_id between 1 and 10) group by all),
-    f as (select session_id, task_n, lang, count(*) as n from d group by all),
-    t as (select session_id, task_n, sum(n) as events, max(n)::bigint as max_chain_depth from f group by all)
+    f as (select session_id, task_n, file_path, count(*) as n from d group by all),
+    t as (select session_id, task_n, sum(n) as events, max(n)::bigint as max_chain_depth from f group by all),
+    u as (select source as session_id, doc_id // 200 as task_n, lower(arg_max(text, doc_id)) as m from documents group by all)
     select t.session_id, t.task_n, coalesce(s.n, 0)::bigint as self_corrections, coalesce(er.n, 0)::bigint as error_recoveries, max_chain_depth,
-           round(coalesce(s.n, 0) / events, 6) as rewrite_rate from t left join s using (session_id, task_n) left join er using (session_id, task_n)""")
+           {count_hits('m', P.CORRECTION_WORDS)}::bigint as user_corrections,
+           round(coalesce(s.n, 0) / events, 6) as rewrite_rate from t left join s using (session_id, task_n) left join er using (session_id, task_n) join u using (session_id, task_n)""")
 def edit_signals(spark, folder):
-    """C8, J10."""
+    """C8, J10. The last text of a task stands for the message that follows it."""
     docs = documents(spark, folder)
     block = F.floor(F.col("doc_id") / 200)
     events = document_edits(spark, folder).withColumn("task_n", F.floor(F.col("msg_index") / 200))
     errors = docs.join(table(spark, folder, "labels").where("toxic = 1"), "doc_id").select(
         F.col("source").alias("session_id"), block.alias("task_n"), F.col("doc_id").alias("msg_index"))
-    tasks = docs.select(F.col("source").alias("session_id"), block.alias("task_n")).distinct().withColumn(
-        "next_user_message", F.lit(""))
-    return tidy(E.edit_signals(events, errors, tasks).drop("user_corrections"))
+    tasks = docs.groupBy(F.col("source").alias("session_id"), block.alias("task_n")).agg(F.max_by("text", "doc_id").alias("next_user_message"))
+    return tidy(E.edit_signals(events, errors, tasks))
 
 
 # --- tests ---------------------------------------------------------------------------------

@@ -137,3 +137,88 @@ def test_anchors_tell_texts_apart():
         mine = set(E._anchors(text, gram, window))
         assert len(mine) >= (1500 - gram) / window - 1
         assert not mine & set(E._anchors(other, gram, window))
+
+
+def depths_of(spark, edges, keep=stage):
+    df = spark.createDataFrame(edges, "session_id string, edit_a_index long, edit_b_index long")
+    return {(r.session_id, r.edit_index): r.depth for r in E.chain_depths(df, keep).collect()}
+
+
+def test_depth_of_random_graphs(spark):
+    rng = random.Random(11)
+    edges = []
+    for s in range(6):
+        n = 40
+        for _ in range(rng.randint(20, 120)):
+            a, b = sorted(rng.sample(range(n), 2))
+            edges.append((f"s{s}", a, b if rng.random() < 0.5 else min(n - 1, a + rng.randint(1, 3))))
+    edges = [e for e in edges if e[1] < e[2]]
+    want = {}
+    for s, a, b in sorted(edges, key=lambda e: (e[0], e[2])):
+        want[s, b] = max(want.get((s, b), 0), want.get((s, a), 0) + 1)
+    # an edge may be met before its start is final: repeat until nothing changes
+    changed = True
+    while changed:
+        changed = False
+        for s, a, b in edges:
+            deeper = want.get((s, a), 0) + 1
+            if deeper > want[s, b]:
+                want[s, b], changed = deeper, True
+    assert depths_of(spark, edges + edges[:9]) == want
+
+
+def test_depth_of_a_long_chain(spark):
+    n, written = 10_000, []
+
+    def counted(df, name="stage"):
+        written.append(name)
+        return stage(df, name)
+
+    edges = [("s", i, i + 1) for i in range(n)] + [("s", i, i + 2) for i in range(0, n - 2, 5)] + [("t", 1, 2)]
+    got = depths_of(spark, edges, counted)
+    assert got["s", n] == n and got["s", 4321] == 4321 and got["t", 2] == 1
+    assert len(written) < 40  # rounds grow with the logarithm of the length
+
+
+def test_no_overlap_no_depth(spark):
+    assert E.chain_depths(spark.createDataFrame([], "session_id string, edit_a_index long, edit_b_index long")).collect() == []
+
+
+def test_common_lines_bring_no_texts_together(spark):
+    licence = [f"this licence line number {i} is in every file" for i in range(12)]
+    texts = []
+    for k in range(300):
+        own = [f"statement {j} of the file {k} alone = {j * k}" for j in range(20)]
+        texts.append("\n".join(licence + own))
+    texts += ["\n".join(licence[:6]), "\n".join(licence[:8] + ["one more line of its own here"])]
+    rows = [("s", "f", f"t{i}") for i in range(len(texts))]
+    edits = spark.createDataFrame([(*r, i, 0, "Edit", "", t, False) for i, (r, t) in enumerate(zip(rows, texts))], EDIT_SCHEMA)
+    done = edits.unionByName(edits.selectExpr("session_id", "file_path", "task_id", "msg_index + 1000 as msg_index", "pos", "tool_name",
+                                              "new_string as old_string", "'' as new_string", "replace_all"))
+    prepared = E.prepare(done)
+    new = prepared.where("adds").selectExpr("session_id", "file_path", "new_id as id", "new_string as text")
+    old = prepared.where("probes").selectExpr("session_id", "file_path", "old_id as id", "old_string as text")
+    texts_df = E.roles(new, old, E.FILE).selectExpr("*", "transform(split(text, '\n'), x -> xxhash64(x)) as lines")
+    pairs = E.shared_lines(texts_df, E.FILE).collect()
+    assert len(pairs) < 5 * len(texts)  # not the square
+    want = lineage(spark, [tuple(r) for r in done.collect()], stage)
+    assert want == replay([tuple(r) for r in done.collect()])
+    anchored = stage(E.with_anchors(texts_df, E.FILE))
+    assert E.contained_pairs(anchored, E.FILE).count() <= len(texts)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_pairs_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pool = [f"a line with some words in it, number {i}" for i in range(30)]
+    texts = {f"t{k}": sorted({pool[min(29, int(rng.expovariate(0.15)))] for _ in range(rng.randint(1, 14))}) for k in range(60)}
+    rows = [("s", "f", k, v, rng.random() < 0.7, rng.random() < 0.7) for k, v in texts.items()]
+    df = spark.createDataFrame(rows, "session_id string, file_path string, id string, words array<string>, is_new boolean, is_old boolean")
+    df = df.selectExpr("session_id", "file_path", "id", "is_new", "is_old", "transform(words, x -> xxhash64(x)) as lines")
+    got = {(r.new_id, r.old_id): r.shared for r in E.shared_lines(df, E.FILE).collect()}
+    for _, _, a, x, new, _ in rows:
+        for _, _, b, y, _, old in rows:
+            both = len(set(x) & set(y))
+            related = a != b and new and old and both and (both / len(set(x) | set(y)) > 0.3 or both / len(y) > 0.5)
+            assert not related or got[a, b] == both
+            assert (a, b) not in got or got[a, b] == both
