@@ -15,6 +15,10 @@ Prefixes are counted in code points of the text as given, whatever normalising
 does to it. Classes and lower case of signs are asked from the tokenizer, once
 for each.
 
+The words of a slice of texts that are not known yet go through the program side
+by side: one step looks up all of their parts of one length at once, in tables
+keyed by 64-bit hashes of up to 32 bytes.
+
 The tokenizer file is read on the driver and travels to the tasks (its size is
 checked, ``FILE_BOUND``); no tokenizer is trained or copied. Words known so far
 are kept per task, ``KNOWN`` at most. Texts are worked off in blocks of about
@@ -38,6 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.llm.columns import free_name, whole_text
+from taskloom.llm.words import BASE, slices
 
 FILE_BOUND = 32 << 20
 KNOWN = 1 << 18
@@ -49,8 +54,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 RESULT = "struct<n_bytes:bigint,n_tokens:bigint,over_limit:boolean,fits:bigint>"
 
-#: SPLIT over the classes of signs; white space is kept as a piece of its own.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+|\s+", re.ASCII)
+#: SPLIT over the classes of signs. A space behind a piece goes with it; other white space is kept as a piece of its own.
+PIECES = re.compile(r"(?:'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+) ?|\s+", re.ASCII)
 SHORTENED = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -61,89 +66,198 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+class Table:
+    """Numbers by 64-bit key, asked for whole arrays of keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = (4 * len(keys) + 1).bit_length()
+        self.key, self.value = np.full(1 << self.bits, FREE), np.zeros(1 << self.bits, np.int32)
+        todo, slot = np.arange(len(keys)), self.slots(keys)
+        while len(todo):
+            free = self.key[slot[todo]] == FREE
+            at, first = np.unique(slot[todo[free]], return_index=True)
+            put = todo[free][first]
+            self.key[at], self.value[at] = keys[put], values[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & (len(self.key) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * BASE >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Value of each key, -1 if it has none."""
+        slot = self.slots(keys)
+        held = self.key[slot]
+        out = np.where(held == keys, self.value[slot], -1)
+        todo = np.flatnonzero((held != keys) & (held != FREE))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.key) - 1)
+            held = self.key[slot[todo]]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.value[slot[todo[hit]]]
+            todo = todo[~hit & (held != FREE)]
+        return out
+
+
+FREE = np.uint64(2**64 - 1)
+#: Words of up to this many bytes are worked off together.
+SHORT = 48
+#: Logarithm of the number of token pairs whose verdict is remembered.
+VERDICT_BITS = 20
+
+
 class Merges:
     """Tokens by number, and which of them may stand side by side."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         number = {t: k for k, t in enumerate(vocab)}
-        self.shift = len(number).bit_length()
+        n = len(number)
+        self.shift = np.uint64(n.bit_length())
         # when each token arises, and from which halves; single signs are there from the start
-        self.born = [(0, 0, 0)] * len(number)
-        self.rank: dict[int, int] = {}
-        for r, (a, b) in enumerate(merges, 1):
-            a, b, made = number[a], number[b], number[a + b]
-            self.rank[a << self.shift | b] = r
-            if not self.born[made][0]:
-                self.born[made] = (r, a, b)
-        self.valid: dict[int, bool] = {}
-        whole = [not r for r, _, _ in self.born]
-        for made in sorted(range(len(number)), key=lambda k: self.born[k][0]):
-            r, a, b = self.born[made]
-            if r:
-                whole[made] = whole[a] and whole[b] and not self.crossed(a, b, made)
-        #: tokens inside a word, and those that end one, without the mark
-        self.opened = {t: k for t, k in number.items() if whole[k] and not t.endswith(END)}
-        self.closed = {t[:-len(END)]: k for t, k in number.items() if whole[k] and t.endswith(END)}
-        self.longest = max(map(len, [*self.opened, *self.closed]))
-
-    def crossed(self, a: int, b: int, made: int | None = None) -> bool:
-        """Whether a merge would cross the border of tokens a and b; their own merge into ``made`` does not count."""
-        never = len(self.rank) + 1
-        ends_a = ends_b = never if made is None else self.born[made][0]
-        own = made is not None
-        while True:
-            r = self.rank.get(a << self.shift | b, never)
+        self.born, self.left, self.right = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        pairs = np.array([(number[a], number[b], number[a + b]) for a, b in merges]).reshape(-1, 3)
+        self.rank = Table(self.pair(pairs[:, 0], pairs[:, 1]), np.arange(1, len(pairs) + 1))
+        for r in range(len(pairs), 0, -1):
+            a, b, made = pairs[r - 1]
+            self.born[made], self.left[made], self.right[made] = r, a, b
+        self.known, self.verdict = np.full(1 << VERDICT_BITS, FREE), np.zeros(1 << VERDICT_BITS, bool)
+        # a token whose own signs would be merged otherwise never appears
+        made = np.flatnonzero(self.born)
+        made = made[np.argsort(self.born[made])]
+        crossed = np.zeros(n, bool)
+        crossed[made] = self.crossed(self.left[made], self.right[made], self.born[made])
+        for k in made.tolist():
+            crossed[k] |= crossed[self.left[k]] | crossed[self.right[k]]
+        sign = {c: b for b, c in enumerate(byte_signs())}
+        tokens = [(bytes(sign[c] for c in t.removesuffix(END)), k, t.endswith(END)) for t, k in number.items() if not crossed[k]]
+        #: tokens inside a word, and those that end one, by their bytes
+        self.opened = {t: k for t, k, ends in tokens if not ends}
+        self.closed = {t: k for t, k, ends in tokens if ends}
+        self.longest = max(len(t) for t, _, _ in tokens)
+        self.tables = [Table(np.array([spelled(t) for t in d], np.uint64), np.array(list(d.values()))) for d in (self.opened, self.closed)]
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.uint64) << self.shift | b.astype(np.uint64)
+
+    def crossed(self, a: np.ndarray, b: np.ndarray, made: np.ndarray | None = None) -> np.ndarray:
+        """Whether a merge would cross the border of tokens a and b. ``made``: when they are meant to be merged themselves."""
+        never = len(self.known) + len(self.born)
+        out, todo = np.zeros(len(a), bool), np.arange(len(a))
+        ends_a = np.full(len(a), never) if made is None else made
+        ends_b, own = ends_a, made is not None
+        while len(todo):
+            r = self.rank.find(self.pair(a, b)).astype(np.int64)
             # of equal merges the leftmost comes first
-            if r < ends_a and r <= ends_b and not own:
-                return True
+            bad = (r >= 0) & (r < ends_a) & (r <= ends_b) & (not own)
             own = False
-            at_a, _, right = self.born[a]
-            at_b, left, _ = self.born[b]
-            if not at_a and not at_b:
-                return False
+            out[todo[bad]] = True
+            at_a, at_b = self.born[a], self.born[b]
+            go = ~bad & ((at_a > 0) | (at_b > 0))
             # step back in time: take apart the half that arose last
-            if at_a > at_b:
-                a, ends_a = right, at_a
-            else:
-                b, ends_b = left, at_b
-
-    def beside(self, pair: int) -> bool:
-        if len(self.valid) > 8 * KNOWN:
-            self.valid.clear()
-        ok = self.valid[pair] = not self.crossed(pair >> self.shift, pair & ((1 << self.shift) - 1))
+            of_a = at_a > at_b
+            ends_a, ends_b = np.where(of_a, at_a, ends_a)[go], np.where(of_a, ends_b, at_b)[go]
+            a, b = np.where(of_a, self.right[a], a)[go], np.where(of_a, b, self.left[b])[go]
+            todo = todo[go]
+        return out
+
+    def beside(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which tokens a may stand before the tokens b."""
+        pair = self.pair(a, b)
+        with np.errstate(over="ignore"):
+            slot = (pair * BASE >> np.uint64(64 - VERDICT_BITS)).astype(np.int64)
+        new = np.flatnonzero(self.known[slot] != pair)
+        ok = self.verdict[slot]
+        if len(new):
+            ok[new] = ~self.crossed(a[new], b[new])
+            self.verdict[slot[new]] = False
+            self.known[slot[new]], self.verdict[slot[new]] = pair[new], ok[new]
         return ok
 
-    def prefixes(self, signs: str, stops) -> list[int]:
-        """Number of tokens of each closed prefix of a word whose length is in ``stops``."""
-        opened, closed, shift, valid, beside = self.opened.get, self.closed.get, self.shift, self.valid.get, self.beside
-        # by length of the open prefix: its last token, moved to the left half of a pair, and its number of tokens
-        last, count, out = [0], [0], []
-        for i in range(1, len(signs) + 1):
-            inside, ending = True, i in stops
-            for j in range(max(0, i - self.longest), i):
-                part = signs[j:i]
-                if inside:
-                    token = opened(part)
-                    if token is not None:
-                        ok = not j or valid(last[j] | token)
-                        if ok or ok is None and beside(last[j] | token):
-                            last.append(token << shift)
-                            count.append(count[j] + 1)
-                            inside = False
-                            if not ending:
-                                break
-                if ending:
-                    token = closed(part)
-                    if token is not None:
-                        ok = not j or valid(last[j] | token)
-                        if ok or ok is None and beside(last[j] | token):
-                            out.append(count[j] + 1)
-                            ending = False
-                            if not inside:
-                                break
+    def prefixes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For words of up to SHORT bytes: the numbers of tokens of their closed prefixes, one after another, and how many each word has.
+
+        Prefixes end with a code point; the last number of each word stands there twice.
+        """
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        most = int(size.max())
+        signs = np.frombuffer(b"".join(w.ljust(most, b"\0") for w in (words[k] for k in order)), np.uint8).reshape(len(words), most).T
+        here = np.searchsorted(-size[order], -np.arange(most + 1), side="right")  # words that reach each length
+        hashes, power = np.zeros((most + 1, len(words)), np.uint64), np.ones(most + 1, np.uint64)
+        # by length of the open prefix: its last token and its number of tokens
+        last, count = np.zeros((most + 1, len(words)), np.int64), np.zeros((most + 1, len(words)), np.int32)
+        out = np.zeros((most + 1, len(words)), np.int32)
+        with np.errstate(over="ignore"):
+            power[1:] = BASE
+            power = np.cumprod(power)
+            for i in range(1, most + 1):
+                hashes[i] = hashes[i - 1] * BASE + (signs[i - 1].astype(np.uint64) + np.uint64(1))
+                for table, inside in zip(self.tables, (True, False)):
+                    todo = np.arange(here[i])
+                    for j in range(max(0, i - self.longest), i):
+                        token = table.find(hashes[i, todo] - hashes[j, todo] * power[i - j])
+                        fits = token >= 0
+                        if j:
+                            some = np.flatnonzero(fits)
+                            fits[some] = self.beside(last[j, todo[some]], token[some])
+                        done = todo[fits]
+                        if inside:
+                            last[i, done], count[i, done] = token[fits], count[j, done] + 1
+                        else:
+                            out[i, done] = count[j, done] + 1
+                        todo = todo[~fits]
+                        if not len(todo):
+                            break
+        back = np.empty(out.T.shape, out.dtype)
+        back[order] = out.T
+        # a prefix may end where no continuation byte follows
+        follows = np.zeros((len(words), most + 1), bool)
+        follows[order, 1:] = (signs.T & 0xC0) == 0x80
+        stops = (np.arange(1, most + 1) <= size[:, None]) & ~np.concatenate([follows[:, 2:], np.zeros((len(words), 1), bool)], axis=1)
+        kept = np.concatenate([back[:, 1:], back[np.arange(len(words)), size][:, None]], axis=1)
+        mask = np.concatenate([stops, np.ones((len(words), 1), bool)], axis=1)
+        return kept[mask], stops.sum(axis=1)
+
+    def prefixes_of_one(self, word: bytes, stops: set[int]) -> list[int]:
+        """The same for a single word of any length, at the lengths in ``stops``."""
+        last, count, out, seen = [0], [0], [], {}
+
+        def fits(j: int, token: int) -> bool:
+            if not j:
+                return True
+            pair = (last[j], token)
+            if pair not in seen:
+                if len(seen) > KNOWN:
+                    seen.clear()
+                seen[pair] = bool(self.beside(np.array(pair[:1]), np.array(pair[1:]))[0])
+            return seen[pair]
+
+        for i in range(1, len(word) + 1):
+            starts = range(max(0, i - self.longest), i)
+            for j in starts:
+                token = self.opened.get(word[j:i])
+                if token is not None and fits(j, token):
+                    last.append(token)
+                    count.append(count[j] + 1)
+                    break
+            if i in stops:
+                for j in starts:
+                    token = self.closed.get(word[j:i])
+                    if token is not None and fits(j, token):
+                        out.append(count[j] + 1)
+                        break
         return out
 
 
+def spelled(token: bytes) -> int:
+    """The hash that ``Merges.prefixes`` gives these bytes."""
+    h = 0
+    for c in token:
+        h = (h * int(BASE) + c + 1) % 2**64
+    return h
+
+
 class Ask(dict):
     """Table of single signs, filled by asking."""
 
@@ -170,50 +284,76 @@ class Prefixes:
         special = [t["content"] for t in spec["added_tokens"]]
         self.merges = Merges(model["vocab"], pairs)
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.sign = byte_signs()
         tokenizer = Tokenizer.from_str(source)
         self.composed = NFC().normalize_str
         lower, pieces = tokenizer.normalizer.normalize_str, lambda s: len(tokenizer.pre_tokenizer.pre_tokenize_str(s))
 
         def kind(c: str) -> str:
             alone = pieces(f"a{c}a")
-            return "q" if alone == 1 else " " if alone == 2 else "!" if pieces(f"!{c}!") == 1 else "0"
+            return "q" if alone == 1 else "\t" if alone == 2 else "!" if pieces(f"!{c}!") == 1 else "0"
 
         # white space is left as it is: it only ends pieces
         self.lower = Ask(lambda c: lower(c) if not c.isspace() else c)
         self.kind = Ask(lambda c: c if c.isascii() else kind(c))
-        self.place: dict[str, int] = {}
-        self.flat, self.begin, self.total = np.zeros(1 << 16, np.int32), [], []
-        self.used = 0
+        self.ready: dict[str, list[str]] = {}
+        self.forget()
 
     # --- words -------------------------------------------------------------
-    def word(self, piece: str) -> list[int]:
-        """Counts of the prefixes of one piece, in code points."""
-        if self.kind[ord(piece[0])] in " \t\n\r\f\v":
-            return [0] * len(piece)
-        if piece in SHORTENED and len(piece) == 3:  # cut short, it is a quote and a letter
-            quote = self.word("'")[0]
-            return [quote, quote + self.word(piece[1])[0], self.closed(piece)[-1]]
-        if piece in SHORTENED:
-            return [self.word("'")[0], self.closed(piece)[-1]]
-        return self.closed(piece)
-
-    def closed(self, piece: str) -> list[int]:
-        data = piece.encode()
-        if piece.isascii() and piece.isprintable():  # its signs stand for themselves
-            return self.merges.prefixes(piece, range(1, len(data) + 1))
-        return self.merges.prefixes("".join([self.sign[b] for b in data]), set(np.cumsum([len(c.encode()) for c in piece]).tolist()))
-
-    def learn(self, pieces) -> None:
-        for piece in pieces:
-            counts = self.word(piece)
-            while self.used + len(counts) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(counts)] = counts
-            self.place[piece] = len(self.begin)
-            self.begin.append(self.used)
-            self.total.append(counts[-1])
-            self.used += len(counts)
+    def learn(self, pieces: set[str]) -> None:
+        """Counts of the prefixes of pieces, in code points."""
+        # a piece with a space behind it shares the numbers of the one without
+        blank = lambda p: self.kind[ord(p[0])] in " \t\n\r\f\v"
+        plain = {p[:-1] if p[-1] == " " and not blank(p) else p for p in pieces}.difference(self.place)
+        cut = [p for p in plain if p in SHORTENED]
+        if cut:  # cut short, these are a quote and a letter
+            plain.update({"'", *(p[1] for p in cut if len(p) == 3)}.difference(self.place))
+        white = [p for p in plain if blank(p)]
+        for p in white:
+            self.keep([p], np.zeros(len(p) + 1, np.int32), np.array([len(p)]))
+        words = [(p, p.encode()) for p in plain.difference(white)]
+        short = [x for x in words if len(x[1]) <= SHORT]
+        for at in range(0, len(short), KNOWN // 8):
+            part = short[at:at + KNOWN // 8]
+            self.keep([p for p, _ in part], *self.merges.prefixes([w for _, w in part]))
+        for p, w in words:
+            if len(w) > SHORT:
+                counts = self.merges.prefixes_of_one(w, set(ends_of(p)))
+                self.keep([p], np.array([*counts, counts[-1]]), np.array([len(p)]))
+        for p in cut:
+            quote, at = self.counts_of("'")[0], self.begin[self.place[p]]
+            self.flat[at] = quote
+            if len(p) == 3:
+                self.flat[at + 1] = quote + self.counts_of(p[1])[0]
+        spaced = [p for p in pieces if p not in self.place]
+        if spaced:
+            base = np.array([self.place[p[:-1]] for p in spaced])
+            self.entries(spaced, self.begin[base], self.length[base] + 1, self.total[base])
+
+    def counts_of(self, piece: str) -> np.ndarray:
+        at = self.begin[self.place[piece]]
+        return self.flat[at:at + len(piece)]
+
+    def keep(self, pieces: list[str], counts: np.ndarray, length: np.ndarray) -> None:
+        """Pieces of ``length`` code points whose numbers follow each other in ``counts``, each with one more at its end."""
+        if not pieces:
+            return
+        self.flat = fitted(self.flat, self.used + len(counts))
+        self.flat[self.used:self.used + len(counts)] = counts
+        end = self.used + np.cumsum(length + 1)
+        self.entries(pieces, end - length - 1, length, self.flat[end - 1])
+        self.used += len(counts)
+
+    def entries(self, pieces: list[str], begin: np.ndarray, length: np.ndarray, total: np.ndarray) -> None:
+        n = len(self.place)
+        for name, values in (("begin", begin), ("length", length), ("total", total)):
+            setattr(self, name, fitted(getattr(self, name), n + len(pieces)))
+            getattr(self, name)[n:n + len(pieces)] = values
+        self.place.update(zip(pieces, range(n, n + len(pieces))))
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.begin, self.length, self.total = (np.zeros(1 << 12, np.int64) for _ in range(3))
 
     # --- texts -------------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
@@ -224,33 +364,48 @@ class Prefixes:
         at = np.cumsum([0, *map(len, kinds)]).tolist()
         return [text[a:b] for a, b in zip(at, at[1:])]
 
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the words of many texts together; their counts are then only put together."""
+        self.ready = {}
+        if len(self.place) > KNOWN:
+            self.forget()
+        new: set[str] = set()
+        for text in texts:
+            for block in self.cut(text):
+                if self.special and self.special.search(block):
+                    continue
+                if not block.isascii() and self.composed(block) != block:
+                    continue
+                self.ready[block] = pieces = self.pieces(block.lower() if block.isascii() else block.translate(self.lower))
+                new.update(set(pieces).difference(self.place))
+        self.learn(new)
+
     def ordinary(self, text: str) -> np.ndarray:
         """Counts of all prefixes of a text without special strings, the empty one included."""
-        if text.isascii():
+        pieces = self.ready.get(text)
+        if pieces is None and text.isascii():
             return self.normalised(text.lower())
-        if self.composed(text) != text:
+        if pieces is None and self.composed(text) != text:
             return self.decomposed(text)
-        lowered = text.translate(self.lower)
-        counts = self.normalised(lowered)
-        if len(lowered) == len(text):
+        counts = self.normalised(text.translate(self.lower)) if pieces is None else self.joined(pieces)
+        if len(counts) == len(text) + 1:
             return counts
         return counts[np.cumsum([0, *(len(self.lower[ord(c)]) for c in text)])]
 
     def normalised(self, text: str) -> np.ndarray:
         pieces = self.pieces(text)
-        if len(self.place) > KNOWN:
-            self.place, self.begin, self.total, self.used = {}, [], [], 0
         new = set(pieces).difference(self.place)
         if new:
             self.learn(new)
-        out = np.zeros(len(text) + 1, np.int64)
-        if pieces:
-            which = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-            length = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            total = np.array(self.total)[which] if len(self.total) < len(which) else np.array([self.total[k] for k in which.tolist()])
-            begin = np.array([self.begin[k] for k in which.tolist()])
-            start = np.cumsum(length) - length
-            out[1:] = self.flat[np.arange(len(text)) + np.repeat(begin - start, length)] + np.repeat(np.cumsum(total) - total, length)
+        return self.joined(pieces)
+
+    def joined(self, pieces: list[str]) -> np.ndarray:
+        which = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        length, total = self.length[which], self.total[which]
+        end = np.cumsum(length)
+        out = np.zeros((int(end[-1]) if len(end) else 0) + 1, np.int64)
+        out[1:] = self.flat[np.arange(len(out) - 1) + np.repeat(self.begin[which] - (end - length), length)]
+        out[1:] += np.repeat(np.cumsum(total) - total, length)
         return out
 
     def decomposed(self, text: str) -> np.ndarray:
@@ -275,17 +430,29 @@ class Prefixes:
             out[b] = counts[at]
         return out
 
-    def blocks(self, text: str) -> Iterator[np.ndarray]:
-        """Counts of the prefixes of 1, 2, ... code points, block by block."""
-        done, at = 0, 0
+    def cut(self, text: str) -> Iterator[str]:
+        at = 0
         while at < len(text):
             to = at + BLOCK
             gap = WHITE.search(text, to) if to < len(text) else None
             to = gap.start() if gap else len(text)
-            counts = self.with_special(text[at:to])
+            yield text[at:to]
+            at = to
+
+    def blocks(self, text: str) -> Iterator[np.ndarray]:
+        """Counts of the prefixes of 1, 2, ... code points, block by block."""
+        done = 0
+        for block in self.cut(text):
+            counts = self.with_special(block)
             yield counts[1:] + done
             done += int(counts[-1])
-            at = to
+
+    def each(self, texts: pa.Array) -> Iterator[Iterator[np.ndarray]]:
+        """``blocks`` of every text of a column, in slices whose words are learnt together."""
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            here = part.column(0).to_pylist()
+            self.prepare(here)
+            yield from map(self.blocks, here)
 
     def with_special(self, text: str) -> np.ndarray:
         parts, at, done = [np.zeros(1, np.int64)], 0, 0
@@ -304,6 +471,16 @@ class Prefixes:
 WHITE = re.compile(r"[ \t\n\r]")
 
 
+def fitted(values: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a longer one that begins with it."""
+    return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), values.dtype)])
+
+
+def ends_of(piece: str) -> list[int]:
+    """Bytes up to the end of each code point."""
+    return np.cumsum([len(c.encode()) for c in piece]).tolist()
+
+
 def check_kind(spec: dict) -> None:
     """Refuse tokenizer files that this method does not fit."""
     steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -347,9 +524,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, into: str
         tables = loaded(source)
         for texts in batches:
             n, fits = [], []
-            for text in texts:
+            for parts in tables.each(texts):
                 at, best, last = 0, 0, 0
-                for counts in tables.blocks(text.as_py()):
+                for counts in parts:
                     within = np.flatnonzero(counts <= limit)
                     best = at + int(within[-1]) + 1 if len(within) else best
                     at, last = at + len(counts), int(counts[-1])
@@ -380,9 +557,9 @@ def prefix_table(docs: DataFrame, vocabulary: str) -> DataFrame:
                                               names=["doc_id", "row", "counts"])
 
         for b in batches:
-            for ident, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for ident, parts in zip(b.column(0).to_pylist(), tables.each(b.column(1))):
                 number, rest = 0, np.zeros(0, np.int32)
-                for counts in tables.blocks(text.as_py()):
+                for counts in parts:
                     rest = np.concatenate([rest, counts.astype(np.int32)])
                     full = len(rest) // ROW
                     if full:
