@@ -19,7 +19,15 @@ Rounding: rates are fixed-point numbers, summed exactly along the documents of a
 source (in hashed blocks of about the square root of its rows, long documents
 first); a document takes a copy whenever the sum passes a whole number. Of
 ``STARTS`` first values of the sum each source uses the one whose copies come
-nearest to its target. Every sum is over integers, so reruns agree.
+nearest to its target. What is then missing or too much is made up by single
+copies: the longest documents that fit first, then the exchange of one document
+for another that comes nearest. Every sum is over integers, so reruns agree.
+
+Only slim rows (id, checksum of the text, source, size) are sorted and summed;
+equal ones count as one row with a number. Whole rows meet their copies in one
+join at the end; of rows that agree in id, text and source, which one takes a
+copy more is told by their place in the table, so ``docs`` should be a table or
+a stage, which gives rows the same places when it is read again.
 
 Defined results: a null or empty text has size 0 and no words to take; the null
 source is a source of its own, last in order; null ids and repeated rows take
@@ -28,10 +36,13 @@ part as rows of their own; an empty table gives no rows; other columns are kept.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskloom.llm.native import n_words
+from taskloom.operators import scan as S
 from taskloom.sources.stage import stage
 
 WEIGHTS = (5, 2, 1)
@@ -105,13 +116,52 @@ def multipliers(sizes: DataFrame, goal: DataFrame, limit: int) -> DataFrame:
     return state
 
 
+def differences(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per size of one source, how many documents take one copy more (or less, if negative), so that its words come nearest to the target.
+
+    Columns: source, size, gap (words missing), more and less (documents that can take or give a copy).
+    """
+    pdf = pdf.sort_values("size", ascending=False)
+    size, gap = pdf["size"].to_numpy(np.int64), float(pdf["gap"].iloc[0])
+    left, sign = abs(gap), 1 if gap > 0 else -1
+    change = np.zeros(len(size), np.int64)
+    for k, most in enumerate(pdf["more" if gap > 0 else "less"].to_numpy(np.int64)):
+        change[k] = sign * min(most, int(left // size[k]))
+        left -= abs(int(change[k])) * int(size[k])
+    more, less = pdf["more"].to_numpy(np.int64) - change, pdf["less"].to_numpy(np.int64) + change
+    # one document for another, or one alone: what changes by nearly the rest
+    rest = sign * left
+    take, give = np.append(np.flatnonzero(more > 0), -1), np.append(np.flatnonzero(less > 0), -1)
+    worth = lambda at: np.where(at < 0, 0, size[at])
+    give = give[np.argsort(worth(give), kind="stable")]
+    near = np.searchsorted(worth(give), worth(take) - rest)
+    best = (abs(rest), -1, -1)
+    for shift in (-1, 0):
+        at = np.clip(near + shift, 0, len(give) - 1)
+        miss = np.abs(rest - worth(take) + worth(give[at]))
+        k = int(miss.argmin())
+        best = min(best, (float(miss[k]), int(take[k]), int(give[at[k]])))
+    if best[1] >= 0:
+        change[best[1]] += 1
+    if best[2] >= 0:
+        change[best[2]] -= 1
+    hit = change != 0
+    return pd.DataFrame({"source": pd.Series([key[0]] * int(hit.sum()), dtype=object), "size": size[hit], "change": change[hit]})
+
+
+def same(a: str, b: str):
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, limit: int = 2) -> DataFrame:
     """docs with size, source_size, target, copies and taken. Without a text column, ``size`` is taken as given."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     text = "text" in docs.columns
-    docs = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"),
-                       (n_words(F.col("text")) if text else F.col("size").cast("long")).alias("size"))
-    sizes = stage(docs.groupBy("source", "size").agg(F.count("*").alias("n")), "size-counts")
+    ident, source = F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")
+    known = (F.xxhash64(F.col("text").cast("string")) if text else F.col("size").cast("long")).alias("hash")
+    slim = docs.select(ident, source, known, (n_words(F.col("text")) if text else F.col("size").cast("long")).alias("size"))
+    items = stage(slim.groupBy("source", "doc_id", "hash", "size").agg(F.count("*").alias("k")), "items")
+    sizes = stage(items.groupBy("source", "size").agg(F.sum("k").alias("n")), "size-counts")
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
     goal = stage(targets(sources, weights, budget, limit), "targets")
     dual = multipliers(sizes, goal, limit)
@@ -119,24 +169,49 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = 1.5, limit: int = 2) -
     plan = goal.alias("g").join(dual.alias("d"), F.col("g.source").eqNullSafe(F.col("d.source"))).select(
         F.col("g.source").alias("to"), "g.source_size", "g.target", "d.mean", "d.lam",
         F.ceil(F.sqrt(F.col("g.n").cast("double")) / 8).cast("long").alias("blocks"))
-    rows = docs.join(plan, F.col("source").eqNullSafe(F.col("to"))).drop("to")
+    rows = items.join(plan, same("source", "to")).drop("to")
     fixed = F.when(F.col("size") > 0, F.round(rate(F.col("size"), F.col("mean"), F.col("lam"), limit) * UNIT)).otherwise(0).cast("long")
-    rows = rows.withColumns({"rate": fixed, "block": F.expr("pmod(xxhash64(doc_id), blocks)")})
+    rows = rows.withColumns({"rate": fixed * F.col("k"), "block": F.expr("pmod(xxhash64(doc_id, hash), blocks)")})
 
     totals = stage(rows.groupBy("source", "block").agg(F.sum("rate").alias("sum")), "blocks")
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("source").alias("to"), F.col("block").alias("in"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"))
-    tie = ["row.text"] if text else []
-    inside = Window.partitionBy("source", "block").orderBy(F.desc("size"), "doc_id", *tie).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("rate").over(inside)).join(
-        totals, F.col("source").eqNullSafe(F.col("to")) & (F.col("block") == F.col("in")))
-    rows = stage(rows.withColumns({"to_here": F.col("before") + F.col("upto"), "to_last": F.col("before") + F.col("upto") - F.col("rate")}).drop(
-        "to", "in", "before", "upto", "mean", "lam", "blocks", "block", "rate"), "placed")
+    inside = Window.partitionBy("source", "block").orderBy(F.desc("size"), "doc_id", "hash").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("rate").over(inside)).join(totals, same("source", "to") & (F.col("block") == F.col("in")))
+    rows = stage(rows.select("source", "doc_id", "hash", "size", "k", "source_size", "target", (F.col("before") + F.col("upto")).alias("to_here"),
+                             (F.col("before") + F.col("upto") - F.col("rate")).alias("to_last")), "placed")
     # whole copies by the running sum, from the start that brings the source nearest to its target
-    copies = lambda start: F.least(F.expr(f"(to_here + {start}) div {UNIT} - (to_last + {start}) div {UNIT}"), F.lit(limit)).cast("long")
+    copies = lambda start: F.least(F.expr(f"(to_here + {start}) div {UNIT} - (to_last + {start}) div {UNIT}"), limit * F.col("k")).cast("long")
     starts = [k * UNIT // STARTS for k in range(STARTS)]
     sums = rows.groupBy("source").agg(F.first("target").alias("goal"), *[F.sum(copies(x) * F.col("size")).alias(f"_{k}") for k, x in enumerate(starts)])
     best = sums.select(F.col("source").alias("to"), F.array_min(F.array(*[
-        F.struct(F.abs(F.col(f"_{k}") - F.col("goal")).alias("off"), F.lit(x).alias("start")) for k, x in enumerate(starts)]))["start"].alias("start"))
-    rows = rows.join(best, F.col("source").eqNullSafe(F.col("to"))).withColumn("copies", F.coalesce(copies("start"), F.lit(0)))
-    return rows.select("row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        F.struct(F.abs(F.col(f"_{k}") - F.col("goal")).alias("off"), (F.col("goal") - F.col(f"_{k}")).alias("gap"), F.lit(x).alias("start"))
+        for k, x in enumerate(starts)])).alias("best"))
+    rows = rows.join(best, same("source", "to")).withColumns({"copies": F.coalesce(copies("best.start"), F.lit(0)), "gap": F.col("best.gap")}).drop("best", "to")
+    rows = stage(rows.select("source", "doc_id", "hash", "size", "k", "source_size", "target", "copies", "gap"), "rounded")
+
+    # single copies that close what is left of the gap: one row per size of a source
+    can_take, can_give = F.col("copies") < limit * F.col("k"), F.col("copies") > 0
+    classes = rows.where("size > 0 and abs(gap) >= 0.5").groupBy("source", "size").agg(
+        F.first("gap").alias("gap"), F.count_if(can_take).alias("more"), F.count_if(can_give).alias("less"))
+    change = stage(classes.groupBy("source").applyInPandas(differences, "source string, size long, change long"), "changes")
+    change = change.select(F.col("source").alias("to"), F.col("size").alias("of"), "change")
+    turn = Window.partitionBy("source", "size", "sign").orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash")
+    met = rows.join(change, same("source", "to") & (F.col("size") == F.col("of"))).withColumn("sign", F.signum("change").cast("long"))
+    met = met.where(F.when(F.col("sign") > 0, can_take).otherwise(can_give)).withColumn("turn", F.row_number().over(turn)).where("turn <= abs(change)")
+    changed = met.select(F.col("source").alias("to"), F.col("doc_id").alias("of"), F.col("hash").alias("has"), "sign")
+    chosen = rows.join(changed, same("source", "to") & same("doc_id", "of") & same("hash", "has"), "left").select(
+        F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"), F.col("hash").alias("_hash"), F.col("size").alias("_size"),
+        F.col("k").alias("_k"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
+        (F.col("copies") + F.coalesce("sign", F.lit(0))).alias("_copies"))
+    chosen = stage(chosen, "copies")
+
+    # whole rows meet their copies; the payload moves here only
+    whole = docs.select(F.struct(*own).alias("row"), ident, source, known, F.monotonically_increasing_id().alias("at"))
+    whole = whole.join(chosen, same("source", "_source") & same("doc_id", "_doc_id") & same("hash", "_hash"))
+    result = ["row", "_size", "_source_size", "_target", "_copies"]
+    several = S.ordered(whole.where("_k > 1"), ["source", "doc_id", "hash"], ["at"], F.expr("shiftright(at, 33)"), nth=S.position())
+    several = several.withColumn("_copies", F.expr("_copies div _k") + (F.col("nth") <= F.expr("_copies % _k")).cast("long"))
+    done = whole.where("_k = 1").select(*result).unionAll(several.select(*result))
+    return done.select("row.*", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
+                       F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))

@@ -15,14 +15,12 @@ from taskloom.llm.fim import fill_in_middle, restore
 from taskloom.llm.html import extract
 from taskloom.llm.jaccard import jaccard_components
 from taskloom.llm.mixing import mix
-from taskloom.llm.native import n_words
 from taskloom.llm.quality import score
 from taskloom.llm.runs import periodic_runs
 from taskloom.llm.secrets import RULES, scan
 from taskloom.llm.sharding import shards
 from taskloom.llm.substrings import digest, remove_repeats
 from taskloom.llm.tokens import token_counts
-from taskloom.sources.stage import stage
 
 QUERIES = {}
 ORACLES = {}
@@ -86,8 +84,8 @@ def op7_jaccard_join(spark, folder):
 
 @query("op8_mixing")
 def op8_mixing(spark, folder):
-    slim = table(spark, folder, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    return mix(stage(slim, "document-sizes")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    mixed = mix(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
 @query("op9_sharding")
