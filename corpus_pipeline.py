@@ -8,21 +8,28 @@ are. The mixing stage repeats a document once per copy.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskloom.llm import decontaminate, mixing, quality, sharding
 from taskloom.llm.jaccard import representatives
-from taskloom.sources.stage import stage
+from taskloom.sources.stage import discard, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def guarded(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """docs with the columns that no operator reads under names that none uses, and the columns that bring them back."""
+    named = {c: c if c in ("doc_id", "text", "source") else f"_own_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(c).alias(n) for c, n in named.items()]), [F.col(n).alias(c) for c, n in named.items()]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and look like the trusted ones."""
-    return quality.score(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    apart, back = guarded(docs)
+    return quality.score(apart, table(spark, sf_dir, "labels")).where("kept").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +47,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
+    apart, back = guarded(docs)
+    taken = mixing.mix(apart).where("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
+    return taken.select(*back)
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if done is not None:
+            discard(done)
+        done = docs
     return docs
