@@ -13,12 +13,16 @@ make one shingle). Two documents link when ``100 * |x & y| >= percent * |x | y|`
 4. Groups that still hold several components are cut into tiles by size band
    and block. In a tile the bit signatures of the sets bound each overlap from
    above (the bits of two parity signatures that differ are at most the
-   elements that differ); pairs that can reach the threshold are intersected
-   exactly as sorted arrays.
+   elements that differ). Of the pairs that can reach the threshold a tile names
+   only as many as would join its components, fewer than it has; these are
+   intersected exactly as sorted arrays. Links merge components, pairs that are
+   none are remembered, and tiles are asked again until they name no pair.
 
-No link is lost: step 2 is exact for any order, and step 4 takes every pair of
-a shared group whose sets are not connected yet. Sets and shingles are known by
-64-bit hashes.
+No link is lost: step 2 is exact for any order, and step 4 ends when every pair
+of a shared group that its signatures allow is connected or known to be no
+link (after ``ROUNDS`` rounds a tile names all such pairs at once). Signatures
+have eight bits for a shingle, so hardly any pair is named in vain. Sets and
+shingles are known by 64-bit hashes.
 
 Defined results: a null or empty text has an empty set, links with nothing and
 is its own component; a null ``doc_id`` takes part, and a component of such
@@ -31,20 +35,21 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from taskloom.llm.components import components
 from taskloom.llm.words import (COUNTS, batch_of, by_range, hits, key_filter, mix, pack_counts, part_bits,
                                 repeated_filter, shingles, slices, split)
-from taskloom.sources.stage import stage
+from taskloom.sources.stage import discard, stage
 
 #: A shingle that so many texts hold is common: it comes last in the order.
 COMMON = 32
-#: Bits of a signature: of sets below LARGE shingles, and of larger ones.
-SMALL_BITS, LARGE_BITS, LARGE = 1024, 4096, 1500
-#: Rounds of stars before tiles.
-STARS = 2
+#: Bits of a signature: about eight for a shingle, a power of two between these.
+LEAST_BITS, MOST_BITS = 256, 1 << 16
+#: Rounds of stars before tiles, and of tiles that name few pairs.
+STARS, ROUNDS = 2, 8
 #: Sets of a tile's side.
 BLOCK = 1024
 
@@ -55,13 +60,13 @@ def _set_hash(u: np.ndarray) -> np.int64:
 
 
 def _signature(u: np.ndarray) -> bytes:
-    bits = SMALL_BITS if len(u) < LARGE else LARGE_BITS
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(u)).bit_length()))
     odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _bits(signatures) -> np.ndarray:
-    """Signatures as rows of 64-bit words; large ones are folded if small ones are among them."""
+    """Signatures as rows of 64-bit words; larger ones are folded to the size of the least."""
     signatures = list(signatures)
     least = min(map(len, signatures))
     if all(len(x) == least for x in signatures):
@@ -156,7 +161,9 @@ def postings(nodes: DataFrame, common, bits: int) -> DataFrame:
     rare = packed.where("shingle is null").groupBy("part").applyInPandas(group, "shingle long, node long, n_shingles long")
     often = packed.where("shingle is not null").select("shingle", "node")
     often = often.join(nodes.select("node", "n_shingles"), "node").select("shingle", "node", "n_shingles")
-    return stage(rare.unionAll(often), "postings")
+    found = stage(rare.unionAll(often), "postings")
+    discard(packed)
+    return found
 
 
 def fitting(a: str, b: str, percent: int):
@@ -172,13 +179,13 @@ def may_link(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             rows = []
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            for large in (False, True):
-                at = np.flatnonzero((np.minimum(n_a, n_b) >= LARGE) == large)
-                if len(at):
-                    x, y = (batch.column(c).take(pa.array(at)).to_pylist() for c in ("s_a", "s_b"))
-                    bits = _bits(x + y)
-                    keep = at[possible((n_a + n_b)[at], np.bitwise_count(bits[:len(at)] ^ bits[len(at):]).sum(1), percent)]
-                    rows += zip(batch.column("a").to_numpy()[keep].tolist(), batch.column("b").to_numpy()[keep].tolist())
+            width = np.minimum(*(pc.binary_length(batch.column(c)).to_numpy() for c in ("s_a", "s_b")))
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                x, y = (batch.column(c).take(pa.array(at)).to_pylist() for c in ("s_a", "s_b"))
+                bits = _bits(x + y)
+                keep = at[possible((n_a + n_b)[at], np.bitwise_count(bits[:len(at)] ^ bits[len(at):]).sum(1), percent)]
+                rows += zip(batch.column("a").to_numpy()[keep].tolist(), batch.column("b").to_numpy()[keep].tolist())
             yield batch_of(rows, "a long, b long")
 
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a long, b long")
@@ -222,7 +229,9 @@ def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent:
                     rows.append((a, b))
             yield batch_of(rows, "a long, b long")
 
-    return stage(both.mapInArrow(meet, "a long, b long"), "links")
+    links = stage(both.mapInArrow(meet, "a long, b long"), "links")
+    discard(wanted, ids, arrays)
+    return links
 
 
 def labelled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -240,8 +249,12 @@ def stars(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     return met.groupBy("a", "b").agg(F.count("*").alias("times")).groupBy("a").agg(F.max_by("b", F.struct("times", "b")).alias("b"))
 
 
-def tiles(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that a tile cannot rule out; mixed has (shingle, node, n_shingles, label)."""
+def tiles(mixed: DataFrame, nodes: DataFrame, refuted: DataFrame | None, percent: int, every: bool) -> DataFrame:
+    """Pairs of different components that a tile cannot rule out; mixed has (shingle, node, n_shingles, label).
+
+    A tile names a forest of pairs over its components, or ``every`` pair. Pairs
+    in ``refuted`` (a, b) are known to be no links.
+    """
     size = mixed.groupBy("shingle").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / percent))).cast("int")
     rows = mixed.join(size, "shingle").withColumn("block", F.expr("pmod(xxhash64(node), blocks)").cast("int"))
@@ -257,7 +270,13 @@ def tiles(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     whole = Window.partitionBy("tile")
     cells = cells.select("tile", "side", "node", "n_shingles", "label", F.min("label").over(whole).alias("l"), F.max("label").over(whole).alias("h"),
                          F.min("side").over(whole).alias("s")).where("l < h and s = 0")
-    cells = cells.join(nodes.select("node", "signature"), "node").select("tile", "side", "node", "n_shingles", "label", "signature")
+    extra = nodes.select("node", "signature")
+    if refuted is None:
+        extra = extra.withColumn("no", F.lit(None).cast("array<long>"))
+    else:
+        # a pair is kept with its greater set
+        extra = extra.join(refuted.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("no")), "node", "left")
+    cells = cells.join(extra, "node").select("tile", "side", "node", "n_shingles", "label", "signature", "no")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(parts, "tile").sortWithinPartitions("tile", "side")
 
@@ -268,61 +287,105 @@ def tiles(mixed: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             last = rest["tile"].iloc[-1]
             done = rest[rest["tile"] != last]
             rest = rest[rest["tile"] == last]
-            yield _pairs(done, percent)
+            yield _pairs(done, percent, every)
         if rest is not None:
-            yield _pairs(rest, percent)
+            yield _pairs(rest, percent, every)
 
     return cells.mapInPandas(compare, "a long, b long").distinct()
 
 
-def _pairs(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _pairs(pdf: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
+    """Pairs of the tiles in a frame: per tile a forest over its components, or all."""
     if not len(pdf):
         return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    tile, side, node, size, label = (pdf[c].to_numpy() for c in ("tile", "side", "node", "n_shingles", "label"))
+    tile, side, node, size, label, no = (pdf[c].to_numpy() for c in ("tile", "side", "node", "n_shingles", "label", "no"))
     signatures = pdf["signature"].to_numpy()
     cut = np.flatnonzero(np.diff(tile)) + 1
-    out = []
+    out = set()
     for a, b in zip([0, *cut], [*cut, len(tile)]):
         m = a + int(np.searchsorted(side[a:b], 1))
+        if not a < m < b:
+            continue
         right = slice(m, b)
-        bits = _bits(signatures[a:b]) if a < m < b else None
+        bits = _bits(signatures[a:b])
+        root = label[a:b].copy()  # components of the tile, joined by the pairs it has named
         for i in range(a, m):
-            ok = (label[right] != label[i]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))
+            ok = (root[m - a:] != root[i - a]) & (100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i]))
             at = np.flatnonzero(ok) + m
-            if len(at):
-                at = at[possible(size[at] + size[i], np.bitwise_count(bits[at - a] ^ bits[i - a]).sum(1), percent)]
-                out += [(min(node[i], x), max(node[i], x)) for x in node[at]]
-    out = np.array(sorted(set(out)), np.int64).reshape(-1, 2)
+            if not len(at):
+                continue
+            differ = np.bitwise_count(bits[at - a] ^ bits[i - a]).sum(1)
+            fits = possible(size[at] + size[i], differ, percent)
+            at, near = at[fits], (differ / (size[at] + size[i]))[fits]
+            new = ~_known(no, node, i, at)
+            at, near = at[new], near[new]
+            if every:
+                out.update((min(node[i], x), max(node[i], x)) for x in node[at])
+                continue
+            for j in at[np.argsort(near, kind="stable")]:
+                if root[j - a] != root[i - a]:
+                    out.add((min(node[i], node[j]), max(node[i], node[j])))
+                    root[root == root[j - a]] = root[i - a]
+    out = np.array(sorted(out), np.int64).reshape(-1, 2)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
+def _known(no: np.ndarray, node: np.ndarray, i: int, at: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, at) are known to be no links."""
+    mine = np.isin(node[at], no[i]) if no[i] is not None else np.zeros(len(at), bool)
+    for k in np.flatnonzero([x is not None for x in no[at]]):
+        mine[k] |= bool((no[at[k]] == node[i]).any())
+    return mine
+
+
 def linked_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_shingles and node of every row, (node, label of its component, component_id) of every set)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    every, common = sets(docs, n, percent)
-    nodes = stage(every.where("node is not null").groupBy("node").agg(
+    whole, common = sets(docs, n, percent)
+    every = stage(whole.select("doc_id", "text_hash", "n_shingles", "node"), "rows")
+    unique = stage(whole.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"),
-        F.first("signature").alias("signature"), F.max(F.col("doc_id").isNull()).alias("any_null")), "nodes")
-    shared = postings(nodes, common, part_bits(docs.sparkSession))
+        F.first("signature").alias("signature"), F.max(F.col("doc_id").isNull()).alias("any_null")), "unique")
+    discard(whole)
+    shared = postings(unique, common, part_bits(docs.sparkSession))
+    nodes = stage(unique.drop("prefix"), "nodes")
+    discard(unique)
 
     links = labels = None
     for _ in range(STARS):
-        found = verify(stage(may_link(stars(shared, labels), nodes, percent), "stars"), docs, nodes, n, percent)
+        pairs = stage(may_link(stars(shared, labels), nodes, percent), "stars")
+        found = verify(pairs, docs, nodes, n, percent)
+        discard(pairs)
         if not found.take(1):
             break
         links = found if links is None else links.unionAll(found)
         labels = stage(components(links), "labels")
 
-    named = labelled(shared, labels)
-    several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    mixed = stage(named.join(several.select("shingle"), "shingle", "left_semi"), "mixed")
-    more = verify(stage(tiles(mixed, nodes, percent), "tiles"), docs, nodes, n, percent)
-    labels = stage(components(more if links is None else links.unionAll(more)), "labels")
+    refuted = None
+    for turn in range(ROUNDS + 1):
+        named = labelled(shared, labels)
+        several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        mixed = stage(named.join(several.select("shingle"), "shingle", "left_semi"), "mixed")
+        pairs = stage(tiles(mixed, nodes, refuted, percent, every=turn == ROUNDS), "tiles")
+        discard(shared)
+        shared = mixed.drop("label")  # groups of one component never split again
+        shared._stage_path = mixed._stage_path
+        if not pairs.take(1):
+            break
+        found = verify(pairs, docs, nodes, n, percent)
+        vain = stage(pairs.join(found, ["a", "b"], "left_anti"), "refuted")
+        discard(pairs)
+        refuted = vain if refuted is None else refuted.unionAll(vain)
+        if found.take(1):
+            links = found if links is None else links.unionAll(found)
+            labels = stage(components(links), "labels")
+    if labels is None:
+        labels = nodes.select("node", F.col("node").alias("label"))
 
     owner = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     least = owner.groupBy("label").agg(F.min("rep").alias("component_id"))
     owner = stage(owner.join(least, "label").select("node", "label", "component_id"), "owners")
-    return every.select("doc_id", "text_hash", "n_shingles", "node"), owner
+    return every, owner
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

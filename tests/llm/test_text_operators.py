@@ -57,6 +57,37 @@ def test_jaccard(spark, request, which):
     assert sorted((tuple(r) for r in rows(jaccard_components(df))), key=str) == brute_components(data)
 
 
+def test_jaccard_rounds(spark, monkeypatch):
+    """Groups full of pairs just below the threshold: tiles name them in vain and remember it."""
+    from taskloom.llm import jaccard
+
+    base = [f"c{i}" for i in range(60)]
+    data = [(k, " ".join(base[:k] + [f"x{k}"] + base[k:30] + [f"y{k}"] + base[30:])) for k in range(3, 28)]
+    data += [(100 + k, " ".join(base[:30] + [f"u{k}_{j}" for j in range(k % 4)] + base[30:])) for k in range(20)]
+    data += [(200 + k, " ".join([f"v{k}_{j}" for j in range(8)] + base)) for k in range(6)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_components(data)
+    assert len({c for _, _, c in want}) > 3
+    for stars, rounds in ((0, 8), (0, 0), (2, 1)):
+        monkeypatch.setattr(jaccard, "STARS", stars)
+        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+        assert sorted((tuple(r) for r in rows(jaccard_components(df))), key=str) == want
+
+
+def test_a_tile_names_a_forest():
+    import numpy as np
+    import pandas as pd
+
+    from taskloom.llm.jaccard import _pairs, _signature
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 6).astype(np.uint64)])) for _ in range(80)]
+    side = [{"tile": 1, "side": s, "node": k, "n_shingles": len(u), "label": k, "signature": _signature(u), "no": None} for s in (0, 1) for k, u in enumerate(sets)]
+    assert len(_pairs(pd.DataFrame(side), 80, False)) == 79
+    assert len(_pairs(pd.DataFrame(side), 80, True)) == 80 * 79 // 2
+
+
 def brute_repeats(docs, size=20):
     seen, out = set(), {}
     for i, t in sorted(docs):
