@@ -182,5 +182,5 @@ def median_interval(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     enough = F.max("size") >= 3
     return joined.groupBy(*keys).agg(
         F.max("size").alias("n"), R.percentile_agg(value, 0.5).alias("median"),
-        F.when(enough, R.at_rank(value, F.col("_r.lo"))).alias("ci_lower"),
-        F.when(enough, R.at_rank(value, F.col("_r.hi"))).alias("ci_upper"))
+        F.when(enough, R.at_rank(value, F.col("_r.lo")).cast("double")).alias("ci_lower"),
+        F.when(enough, R.at_rank(value, F.col("_r.hi")).cast("double")).alias("ci_upper"))

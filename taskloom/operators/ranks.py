@@ -2,9 +2,12 @@
 
 ``percentile`` and ``median`` keep every distinct value of a group in a single
 aggregation buffer. Here values are first counted (one row per group and
-distinct value), then scanned in value ranges: the range borders come from an
-approximate quantile sketch over the counted rows, which only balances the
-work. The result is exact whatever the borders are.
+distinct value), then scanned in value ranges. Each group has borders of its
+own, from a quantile sketch over its counted rows, and as many ranges as those
+rows need; a group of fewer than ``ROWS`` rows is one range. The sketch only
+balances the work: the result is exact whatever the borders are. Whole numbers
+stay whole numbers, so neighbours above 2**53 are told apart. A null group is a
+group like any other.
 """
 
 from __future__ import annotations
@@ -14,20 +17,26 @@ from pyspark.sql import functions as F
 
 from taskloom.operators import scan as S
 
+#: Counted rows of a range.
+ROWS = 8192
+#: A group has at most the square of this many ranges.
+BLOCKS = 24
 
-def value_borders(counted: DataFrame, value: str, blocks: int) -> Column:
-    """Array of ``blocks*blocks - 1`` range borders as a scalar subquery.
 
-    All columns of ``counted`` stay in use, so the subquery reads the very
+def group_borders(counted: DataFrame, groups: list[str], value: str, blocks: int, rows: int) -> DataFrame:
+    """groups, ``_ranges`` and ``_borders`` (blocks * blocks - 1 values) of the groups of more than ``rows`` counted rows.
+
+    All columns of ``counted`` stay in use, so the sketch reads the very
     exchange that the scan reads instead of counting the rows once more.
     """
     n = blocks * blocks
     probs = F.array(*[F.lit(i / n) for i in range(1, n)])
     counts = [F.col(c) for c in counted.columns[counted.columns.index(value) + 1:]]
     some = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    return counted.select(
-        F.percentile_approx(F.when(some > 0, F.col(value)), probs, F.lit(4 * n))
-    ).scalar()
+    found = counted.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_rows"), F.percentile_approx(F.when(some > 0, F.col(value)), probs, F.lit(4 * n)).alias("_borders"))
+    return found.where(F.col("_rows") > rows).select(
+        *groups, F.least(F.lit(n), F.ceil(F.col("_rows") / rows)).alias("_ranges"), "_borders")
 
 
 def value_chunk(value: Column, borders: Column, blocks: int) -> Column:
@@ -45,8 +54,9 @@ def ranked(
     groups: list[str],
     value: str,
     counts: dict[str, Column] | None = None,
-    blocks: int = 8,
+    blocks: int = BLOCKS,
     keep_block: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """One row per (group, value): ``n`` rows, ``below`` rows with a smaller value,
     ``size`` and ``amount`` (sum of values) of the group.
@@ -55,21 +65,24 @@ def ranked(
     ``<name>_below``, ``<name>_size`` and ``<name>_amount``.
     """
     counts = counts or {}
-    known = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    typed = df.where(known).withColumn(value, F.col(value).cast("double"))
-    counted = typed.groupBy(*groups, value).agg(
+    whole = df.schema[value].dataType.typeName() in ("byte", "short", "integer", "long")
+    typed = df.withColumn(value, F.col(value).cast("long" if whole else "double"))
+    known = F.col(value).isNotNull() if whole else F.col(value).isNotNull() & ~F.isnan(value)
+    counted = typed.where(known).groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]
     )
-    chunk = value_chunk(F.col(value), F.col("_borders"), blocks)
-    with_borders = counted.withColumn("_borders", value_borders(counted, value, blocks))
+    met = S.join_keys(counted, group_borders(counted, groups, value, blocks, rows or ROWS), groups, "left")
+    above = value_chunk(F.col(value), F.col("_borders"), blocks)
+    chunk = F.when(F.col("_borders").isNull(), 0).otherwise(F.floor(above * F.col("_ranges") / (blocks * blocks))).cast("int")
+    number = F.col(value).cast("double")
     out = S.ordered(
-        with_borders.withColumn("_block", chunk).drop("_borders"),
+        met.withColumn("_block", chunk).drop("_borders", "_ranges"),
         groups, [value], F.col("_block"),
         below=S.total_before(F.col("n")), size=S.overall(F.col("n")),
-        amount=S.overall(F.col(value) * F.col("n")),
+        amount=S.overall(number * F.col("n")),
         **{f"{k}_below": S.total_before(F.col(k)) for k in counts},
         **{f"{k}_size": S.overall(F.col(k)) for k in counts},
-        **{f"{k}_amount": S.overall(F.col(value) * F.col(k)) for k in counts},
+        **{f"{k}_amount": S.overall(number * F.col(k)) for k in counts},
     )
     return out if keep_block else out.drop("_block")
 
@@ -91,12 +104,12 @@ def percentile_agg(value: str, p: float, of: str = "") -> Column:
     lo, hi = F.floor(h), F.ceil(h)
     low, high = at_rank(value, lo, of), at_rank(value, hi, of)
     part = F.max(h - lo)
-    return low + (high - low) * part
+    return (low + (high - low) * part).cast("double")
 
 
 def nearest_rank_agg(value: str, p: float) -> Column:
     """Index int(p * (n - 1) + 0.5) of the sorted values."""
-    return at_rank(value, F.floor((F.col("size") - 1) * F.lit(float(p)) + 0.5))
+    return at_rank(value, F.floor((F.col("size") - 1) * F.lit(float(p)) + 0.5)).cast("double")
 
 
 PERCENTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
@@ -134,6 +147,6 @@ def terciles(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     size = F.col("size")
     enough = F.max(size) >= 3
     return table.groupBy(*groups).agg(
-        F.when(enough, at_rank(value, F.floor(size / 3))).otherwise(0.0).alias("t1"),
-        F.when(enough, at_rank(value, F.floor(size * 2 / 3))).otherwise(0.0).alias("t2"),
+        F.when(enough, at_rank(value, F.floor(size / 3)).cast("double")).otherwise(0.0).alias("t1"),
+        F.when(enough, at_rank(value, F.floor(size * 2 / 3)).cast("double")).otherwise(0.0).alias("t2"),
     )

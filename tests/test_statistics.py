@@ -115,6 +115,29 @@ def test_ranks_with_a_hot_value(spark, blocks):
             assert got[g][k] == pytest.approx(np.percentile(values, 100 * p))
 
 
+def test_ranks_of_a_narrow_hot_group_and_a_null_group(spark):
+    rng = random.Random(8)
+    rows = [("narrow", 1000 + i * 1e-6) for i in range(900)] + [(None, rng.gauss(0, 1e6)) for _ in range(500)] + [("few", float(i % 3)) for i in range(9)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    table = R.ranked(df, ["g"], "v", blocks=8, rows=32, keep_block=True).collect()
+    for g, least in (("narrow", 20), (None, 12), ("few", 1)):
+        values = sorted(v for k, v in rows if k == g)
+        own = sorted((r for r in table if r.g == g), key=lambda r: r.v)
+        assert [r.below for r in own] == [sum(x < r.v for x in values) for r in own] and {r.size for r in own} == {len(values)}
+        blocks = [r._block for r in own]
+        assert blocks == sorted(blocks) and len(set(blocks)) >= least
+        assert max(blocks.count(b) for b in blocks) <= 3 * 32
+    got = {r.g: r.median for r in R.summary_stats(df, ["g"], "v").collect()}
+    assert got[None] == pytest.approx(statistics.median(v for k, v in rows if k is None))
+
+
+def test_ranks_of_long_numbers(spark):
+    big = 2**60
+    df = spark.createDataFrame([("a", big + i) for i in (3, 1, 2, 2, 0)], "g string, v long")
+    got = sorted((r.v - big, r.n, r.below) for r in R.ranked(df, ["g"], "v").collect())
+    assert got == [(0, 1, 0), (1, 1, 1), (2, 2, 2), (3, 1, 4)]
+
+
 def test_bootstrap_mean_close_to_theory(spark):
     rng = np.random.default_rng(0)
     values = rng.normal(10, 4, 9000)
