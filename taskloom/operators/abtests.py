@@ -1,9 +1,12 @@
 """A/B tests over all slices in one pass.
 
-Rows are expanded to (slice, field, value) and folded to counts at once: a
-category becomes a cell, a predicate a count, a number a (value, count) pair.
-Only these counts are shuffled, so the hot ``overall`` slice shrinks to its
-distinct values, which ``ranks.ranked`` spreads over value ranges.
+Rows are expanded once to (slice, kind, field, value) and folded to two counts,
+one per cohort, in the mapper: a category becomes a cell, a predicate a hit or
+a miss, a number a value with its counts, the row itself a member of the slice.
+This table of counts is all that is shuffled and, written as a stage, all that
+the tests read: the input is scanned once, whatever the number of fields,
+slices and tests. The hot ``overall`` slice shrinks to its distinct values,
+which ``ranks`` spreads over value ranges.
 """
 
 from __future__ import annotations
@@ -19,36 +22,45 @@ from taskloom.functions import numbers as N
 from taskloom.functions import pvalues as PV
 from taskloom.operators import ranks as R
 from taskloom.operators import scan as S
+from taskloom.sources.stage import stage as write_stage
 
 TEST = ["slice", "field"]
+CATEGORY, NUMBER, HIT, MEMBER = "category", "number", "hit", "member"
 
 
-def _sides(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements) -> DataFrame:
+def counts(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements, kinds: tuple[str, ...] = (CATEGORY, NUMBER, HIT, MEMBER)) -> DataFrame:
+    """slice, kind, field, text, number, o_a, o_b: how many rows of each cohort have the value. P26: a null predicate is a miss."""
     a, b = cohorts
-    return df.where(F.col("cohort").isin(a, b)).withColumn("is_a", F.col("cohort") == F.lit(a)).withColumn(
-        "_slices", cfg.slices())
-
-
-def slice_sizes(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements) -> DataFrame:
-    """Slices with enough rows in both cohorts."""
-    sides = _sides(df, cohorts, cfg).select("is_a", F.explode("_slices").alias("slice"))
-    sizes = sides.groupBy("slice").agg(
-        F.count_if("is_a").alias("slice_n_a"), F.count_if(~F.col("is_a")).alias("slice_n_b"))
+    none = F.lit(None).cast("string"), F.lit(None).cast("double")
+    def cell(kind: str, field: str, text: Column, number: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), text.alias("text"), number.alias("number"))
+    cells = [cell(CATEGORY, f, F.col(f).cast("string"), none[1]) for f in cfg.categorical if CATEGORY in kinds]
+    cells += [cell(NUMBER, f, none[0], F.col(f).cast("double")) for f in cfg.continuous if NUMBER in kinds]
+    cells += [cell(HIT, name, F.coalesce(F.col(f).cast("string") == F.lit(v), F.lit(False)).cast("string"), none[1])
+              for name, (f, v) in cfg.proportions.items() if HIT in kinds]
+    cells += [cell(MEMBER, "", F.lit(""), none[1])] if MEMBER in kinds else []
+    if not cells:
+        cells = [cell("", "", *none)]
+    sides = df.where(F.col("cohort").isin(a, b)).select((F.col("cohort") == F.lit(a)).alias("is_a"), cfg.slices().alias("_slices"), F.inline(F.array(*cells)))
+    known = sides.where("text is not null or number is not null and not isnan(number)")
+    return known.select("is_a", "kind", "field", "text", "number", F.explode("_slices").alias("slice")).groupBy(
+        "slice", "kind", "field", "text", "number").agg(F.count_if("is_a").alias("o_a"), F.count_if(~F.col("is_a")).alias("o_b"))
+
+
+def large_slices(found: DataFrame, cfg: Measurements) -> DataFrame:
+    """Slices with enough rows in both cohorts, from the member counts."""
     least = cfg.min_n()
-    return sizes.where((F.col("slice_n_a") >= least) & (F.col("slice_n_b") >= least))
-
-
-def _unpivot(sides: DataFrame, fields: list[str], kind: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast(kind).alias("value")) for f in fields])
-    return sides.select("is_a", "_slices", F.inline(pairs)).where("value is not null").select(
-        "is_a", "field", "value", F.explode("_slices").alias("slice"))
+    return found.where(F.col("kind") == MEMBER).where((F.col("o_a") >= least) & (F.col("o_b") >= least)).select(
+        "slice", F.col("o_a").alias("slice_n_a"), F.col("o_b").alias("slice_n_b"))
 
 
 def contingency(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements) -> DataFrame:
     """Cells of the 2 x k tables."""
-    cells = _unpivot(_sides(df, cohorts, cfg), list(cfg.categorical), "string")
-    return cells.groupBy(*TEST, "value").agg(
-        F.count_if("is_a").alias("o_a"), F.count_if(~F.col("is_a")).alias("o_b"))
+    return cells_of(counts(df, cohorts, cfg, (CATEGORY,)))
+
+
+def cells_of(found: DataFrame) -> DataFrame:
+    return found.where(F.col("kind") == CATEGORY).select(*TEST, F.col("text").alias("value"), "o_a", "o_b")
 
 
 def chi_square(cells: DataFrame) -> DataFrame:
@@ -75,8 +87,13 @@ def chi_square(cells: DataFrame) -> DataFrame:
 
 def mann_whitney(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements, min_n: int = 3) -> DataFrame:
     """U of cohort A, tie term, Cohen's d, medians, means, deviations."""
-    values = _unpivot(_sides(df, cohorts, cfg), list(cfg.continuous), "double")
-    table = R.ranked(values, TEST, "value", {"a": F.col("is_a"), "b": ~F.col("is_a")})
+    return rank_tests(counts(df, cohorts, cfg, (NUMBER,)), min_n)
+
+
+def rank_tests(found: DataFrame, min_n: int = 3) -> DataFrame:
+    counted = found.where(F.col("kind") == NUMBER).select(
+        *TEST, F.col("number").alias("value"), (F.col("o_a") + F.col("o_b")).alias("n"), F.col("o_a").alias("a"), F.col("o_b").alias("b"))
+    table = R.ranked_counts(counted, TEST, "value", ["a", "b"])
     v, n, a, b = (F.col(c) for c in ("value", "n", "a", "b"))
     mean_a, mean_b = N.ratio(F.col("a_amount"), F.col("a_size")), N.ratio(F.col("b_amount"), F.col("b_size"))
     folded = table.groupBy(*TEST).agg(
@@ -101,17 +118,14 @@ def mann_whitney(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements, min
 
 def proportions(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements, min_n: int = 3) -> DataFrame:
     """Pooled z, Wilson intervals and Cohen's h. A null value counts as a miss."""
-    sides = _sides(df, cohorts, cfg)
-    hits = F.array(*[
-        F.struct(F.lit(name).alias("field"),
-                 F.coalesce(F.col(f).cast("string") == F.lit(v), F.lit(False)).alias("hit"))
-        for name, (f, v) in cfg.proportions.items()])
-    rows = sides.select("is_a", "_slices", F.inline(hits)).select(
-        "is_a", "field", "hit", F.explode("_slices").alias("slice"))
-    a, hit = F.col("is_a"), F.col("hit")
-    sums = rows.groupBy(*TEST).agg(
-        F.count_if(a).alias("n_a"), F.count_if(~a).alias("n_b"),
-        F.count_if(a & hit).alias("x_a"), F.count_if(~a & hit).alias("x_b"),
+    return share_tests(counts(df, cohorts, cfg, (HIT,)), min_n)
+
+
+def share_tests(found: DataFrame, min_n: int = 3) -> DataFrame:
+    hit = F.col("text") == "true"
+    sums = found.where(F.col("kind") == HIT).groupBy(*TEST).agg(
+        F.sum("o_a").alias("n_a"), F.sum("o_b").alias("n_b"),
+        F.sum(F.when(hit, F.col("o_a")).otherwise(0)).alias("x_a"), F.sum(F.when(hit, F.col("o_b")).otherwise(0)).alias("x_b"),
     ).where((F.col("n_a") >= min_n) & (F.col("n_b") >= min_n))
     p_a, lo_a, hi_a = N.wilson(F.col("x_a"), F.col("n_a"))
     p_b, lo_b, hi_b = N.wilson(F.col("x_b"), F.col("n_b"))
@@ -123,22 +137,23 @@ def proportions(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements, min_
         p_b.alias("proportion_b"), lo_b.alias("ci_lower_b"), hi_b.alias("ci_upper_b"))
 
 
-def run_tests(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements = Measurements()) -> DataFrame:
-    """The long table of all tests of all slices, with p-values, effects and themes."""
-    parts = []
-    if cfg.categorical:
-        parts.append(chi_square(contingency(df, cohorts, cfg)).withColumn(
-            "p_value", PV.chi_square_p(F.col("statistic"), F.col("dof"))))
-    if cfg.continuous:
-        parts.append(mann_whitney(df, cohorts, cfg).withColumn(
-            "p_value", PV.u_p(F.col("statistic"), F.col("n_a"), F.col("n_b"), F.col("ties"))))
-    if cfg.proportions:
-        parts.append(proportions(df, cohorts, cfg).withColumn("p_value", PV.z_p(F.col("statistic"))))
+def run_tests(df: DataFrame, cohorts: tuple[str, str], cfg: Measurements = Measurements(), keep=write_stage) -> DataFrame:
+    """The long table of all tests of all slices, with p-values, effects and themes.
+
+    The counts and the finished tests (one row each) are stages: the input is
+    read once, and the step-up correction reads rows that exist.
+    """
+    found = keep(counts(df, cohorts, cfg), "test-counts")
+    parts = [
+        chi_square(cells_of(found)).withColumn("p_value", PV.chi_square_p(F.col("statistic"), F.col("dof"))),
+        rank_tests(found).withColumn("p_value", PV.u_p(F.col("statistic"), F.col("n_a"), F.col("n_b"), F.col("ties"))),
+        share_tests(found).withColumn("p_value", PV.z_p(F.col("statistic"))),
+    ]
     tests = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    kept = tests.join(slice_sizes(df, cohorts, cfg).select("slice"), "slice")
-    return kept.withColumn("effect_size", F.abs("effect")).withColumn(
+    kept = tests.join(large_slices(found, cfg).select("slice"), "slice")
+    return keep(kept.withColumn("effect_size", F.abs("effect")).withColumn(
         "effect_label", N.effect_label(F.col("effect"))
-    ).withColumn("significant_p05", F.col("p_value") < 0.05).withColumn("theme", cfg.theme())
+    ).withColumn("significant_p05", F.col("p_value") < 0.05).withColumn("theme", cfg.theme()), "tests")
 
 
 def adjust(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:

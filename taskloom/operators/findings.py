@@ -33,8 +33,8 @@ def narrative(cohorts: tuple[str, str]) -> Column:
         return F.concat(F.lit(f"{name} has higher "), field,
                         F.format_string(" (median %.1f vs %.1f, ", x, y), F.coalesce(d, F.lit("")), F.lit(")"))
     def share(first: str, x: Column, second: str, y: Column) -> Column:
-        return F.concat(field, F.format_string(f": {first} %.1f%%%% vs {second} %.1f%%%% (".replace("%%%%", "%%"),
-                                               x * 100, y * 100), h, F.lit(")"))
+        return F.concat(field, F.lit(f": {first} "), F.format_string("%.1f%%", x * 100), F.lit(f" vs {second} "),
+                        F.format_string("%.1f%% (", y * 100), h, F.lit(")"))
     return (
         F.when(F.col("test") == "mann-whitney-u",
                F.when(med_b > med_a, median(b, med_b, med_a)).when(med_a > med_b, median(a, med_a, med_b)).otherwise(none))

@@ -71,6 +71,19 @@ def ranked(
     counted = typed.where(known).groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]
     )
+    return ranked_counts(counted, groups, value, list(counts), blocks, keep_block, rows)
+
+
+def ranked_counts(
+    counted: DataFrame,
+    groups: list[str],
+    value: str,
+    counts: list[str],
+    blocks: int = BLOCKS,
+    keep_block: bool = False,
+    rows: int | None = None,
+) -> DataFrame:
+    """``ranked`` from rows that are counted already: groups, value, ``n`` and the columns ``counts``, one row per value."""
     met = S.join_keys(counted, group_borders(counted, groups, value, blocks, rows or ROWS), groups, "left")
     above = value_chunk(F.col(value), F.col("_borders"), blocks)
     chunk = F.when(F.col("_borders").isNull(), 0).otherwise(F.floor(above * F.col("_ranges") / (blocks * blocks))).cast("int")

@@ -777,17 +777,69 @@ def bh_bonferroni(spark, folder):
     return tidy(AB.adjust(p).select("o_orderkey", "p_adjusted", "bonferroni_significant", "fdr_significant"), 9)
 
 
-@query("ab_tests")
+def upper_gamma(a: str, x: str) -> str:
+    """SQL of the regularised upper incomplete gamma function by the series of its complement; 1 for x <= 0."""
+    return (f"case when {x} > 0 then greatest(0, 1 - list_sum(list_transform(range(1500), "
+            f"lambda n: exp(({a} + n) * ln({x}) - ({x}) - lgamma({a} + n + 1))))) else 1 end")
+
+
+LABEL = "case when effect is null then 'n/a' when abs(effect) < 0.2 then 'negligible' when abs(effect) < 0.5 then 'small' when abs(effect) < 0.8 then 'medium' else 'large' end"
+ALL_TESTS = f"""{LAB}, cu as (select slice, cohort, 'lang' as field, lang as v from sl union all select slice, cohort, 'toxic', toxic from sl),
+    cc as (select slice, field, v, count_if(cohort = 'a') as oa, count_if(cohort = 'b') as ob from cu group by all),
+    ct as (select slice, field, sum(oa) as na, sum(ob) as nb, count(*) as k from cc group by all),
+    ce as (select cc.*, na, nb, k, (oa + ob) * na / (na + nb) as ea, (oa + ob) * nb / (na + nb) as eb from cc join ct using (slice, field) where k >= 2 and na > 0 and nb > 0),
+    cx as (select slice, field, k, na, nb, sum(pow(abs(oa - ea) - case when k = 2 then least(0.5, abs(oa - ea)) else 0 end, 2) / ea
+           + pow(abs(ob - eb) - case when k = 2 then least(0.5, abs(ob - eb)) else 0 end, 2) / eb) as s from ce group by all),
+    nr as (select slice, cohort, n_chars::double as v, rank() over (partition by slice order by n_chars) + (count(*) over (partition by slice, n_chars) - 1) / 2 as rk from sl),
+    nt as (select slice, sum(n * n * n - n)::double as ties from (select slice, v, count(*)::double as n from nr group by all) group by all),
+    ng as (select slice, count_if(cohort = 'a') as na, count_if(cohort = 'b') as nb, sum(case when cohort = 'a' then rk end) as ra, avg(case when cohort = 'a' then v end) as ma, avg(case when cohort = 'b' then v end) as mb,
+           var_samp(case when cohort = 'a' then v end) as va, var_samp(case when cohort = 'b' then v end) as vb, median(case when cohort = 'a' then v end) as da, median(case when cohort = 'b' then v end) as db from nr group by all),
+    nx as (select *, ra - na * (na + 1) / 2 as u, (greatest(ra - na * (na + 1) / 2, na * nb - ra + na * (na + 1) / 2) - na * nb / 2 - 0.5)
+           / sqrt(na * nb / 12 * ((na + nb + 1) - ties / ((na + nb)::double * (na + nb - 1)))) as z from ng join nt using (slice)),
+    pu as (select slice, cohort, 'good_rate' as field, quality = '1' as h from sl union all select slice, cohort, 'toxic_rate', toxic = '1' from sl),
+    pg as (select slice, field, count_if(cohort = 'a')::double as na, count_if(cohort = 'b')::double as nb, count_if(cohort = 'a' and h)::double as xa, count_if(cohort = 'b' and h)::double as xb from pu group by all),
+    ps as (select *, sqrt((xa + xb) / (na + nb) * (1 - (xa + xb) / (na + nb)) * (1 / na + 1 / nb)) as se from pg),
+    px as (select *, case when se > 0 then (xa / na - xb / nb) / se else 0 end as z from ps),
+    raw as (select slice, field, 'chi-square' as test, s as statistic, sqrt(s / (na + nb)) as effect, {upper_gamma('((k - 1) / 2)', '(s / 2)')} as p, na, nb,
+                   null::double as ma, null::double as mb, null::double as pa, null::double as pb from cx
+            union all select slice, 'n_chars', 'mann-whitney-u', u, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)),
+                   case when z > 0 then {upper_gamma('0.5::double', '(z * z / 2)')} else 1 end, na, nb, da, db, null, null from nx
+            union all select slice, field, 'two-proportion-z', z, 2 * asin(sqrt(xa / na)) - 2 * asin(sqrt(xb / nb)), {upper_gamma('0.5::double', '(z * z / 2)')}, na, nb,
+                   null, null, xa / na, xb / nb from px),
+    br as (select *, row_number() over (order by p) as i, count(*) over () as m from raw),
+    ba as (select *, min(p * m / i) over (order by i desc rows unbounded preceding) as adj from br),
+    bt as (select *, least(min(adj) over (partition by p), 1.0::double) as q, {LABEL} as label,
+           case field when 'lang' then 'text' when 'n_chars' then 'text' else 'labels' end as theme from ba)"""
+
+
+@query("ab_tests", f"""with {ALL_TESTS} select slice, field, test, round(statistic, 4) as statistic, round(effect, 6) as effect, label as effect_label, round(p, 7) as p_value, round(q, 7) as p_adjusted,
+    p < 0.05 as significant_p05, p < 0.05::double / m as bonferroni_significant, q < 0.05 as fdr_significant, theme, na::bigint as n_a, nb::bigint as n_b,
+    round(ma, 4) as median_a, round(mb, 4) as median_b, round(pa, 6) as proportion_a, round(pb, 6) as proportion_b from bt""")
 def ab_tests(spark, folder):
     """T1-T8, T11-T14, J18 with p-values."""
-    return AB.adjust(AB.run_tests(labelled(spark, folder), ("a", "b"), DOC_CFG))
-
-
-@query("findings_rank")
+    tests = AB.adjust(AB.run_tests(labelled(spark, folder), ("a", "b"), DOC_CFG))
+    return tidy(tests.select(
+        "slice", "field", "test", "effect_label", "significant_p05", "bonferroni_significant", "fdr_significant", "theme", "n_a", "n_b",
+        *[F.round(c, k).alias(c) for k, names in ((4, ("statistic", "median_a", "median_b")), (6, ("effect", "proportion_a", "proportion_b")),
+                                                  (7, ("p_value", "p_adjusted"))) for c in names]), 9)
+
+
+@query("findings_rank", f"""with {ALL_TESTS}, d as (select *, replace(field, '_', ' ') as f, printf('h=%.2f', abs(effect)) as h from bt)
+    select row_number() over (order by q < 0.05 desc, coalesce(abs(effect), 0) desc, slice, field, test)::bigint as rank, field, test as test_type, slice as cross_cut, theme,
+    round(p, 7) as p_value, round(q, 7) as p_adjusted, q < 0.05 as fdr_significant, p < 0.05::double / m as bonferroni_significant, round(abs(effect), 6) as effect_size, label as effect_label,
+    case test when 'chi-square' then 'distributions differ' when 'mann-whitney-u' then case when mb > ma then 'b higher' when ma > mb then 'a higher' else 'equal' end
+         else case when pb > pa then 'b higher' when pa > pb then 'a higher' else 'equal' end end as direction,
+    case when test = 'chi-square' then f || printf(' distributions differ (V=%.2f, ', effect) || label || ')'
+         when test = 'mann-whitney-u' and mb > ma then 'B has higher ' || f || printf(' (median %.1f vs %.1f, d=%.2f)', mb, ma, abs(effect))
+         when test = 'mann-whitney-u' and ma > mb then 'A has higher ' || f || printf(' (median %.1f vs %.1f, d=%.2f)', ma, mb, abs(effect))
+         when pb > pa then f || printf(': B %.1f%% vs A %.1f%% (', pb * 100, pa * 100) || h || ')'
+         when pa > pb then f || printf(': A %.1f%% vs B %.1f%% (', pa * 100, pb * 100) || h || ')'
+         else 'No significant difference in ' || f end as narrative from d""")
 def findings_rank(spark, folder):
     """T17, T18, W28."""
     tests = AB.adjust(AB.run_tests(labelled(spark, folder), ("a", "b"), DOC_CFG))
-    return FI.findings(tests, ("a", "b")).drop("values")
+    found = FI.findings(tests, ("a", "b")).drop("values")
+    return tidy(found.withColumns({"effect_size": F.round("effect_size", 6), "p_value": F.round("p_value", 7), "p_adjusted": F.round("p_adjusted", 7)}), 9)
 
 
 SENS = f"""p as (select {parity('n_chars')} as cohort, source || '/' || lang as prj, quality, toxic from documents join labels using (doc_id)),
