@@ -20,9 +20,10 @@ make one shingle). Two documents link when ``100 * |x & y| >= percent * |x | y|`
 
 No link is lost: step 2 is exact for any order, and step 4 ends when every pair
 of a shared group that its signatures allow is connected or known to be no
-link (after ``ROUNDS`` rounds a tile names all such pairs at once). Signatures
-have eight bits for a shingle, so hardly any pair is named in vain. Sets and
-shingles are known by 64-bit hashes.
+link (after ``ROUNDS`` rounds a tile names all such pairs at once). A group that
+names no pair is done, so a round asks only the groups that named some in the
+round before. Signatures have two to four bits for a shingle, so few pairs are
+named in vain. Sets and shingles are known by 64-bit hashes.
 
 Defined results: a null or empty text has an empty set, links with nothing and
 is its own component; a null ``doc_id`` takes part, and a component of such
@@ -46,7 +47,7 @@ from taskloom.sources.stage import discard, stage
 
 #: A shingle that so many texts hold is common: it comes last in the order.
 COMMON = 32
-#: Bits of a signature: about eight for a shingle, a power of two between these.
+#: Bits of a signature: two to four for a shingle, a power of two between these.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Rounds of stars before tiles, and of tiles that name few pairs.
 STARS, ROUNDS = 2, 8
@@ -60,7 +61,7 @@ def _set_hash(u: np.ndarray) -> np.int64:
 
 
 def _signature(u: np.ndarray) -> bytes:
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * len(u)).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(u)).bit_length()))
     odd = np.bincount((u & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -250,7 +251,7 @@ def stars(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def tiles(mixed: DataFrame, nodes: DataFrame, refuted: DataFrame | None, percent: int, every: bool) -> DataFrame:
-    """Pairs of different components that a tile cannot rule out; mixed has (shingle, node, n_shingles, label).
+    """(a, b, shingle): pairs of different components that a tile cannot rule out; mixed has (shingle, node, n_shingles, label).
 
     A tile names a forest of pairs over its components, or ``every`` pair. Pairs
     in ``refuted`` (a, b) are known to be no links.
@@ -268,7 +269,7 @@ def tiles(mixed: DataFrame, nodes: DataFrame, refuted: DataFrame | None, percent
     cells = low.unionAll(high).withColumn("tile", F.xxhash64("shingle", "band", "i", "j"))
     # tiles of one component are dropped while their rows are still slim
     whole = Window.partitionBy("tile")
-    cells = cells.select("tile", "side", "node", "n_shingles", "label", F.min("label").over(whole).alias("l"), F.max("label").over(whole).alias("h"),
+    cells = cells.select("tile", "shingle", "side", "node", "n_shingles", "label", F.min("label").over(whole).alias("l"), F.max("label").over(whole).alias("h"),
                          F.min("side").over(whole).alias("s")).where("l < h and s = 0")
     extra = nodes.select("node", "signature")
     if refuted is None:
@@ -276,7 +277,7 @@ def tiles(mixed: DataFrame, nodes: DataFrame, refuted: DataFrame | None, percent
     else:
         # a pair is kept with its greater set
         extra = extra.join(refuted.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("no")), "node", "left")
-    cells = cells.join(extra, "node").select("tile", "side", "node", "n_shingles", "label", "signature", "no")
+    cells = cells.join(extra, "node").select("tile", "shingle", "side", "node", "n_shingles", "label", "signature", "no")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(parts, "tile").sortWithinPartitions("tile", "side")
 
@@ -291,14 +292,14 @@ def tiles(mixed: DataFrame, nodes: DataFrame, refuted: DataFrame | None, percent
         if rest is not None:
             yield _pairs(rest, percent, every)
 
-    return cells.mapInPandas(compare, "a long, b long").distinct()
+    return cells.mapInPandas(compare, "a long, b long, shingle long")
 
 
 def _pairs(pdf: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
     """Pairs of the tiles in a frame: per tile a forest over its components, or all."""
     if not len(pdf):
-        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-    tile, side, node, size, label, no = (pdf[c].to_numpy() for c in ("tile", "side", "node", "n_shingles", "label", "no"))
+        return pd.DataFrame(np.zeros((0, 3), np.int64), columns=["a", "b", "shingle"])
+    tile, shingle, side, node, size, label, no = (pdf[c].to_numpy() for c in ("tile", "shingle", "side", "node", "n_shingles", "label", "no"))
     signatures = pdf["signature"].to_numpy()
     cut = np.flatnonzero(np.diff(tile)) + 1
     out = set()
@@ -320,14 +321,13 @@ def _pairs(pdf: pd.DataFrame, percent: int, every: bool) -> pd.DataFrame:
             new = ~_known(no, node, i, at)
             at, near = at[new], near[new]
             if every:
-                out.update((min(node[i], x), max(node[i], x)) for x in node[at])
+                out.update((min(node[i], x), max(node[i], x), shingle[i]) for x in node[at])
                 continue
             for j in at[np.argsort(near, kind="stable")]:
                 if root[j - a] != root[i - a]:
-                    out.add((min(node[i], node[j]), max(node[i], node[j])))
+                    out.add((min(node[i], node[j]), max(node[i], node[j]), shingle[i]))
                     root[root == root[j - a]] = root[i - a]
-    out = np.array(sorted(out), np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+    return pd.DataFrame(np.array(sorted(out), np.int64).reshape(-1, 3), columns=["a", "b", "shingle"])
 
 
 def _known(no: np.ndarray, node: np.ndarray, i: int, at: np.ndarray) -> np.ndarray:
@@ -366,12 +366,13 @@ def linked_sets(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataF
         named = labelled(shared, labels)
         several = named.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         mixed = stage(named.join(several.select("shingle"), "shingle", "left_semi"), "mixed")
-        pairs = stage(tiles(mixed, nodes, refuted, percent, every=turn == ROUNDS), "tiles")
+        named = stage(tiles(mixed, nodes, refuted, percent, every=turn == ROUNDS), "tiles")
         discard(shared)
-        shared = mixed.drop("label")  # groups of one component never split again
-        shared._stage_path = mixed._stage_path
-        if not pairs.take(1):
+        if not named.take(1):
             break
+        pairs = stage(named.select("a", "b").distinct(), "pairs")
+        shared = stage(mixed.drop("label").join(named.select("shingle").distinct(), "shingle", "left_semi"), "asked-again")
+        discard(mixed, named)
         found = verify(pairs, docs, nodes, n, percent)
         vain = stage(pairs.join(found, ["a", "b"], "left_anti"), "refuted")
         discard(pairs)

@@ -83,7 +83,7 @@ def test_a_tile_names_a_forest():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
     sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 6).astype(np.uint64)])) for _ in range(80)]
-    side = [{"tile": 1, "side": s, "node": k, "n_shingles": len(u), "label": k, "signature": _signature(u), "no": None} for s in (0, 1) for k, u in enumerate(sets)]
+    side = [{"tile": 1, "shingle": 5, "side": s, "node": k, "n_shingles": len(u), "label": k, "signature": _signature(u), "no": None} for s in (0, 1) for k, u in enumerate(sets)]
     assert len(_pairs(pd.DataFrame(side), 80, False)) == 79
     assert len(_pairs(pd.DataFrame(side), 80, True)) == 80 * 79 // 2
 
