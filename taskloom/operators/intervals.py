@@ -1,8 +1,10 @@
 """Interval operators as sweeps.
 
 Starts and ends become +1 / -1 steps on a time line and every question is a
-prefix sum over the steps, computed in time blocks. No operator joins intervals
-with each other, so long or heavily overlapping sessions cost one step each.
+prefix sum over the steps, computed in time ranges whose borders follow the step
+times of each key: a busy day is cut finely, a quiet year is one range. No
+operator joins intervals with each other, so long or heavily overlapping
+sessions cost one step each.
 
 Input: ``key`` columns (may be empty), ``session_id``, ``start_s``, ``end_s`` in
 epoch seconds. Intervals with ``end_s <= start_s`` are ignored.
@@ -10,14 +12,11 @@ epoch seconds. Intervals with ``end_s <= start_s`` are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskloom.operators import scan as S
 
-DAY = 86400.0
-
-
 def _valid(intervals: DataFrame) -> DataFrame:
     return intervals.where("end_s > start_s").withColumn("_all", F.lit(0))
 
@@ -31,17 +30,22 @@ def _steps(intervals: DataFrame, keys: list[str]) -> DataFrame:
         "step", F.col("delta") * F.col("n"))
 
 
-def concurrency(intervals: DataFrame, keys: list[str] | None = None, width: float = DAY) -> DataFrame:
+def _cut(moments: DataFrame, keys: list[str], guard: Column, width: float | None, rows: int | None) -> DataFrame:
+    """moments with ``_block``: ranges that follow the data, or time blocks of a given width."""
+    if width is not None:
+        return moments.withColumn("_block", S.time_chunk(F.col("at"), width))
+    return S.with_ranges(moments, keys, "at", guard, rows)
+
+
+def concurrency(intervals: DataFrame, keys: list[str] | None = None, width: float | None = None, rows: int | None = None) -> DataFrame:
     """Highest concurrency and number of overlapping pairs.
 
     At equal times an end comes before a start, so touching intervals do not
     overlap. A start that meets ``active`` intervals adds that many pairs.
     """
     keys = [*(keys or []), "_all"]
-    swept = S.ordered(
-        _steps(intervals, keys), keys, ["at", "delta"], S.time_chunk(F.col("at"), width),
-        before=S.total_before(F.col("step")),
-    )
+    steps = _cut(_steps(intervals, keys), keys, (F.col("n") > 0) & (F.col("step") != 0), width, rows)
+    swept = S.ordered(steps, keys, ["at", "delta"], F.col("_block"), before=S.total_before(F.col("step")))
     n, before = F.col("n"), F.col("before")
     pairs = F.when(F.col("delta") > 0, n * before + (n * (n - 1) / 2).cast("long")).otherwise(0)
     return swept.groupBy(*keys).agg(
@@ -51,24 +55,21 @@ def concurrency(intervals: DataFrame, keys: list[str] | None = None, width: floa
     ).drop("_all")
 
 
-def activity_periods(intervals: DataFrame, keys: list[str] | None = None, width: float = DAY) -> DataFrame:
+def activity_periods(intervals: DataFrame, keys: list[str] | None = None, width: float | None = None, rows: int | None = None) -> DataFrame:
     """Merged periods (keys, period_start, period_end); touching intervals merge."""
     named = list(keys or [])
     keys = [*named, "_all"]
-    chunk = S.time_chunk(F.col("at"), width)
-    swept = S.ordered(
-        _steps(intervals, keys).withColumn("_o", -F.col("delta")), keys, ["at", "_o"], chunk,
-        before=S.total_before(F.col("step")),
-    )
+    steps = _cut(_steps(intervals, keys), keys, (F.col("n") > 0) & (F.col("step") != 0), width, rows)
+    swept = S.ordered(steps.withColumn("_o", -F.col("delta")), keys, ["at", "_o"], F.col("_block"), before=S.total_before(F.col("step")))
     opens = (F.col("delta") > 0) & (F.col("before") == 0)
     closes = (F.col("delta") < 0) & (F.col("before") + F.col("step") == 0)
     borders = swept.where(opens | closes).select(
-        *keys, "at", "_o", opens.alias("opens"), F.when(closes, F.col("at")).alias("closed"))
-    paired = S.ordered(borders, keys, ["at", "_o"], chunk, period_end=S.next_after(F.col("closed")))
+        *keys, "_block", "at", "_o", opens.alias("opens"), F.when(closes, F.col("at")).alias("closed"))
+    paired = S.ordered(borders, keys, ["at", "_o"], F.col("_block"), period_end=S.next_after(F.col("closed")))
     return paired.where("opens").select(*named, F.col("at").alias("period_start"), "period_end")
 
 
-def classify_gaps(gaps: DataFrame, intervals: DataFrame, width: float = DAY) -> DataFrame:
+def classify_gaps(gaps: DataFrame, intervals: DataFrame, width: float | None = None, rows: int | None = None) -> DataFrame:
     """Context switch when another session is active at the middle of the gap, else true idle.
 
     ``gaps``: session_id, gap_start_s, gap_end_s. The number of sessions active
@@ -77,7 +78,7 @@ def classify_gaps(gaps: DataFrame, intervals: DataFrame, width: float = DAY) ->
     middle = gaps.withColumn("mid", F.col("gap_start_s") + (F.col("gap_end_s") - F.col("gap_start_s")) / 2)
     iv = _valid(intervals)
     none = F.lit(None).cast("string")
-    rows = (
+    moments = (
         iv.select(F.lit(0).alias("_all"), F.col("start_s").alias("at"), F.lit(0).alias("o"), F.lit(1).alias("step"),
                   none.alias("session_id"), F.lit(None).cast("double").alias("gap_start_s"),
                   F.lit(None).cast("double").alias("gap_end_s"))
@@ -89,7 +90,8 @@ def classify_gaps(gaps: DataFrame, intervals: DataFrame, width: float = DAY) ->
                                    F.lit(0).alias("step"), F.col("session_id").cast("string").alias("session_id"),
                                    "gap_start_s", "gap_end_s"))
     )
-    swept = S.ordered(rows, ["_all"], ["at", "o"], S.time_chunk(F.col("at"), width),
+    cut = _cut(moments, ["_all"], F.col("step").isNotNull(), width, rows)
+    swept = S.ordered(cut, ["_all"], ["at", "o"], F.col("_block"),
                       active=S.total_before(F.col("step"))).where("o = 1")
     own = iv.groupBy(F.col("session_id").cast("string").alias("session_id")).agg(
         F.min("start_s").alias("s"), F.max("end_s").alias("e"))

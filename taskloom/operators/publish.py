@@ -15,9 +15,8 @@ from taskloom.operators import scan as S
 def project_labels(tables: list[DataFrame], project: str = "project_path") -> DataFrame:
     """``project-NN`` by sorted rank over all tables."""
     names = reduce(lambda x, y: x.unionByName(y), [t.select(F.col(project).alias("project")) for t in tables])
-    ranked = S.ordered(
-        names.where("project <> ''").distinct().withColumn("_all", F.lit(0)), ["_all"], ["project"],
-        S.text_chunk("project"), nth=S.position())
+    names = names.where("project <> ''").distinct().withColumn("_all", F.lit(0))
+    ranked = S.ordered(S.with_name_ranges(names, "project"), ["_all"], ["project"], F.col("_block"), nth=S.position())
     return ranked.select("project", F.concat(F.lit("project-"), label_number(F.col("nth"))).alias("label"))
 
 
@@ -56,19 +55,24 @@ def anonymise(df: DataFrame, labels: DataFrame, text_columns: list[str], home: s
 
 
 def scrub_mentions(df: DataFrame, labels: DataFrame, ident: str, text: str, token: str = r"[\w.\-/]+") -> DataFrame:
-    """Replace every project named as a whole path token of a text, by an equi-join on tokens.
+    """Replace every project that a path token of a text begins with (whole path parts), the longest one first.
 
-    Each text is looked up by its own distinct tokens, so the cost follows the
-    text and not the number of projects.
+    A token is looked up by each of its leading parts (``/a/b/c`` asks for
+    ``/a``, ``/a/b`` and ``/a/b/c``): an equi-join whose rows follow the text and
+    not the number of projects. Distinct tokens of the whole table are looked up
+    once; a text then meets the answers of its own tokens.
     """
-    words = df.select(ident, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({token})"), 1))).alias("project"))
-    hits = words.join(labels, "project").groupBy(ident).agg(
-        F.array_sort(F.collect_list(F.struct(-F.length("project"), "project", "label"))).alias("_hits"))
-    j = df.join(hits, ident, "left")
-    cleaned = F.aggregate(
-        F.coalesce("_hits", F.array().cast(hits.schema["_hits"].dataType)), F.col(text),
-        lambda acc, h: F.replace(acc, h["project"], h["label"]))
-    return j.withColumn(text, cleaned).drop("_hits")
+    found = df.select(ident, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({token})"), 1))).alias("token"))
+    parts = F.split("token", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    asked = found.select("token").distinct().select("token", F.explode(heads).alias("project")).where("project <> ''")
+    best = asked.join(labels, "project").groupBy("token").agg(F.max_by(F.struct("project", "label"), F.length("project")).alias("hit"))
+    named = found.join(best, "token").select(
+        ident, F.struct("token", F.concat("hit.label", F.expr("substring(token, length(hit.project) + 1)")).alias("to")).alias("hit"))
+    hits = named.groupBy(ident).agg(F.map_from_entries(F.collect_list("hit")).alias("_hits"))  # at most the tokens of the text
+    pieces = F.regexp_extract_all(text, F.lit(f"({token}|(?s:.))"), 1)
+    cleaned = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at("_hits", p), p)), "")
+    return df.join(hits, ident, "left").withColumn(text, F.when(F.col("_hits").isNull(), F.col(text)).otherwise(cleaned)).drop("_hits")
 
 
 def leaks(df: DataFrame, text_columns: list[str], needles: list[str]) -> DataFrame:

@@ -17,44 +17,12 @@ from pyspark.sql import functions as F
 
 from taskloom.operators import scan as S
 
-#: Counted rows of a range.
-ROWS = 8192
-#: A group has at most the square of this many ranges.
-BLOCKS = 24
-
-
-def group_borders(counted: DataFrame, groups: list[str], value: str, blocks: int, rows: int) -> DataFrame:
-    """groups, ``_ranges`` and ``_borders`` (blocks * blocks - 1 values) of the groups of more than ``rows`` counted rows.
-
-    All columns of ``counted`` stay in use, so the sketch reads the very
-    exchange that the scan reads instead of counting the rows once more.
-    """
-    n = blocks * blocks
-    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    counts = [F.col(c) for c in counted.columns[counted.columns.index(value) + 1:]]
-    some = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    found = counted.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_rows"), F.percentile_approx(F.when(some > 0, F.col(value)), probs, F.lit(4 * n)).alias("_borders"))
-    return found.where(F.col("_rows") > rows).select(
-        *groups, F.least(F.lit(n), F.ceil(F.col("_rows") / rows)).alias("_ranges"), "_borders")
-
-
-def value_chunk(value: Column, borders: Column, blocks: int) -> Column:
-    """Number of borders below the value, by a two-level search."""
-    coarse = F.transform(
-        F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.element_at(borders, (i * blocks).cast("int"))
-    )
-    first = F.size(F.filter(coarse, lambda b: b < value))
-    rest = F.slice(borders, first * blocks + 1, F.lit(blocks))
-    return F.coalesce(first * blocks + F.size(F.filter(rest, lambda b: b < value)), F.lit(0))
-
-
 def ranked(
     df: DataFrame,
     groups: list[str],
     value: str,
     counts: dict[str, Column] | None = None,
-    blocks: int = BLOCKS,
+    blocks: int = S.RANGE_BLOCKS,
     keep_block: bool = False,
     rows: int | None = None,
 ) -> DataFrame:
@@ -79,18 +47,17 @@ def ranked_counts(
     groups: list[str],
     value: str,
     counts: list[str],
-    blocks: int = BLOCKS,
+    blocks: int = S.RANGE_BLOCKS,
     keep_block: bool = False,
     rows: int | None = None,
 ) -> DataFrame:
     """``ranked`` from rows that are counted already: groups, value, ``n`` and the columns ``counts``, one row per value."""
-    met = S.join_keys(counted, group_borders(counted, groups, value, blocks, rows or ROWS), groups, "left")
-    above = value_chunk(F.col(value), F.col("_borders"), blocks)
-    chunk = F.when(F.col("_borders").isNull(), 0).otherwise(F.floor(above * F.col("_ranges") / (blocks * blocks))).cast("int")
+    columns = [F.col(c) for c in ["n", *counts]]
+    some = F.greatest(*columns) if counts else columns[0]
+    met = S.with_ranges(counted, groups, value, some > 0, rows, blocks)
     number = F.col(value).cast("double")
     out = S.ordered(
-        met.withColumn("_block", chunk).drop("_borders", "_ranges"),
-        groups, [value], F.col("_block"),
+        met, groups, [value], F.col("_block"),
         below=S.total_before(F.col("n")), size=S.overall(F.col("n")),
         amount=S.overall(number * F.col("n")),
         **{f"{k}_below": S.total_before(F.col(k)) for k in counts},

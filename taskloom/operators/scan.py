@@ -200,6 +200,54 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.withColumn("_key", F.struct(*keys)).join(other, "_key", how).drop("_key")
 
 
+#: Rows of a range, and the square root of the largest number of ranges of a key.
+RANGE_ROWS, RANGE_BLOCKS = 8192, 24
+
+
+def with_ranges(df: DataFrame, keys: list[str], value: str, guard: Column, rows: int | None = None, blocks: int = RANGE_BLOCKS,
+                name: str = "_block") -> DataFrame:
+    """df with the number of the value range that each row falls into: chunks whose borders follow the data of each key.
+
+    A key of more than ``rows`` rows gets borders from a quantile sketch over
+    its own values, as many as its rows need, so a busy day or a narrow group is
+    cut as finely as any other; all other keys are one range. The borders only
+    balance the work. ``guard`` holds for every row and names the columns that
+    are otherwise unused, so that sketch and scan read one exchange.
+    """
+    n = blocks * blocks
+    probs = F.array(*[F.lit(i / n) for i in range(1, n)])
+    found = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.percentile_approx(F.when(guard, F.col(value)), probs, F.lit(4 * n)).alias("_borders"))
+    found = found.where(F.col("_rows") > (rows or RANGE_ROWS)).select(
+        *keys, F.least(F.lit(n), F.ceil(F.col("_rows") / (rows or RANGE_ROWS))).alias("_ranges"), "_borders")
+    met = join_keys(df, found, keys, "left")
+    above = borders_below(F.col(value), F.col("_borders"), blocks)
+    number = F.when(F.col("_borders").isNull(), 0).otherwise(F.floor(above * F.col("_ranges") / n)).cast("int")
+    return met.withColumn(name, number).drop("_borders", "_ranges")
+
+
+def borders_below(value: Column, borders: Column, blocks: int) -> Column:
+    """Number of the ``blocks * blocks - 1`` sorted borders below the value, by a two-level search."""
+    coarse = F.transform(
+        F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.element_at(borders, (i * blocks).cast("int"))
+    )
+    first = F.size(F.filter(coarse, lambda b: b < value))
+    rest = F.slice(borders, first * blocks + 1, F.lit(blocks))
+    return F.coalesce(first * blocks + F.size(F.filter(rest, lambda b: b < value)), F.lit(0))
+
+
+def with_name_ranges(names: DataFrame, column: str, borders: int = 1023, name: str = "_block") -> DataFrame:
+    """names with the number of the range of a string column, among borders drawn from the names themselves.
+
+    The borders are the ``borders`` names of smallest hash, so names with a long
+    common prefix are cut as finely as any others.
+    """
+    drawn = names.select(column).distinct().orderBy(F.xxhash64(column), column).limit(borders)
+    found = drawn.agg(F.array_sort(F.collect_list(column))).scalar()
+    return names.withColumn("_borders", found).withColumn(
+        name, F.size(F.filter("_borders", lambda b: b < F.col(column)))).drop("_borders")
+
+
 def index_chunk(column: str, size: int = 4096) -> Column:
     """At most ``size`` message indexes per chunk."""
     return F.floor(F.col(column) / size)
@@ -210,11 +258,6 @@ def time_chunk(seconds: Column, width: float = 3600.0) -> Column:
     return F.floor(seconds / width)
 
 
-def text_chunk(column: str, length: int = 2) -> Column:
-    """Leading characters: monotone in the binary order of strings."""
-    return F.substring(F.col(column), 1, length)
-
-
 def epoch_seconds(column: str) -> Column:
     """Seconds since 1970 with microseconds, for both timestamp types."""
     return F.expr(

@@ -72,6 +72,33 @@ def test_intervals_equal_brute_force(spark):
         got = sorted([r.period_start, r.period_end] for r in I.activity_periods(df, width=width).collect())
         assert got == merged
         assert sorted((r.session_id, r.gap_start_s, r.gap_class) for r in I.classify_gaps(gdf, df, width).collect()) == want
+    for cut in ({"rows": 6}, {}):  # borders that follow the data
+        r = I.concurrency(df, **cut).first()
+        assert (r.session_count, r.overlapping_pairs, r.max_concurrency) == (len(real), pairs, top)
+        assert sorted([r.period_start, r.period_end] for r in I.activity_periods(df, **cut).collect()) == merged
+        assert sorted((r.session_id, r.gap_start_s, r.gap_class) for r in I.classify_gaps(gdf, df, **cut).collect()) == want
+
+
+def test_ranges_follow_the_data(spark):
+    rng = random.Random(6)
+    busy = [("k", 1e6 + rng.random()) for _ in range(2000)] + [("k", float(86400 * i)) for i in range(50)] + [(None, 5.0)] * 300
+    df = S.with_ranges(spark.createDataFrame(busy, "k string, at double"), ["k"], "at", F.lit(True), rows=100).collect()
+    own = sorted((r.at, r._block) for r in df if r.k == "k")
+    assert [b for _, b in own] == sorted(b for _, b in own)
+    sizes = [sum(b == n for _, b in own) for n in {b for _, b in own}]
+    assert len(sizes) >= 15 and max(sizes) <= 300
+    assert len({r._block for r in df if r.k is None}) == 1  # one value cannot be cut
+    names = spark.createDataFrame([(f"/home/someone/projects/p{i:04d}",) for i in range(3000)], "p string")
+    cut = S.with_name_ranges(names, "p", 63, "c").orderBy("p").collect()
+    assert [r.c for r in cut] == sorted(r.c for r in cut) and len({r.c for r in cut}) == 64
+    assert max(sum(r.c == n for r in cut) for n in range(64)) < 400
+
+
+def test_names_inside_paths(spark):
+    labels = spark.createDataFrame([("/srv/a", "project-01"), ("/srv/a/b", "project-02"), ("x-y", "project-03")], "project string, label string")
+    rows = [(1, "in /srv/a/b/c.py, /srv/a/z and /srv/ab; x-y x-yz /srv/a/b"), (2, None), (3, "")]
+    got = publish.scrub_mentions(spark.createDataFrame(rows, "id int, t string"), labels, "id", "t").orderBy("id").collect()
+    assert [r.t for r in got] == ["in project-02/c.py, project-01/z and /srv/ab; project-03 x-yz project-02", None, ""]
 
 
 def test_outcome_rules(spark):
