@@ -109,8 +109,10 @@ def replication_rows(candidates: DataFrame, files: DataFrame, first: int = 10) -
     from pyspark.sql.window import Window
 
     key = ["session_id", "task_n"]
+    # distinct files are cut to the first ones of a task in every mapper (window group limit), so a task of any size sends ten rows
     wanted = files.join(candidates.select(*key), key, "left_semi").select(*key, "file").distinct()
-    lists = wanted.groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("file")), 1, first).alias("files"))
+    ordered = wanted.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("file"))).where(F.col("_n") <= first)
+    lists = ordered.groupBy(*key).agg(F.array_sort(F.collect_list("file")).alias("files"))
     by_score = Window.partitionBy("_all").orderBy(F.desc("score"), "task_id")
     return candidates.withColumn("_all", F.lit(0)).withColumn("number", F.row_number().over(by_score)).join(
         lists, key, "left").select(
