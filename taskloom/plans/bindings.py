@@ -74,3 +74,44 @@ def document_edits(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", "source", F.floor(ident / 200).cast("string")).alias("task_id"),
         ident.alias("msg_index"), F.lit(0).alias("pos"), F.when(write, "Write").otherwise("Edit").alias("tool_name"),
         old.alias("old_string"), F.col("text").alias("new_string"), (~write & (ident % 11 == 0)).alias("replace_all"))
+
+
+def conversation_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A session log as ``sources.logs.read_lines`` gives it: JSON lines with list content, tool calls, tool results and usage.
+
+    Every turn of a conversation is a message of the log. A user turn is a plain
+    string, a list with a bare string, or the result of the call before it; an
+    assistant turn answers with a text and a call; a system turn marks a
+    compaction and is followed by a blank and by a broken line.
+    """
+    text, conv, turn = F.coalesce("text", F.lit("")), F.col("conv_id"), F.col("turn")
+    ident = F.concat_ws("-", conv.cast("string"), turn.cast("string"))
+    def block(**fields):
+        return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    def message(kind: str, blocks, **fields):
+        return F.concat(F.lit('{"type":"' + kind + '","message":{"content":['), F.array_join(F.array(*blocks), ","), F.lit("]"),
+                        *[F.concat(F.lit(f',"{k}":'), v) for k, v in fields.items() if k != "rest"], F.lit("}"), fields.get("rest", F.lit("")), F.lit("}"))
+    said = block(type=F.lit("text"), text=text)
+    user = (conv + F.floor(turn / 2)) % 3
+    result = block(type=F.lit("tool_result"), tool_use_id=F.concat_ws("-", conv.cast("string"), (turn - 1).cast("string")),
+                   is_error=conv % 2 == 0, content=F.array(F.struct(F.lit("text").alias("type"), text.alias("text"))))
+    asked = (F.when(user == 0, F.to_json(F.struct(F.lit("user").alias("type"), F.struct(text.alias("content")).alias("message"))))
+             .when(user == 1, message("user", [said, F.lit('"and more"')])).otherwise(message("user", [result])))
+    def call(name: str, **given):
+        return block(type=F.lit("tool_use"), id=ident, name=F.lit(name), input=F.struct(*[v.alias(k) for k, v in given.items()]))
+    which = (conv + turn) % 3
+    made = (F.when(which == 0, call("Edit", file_path=F.concat(F.lit("f"), turn.cast("string")), old_string=text,
+                                    new_string=F.concat(text, F.lit("\n"), text), replace_all=conv % 5 == 0))
+            .when(which == 1, call("Bash", command=text, run_in_background=conv % 2 == 0)).otherwise(call("Grep", pattern=text, path=F.lit("src"))))
+    usage = F.to_json(F.struct(F.length(text).alias("input_tokens"), (turn * 2).alias("output_tokens"), conv.alias("cache_read_input_tokens"),
+                               F.lit(7).alias("cache_creation_input_tokens")))
+    request = F.concat(F.lit(',"requestId":"'), conv.cast("string"), F.lit("-"), F.floor(turn / 4).cast("string"), F.lit('"'))
+    marker = F.to_json(F.struct(F.lit("system").alias("type"), F.lit("compact_boundary").alias("subtype"), F.struct(
+        F.lit("auto").alias("trigger"), F.length(text).alias("preTokens")).alias("compactMetadata")))
+    value = (F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", message("assistant", [said, made], usage=usage, rest=request))
+             .otherwise(marker))
+    more = F.when(F.col("role") == "system", F.array(F.lit(""), F.lit('{"type": "user", "broken'))).otherwise(F.array().cast("array<string>"))
+    lines = table(spark, folder, "conversations").select(conv, turn, F.posexplode(F.concat(F.array(value), more)).alias("at", "value"))
+    return lines.select(
+        "value", F.concat(F.lit("p/"), conv.cast("string"), F.lit(".jsonl")).alias("file_path"), F.floor(turn / 1024).alias("block"),
+        (turn * 3 + F.col("at")).alias("line"), conv.cast("string").alias("session_id"), F.lit("p").alias("project_path"))
