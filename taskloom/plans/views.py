@@ -205,7 +205,7 @@ def satisfaction_tests(r: Results) -> DataFrame:
     wanted = ["alignment_score", "satisfaction_rate", "dissatisfaction_rate", "complete_rate", "failed_rate", "task_completion"]
     return r.tests.where((F.col("slice") == "overall") & F.col("field").isin(wanted)).select(
         "field", "test", "statistic", "p_value", "effect", "effect_label", "bonferroni_significant",
-        "mean_a", "mean_b", "proportion_a", "proportion_b")
+        "n_a", "n_b", "median_a", "median_b", "mean_a", "mean_b", "std_a", "std_b", "proportion_a", "proportion_b")
 
 
 @view
@@ -347,7 +347,9 @@ def _interval_view(r: Results, level: str, value: str, mean: Column) -> DataFram
 
 @view
 def verbosity_by_type(r: Results) -> DataFrame:
-    return _interval_view(r, "type", "avg_output_tokens", F.col("total_output_tokens").cast("double"))
+    """Known types that both cohorts have output for."""
+    both = _interval_view(r, "type", "avg_output_tokens", F.col("total_output_tokens").cast("double"))
+    return both.where("type <> 'unknown' and avg_output_tokens_a > 0 and avg_output_tokens_b > 0")
 
 
 @view
@@ -390,9 +392,11 @@ def findings_summary(r: Results) -> DataFrame:
     return overall.orderBy(F.desc(F.coalesce("fdr_significant", F.lit(False))), "rank")
 
 
-def findings_by_theme(r: Results, theme: str) -> DataFrame:
-    """v_findings_by_theme: findings of one theme."""
-    return r.findings.where(F.col("theme") == theme).orderBy("rank")
+@view
+def findings_by_theme(r: Results, theme: str | None = None) -> DataFrame:
+    """Findings of one theme, or of all themes after each other."""
+    found = r.findings if theme is None else r.findings.where(F.col("theme") == theme)
+    return found.orderBy(F.col("theme").asc_nulls_last(), "rank")
 
 
 @view

@@ -63,3 +63,16 @@ def test_view_numbers(results):
     assert over["a"].total_events == 4 and over["a"].sessions_with_events == 2
     comp = {r.cohort: r for r in views.VIEWS["v_dataset_composition"](results).collect()}
     assert comp["a"].sessions == 8 and comp[None].sessions == 16 and comp["a"].shared_projects == 2
+
+
+def test_views_of_tests_and_types(results):
+    wide = views.VIEWS["v_verbosity_by_type"](results).collect()
+    assert all(r.type != "unknown" and r.avg_output_tokens_a > 0 and r.avg_output_tokens_b > 0 for r in wide)
+    tests = views.VIEWS["v_satisfaction_tests"](results).collect()
+    assert tests and all(r.n_a > 0 and r.n_b > 0 for r in tests)
+    assert all(r.median_a is not None and r.std_b is not None for r in tests if r.test == "mann-whitney-u")
+    themed = views.VIEWS["v_findings_by_theme"](results).collect()
+    assert len(themed) == results.findings.count()
+    one = next((r.theme for r in themed if r.theme), None)
+    if one:
+        assert {r.theme for r in views.findings_by_theme(results, one).collect()} == {one}
