@@ -3,7 +3,7 @@
 A window is as many consecutive words of a document as a benchmark item has
 (A-Z folded). It leaks the item if the weighted Jaccard similarity of their
 ``n``-word shingles (a shingle weighs as often as it occurs) is ``least`` or
-more.
+more. A document shorter than an item is one window of its own length.
 
 1. Windows in which fewer than ``least`` of the shingles occur in the benchmark
    at all cannot reach the threshold; they are left out.
@@ -85,6 +85,17 @@ def index_of(rows: list[tuple], n: int) -> dict[int, tuple[int, np.ndarray, Item
 def leaks(w, index, n: int, least: float) -> dict[tuple[int, object], tuple[float, int, int, int]]:
     """(row, item) -> (similarity, -first word, words, distance) of the best window, over the texts of a slice."""
     best = {}
+
+    def verify(row: int, i: int, window: np.ndarray, items: Items, mark: np.uint64, first: int, n_words: int) -> None:
+        own, item = Counter(window.tolist()), items.grams[i]
+        both = sum(min(c, own[g]) for g, c in item.items() if g in own)
+        similar = both / (len(window) + item.total() - both)
+        if similar >= least:
+            found = (similar, -first, n_words, int(np.bitwise_count(mark ^ items.print[i])))
+            key = (row, items.ids[i])
+            if key not in best or found > best[key]:
+                best[key] = found
+
     row_of = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
     for k in sorted({k for k, _, _ in index.values()}):
         h = windows(w.hash, k)
@@ -101,9 +112,20 @@ def leaks(w, index, n: int, least: float) -> dict[tuple[int, object], tuple[floa
         member = np.zeros(len(h) + 1, np.int64)
         member[some + 1] = 1
         member = np.cumsum(member)
+        long = np.diff(w.first)
         for size, (kk, _, items) in index.items():
             m = size - k + 1
-            if kk != k or len(h) < m:
+            if kk != k:
+                continue
+            # shorter documents, whole: as many shingles as the threshold needs, and as many known ones
+            grams = long - k + 1
+            for row in np.flatnonzero((long < size) & (long >= k) & (grams >= least * m)).tolist():
+                at, own = int(w.first[row]), int(grams[row])
+                if member[at + own] - member[at] >= least * m:
+                    prints = fingerprints(h[at:at + own], np.zeros(1, np.int64), own)
+                    for _, i in items.near(prints):
+                        verify(row, i, h[at:at + own], items, prints[0], 0, int(long[row]))
+            if len(h) < m:
                 continue
             # only windows around a known shingle are looked at
             near = np.unique((some[:, None] - np.arange(m)[None, :]).ravel())
@@ -116,16 +138,8 @@ def leaks(w, index, n: int, least: float) -> dict[tuple[int, object], tuple[floa
                 low = part[0]
                 prints = fingerprints(h[low:part[-1] + m], part - low, m)
                 for a, i in items.near(prints):
-                    own = Counter(h[part[a]:part[a] + m].tolist())
-                    item = items.grams[i]
-                    both = sum(min(c, own[g]) for g, c in item.items() if g in own)
-                    similar = both / (2 * m - both)
-                    if similar >= least:
-                        row = int(row_of[part[a]])
-                        found = (similar, -int(part[a] - w.first[row]), size, int(np.bitwise_count(prints[a] ^ items.print[i])))
-                        key = (row, items.ids[i])
-                        if key not in best or found > best[key]:
-                            best[key] = found
+                    row = int(row_of[part[a]])
+                    verify(row, i, h[part[a]:part[a] + m], items, prints[a], int(part[a] - w.first[row]), size)
     return best
 
 

@@ -187,10 +187,12 @@ def test_decontamination(spark, documents, odd):
             own, m = Counter(grams(w)), len(w) - 4
             if not own.keys() & set(s):
                 continue
-            for k in range(len(s) - m + 1):
-                both = sum((own & Counter(s[k:k + m])).values())
-                if both / (2 * m - both) >= 0.8:
-                    expected[r.doc_id, item] = max(expected.get((r.doc_id, item), 0), both / (2 * m - both))
+            for k in range(max(1, len(s) - m + 1)):  # a shorter document is one window
+                window = s[k:k + m]
+                both = sum((own & Counter(window)).values())
+                similar = both / (m + len(window) - both)
+                if similar >= 0.8:
+                    expected[r.doc_id, item] = max(expected.get((r.doc_id, item), 0), similar)
     got = {(r.doc_id, r.item_id): r.similarity for r in rows(decontaminate.find(documents, bench))}
     assert got == pytest.approx(expected) and got
     clean = {r.doc_id for r in rows(decontaminate.clean(documents, bench))}
@@ -200,6 +202,17 @@ def test_decontamination(spark, documents, odd):
     assert rows(decontaminate.clean(odd, small.limit(0))) == rows(odd)
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    item = [f"b{i}" for i in range(60)]
+    data = [(1, item[:-1]), (2, item[5:]), (3, item[:47]), (4, ["x", *item[:58]]), (5, item[:4]), (6, item), (7, [f"c{i}" for i in range(55)]), (8, item[:53])]
+    docs = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in data], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, "b0 b1 b2 b3 b4 b5"), (12, "b0 b1 b2")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows(decontaminate.find(docs, bench)) if r.item_id == 10}
+    assert got == pytest.approx({(1, 10): 55 / 56, (2, 10): 51 / 56, (4, 10): 54 / 57, (6, 10): 1.0, (8, 10): 49 / 56})
+    kept = {r.doc_id for r in rows(decontaminate.clean(docs, bench.where("item_id = 10")))}
+    assert kept == {3, 5, 7}
+
+
 def test_html():
     page = """<html><head><title>no</title><style>p{}</style></head><body class="has-sidebar"><header>Site</header><nav><a href=x>m</a></nav>
       <div class="cookie-notice">We use cookies, yes, many, many.</div><div id=content><h1>T &amp; t</h1><p>First, with <b>bold</b>
