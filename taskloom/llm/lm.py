@@ -13,7 +13,8 @@ words are dealt over the cells by rank, the others by hash.
 ``P(word | context) = P(a | context) P(b | a, context) P(word | cell)``: two
 softmax layers over hashed features (the previous word, the word before it
 skipping one, and the pair of both) and, inside a cell, smoothed relative
-frequencies. Training runs in ``ROUNDS`` rounds over all training documents:
+frequencies. Training runs in ``ROUNDS`` rounds, each over the training
+documents of one residue of their checksum, so every document is seen once:
 tasks take AdaGrad steps in batches from the same parameters, their changes are
 added up per block of parameters, weighted by tokens, and sent out again.
 
