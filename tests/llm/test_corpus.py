@@ -128,3 +128,17 @@ def test_pipeline_null_and_repeated_ids(spark):
     kept = [(r.doc_id, r.text) for r in rows(corpus_pipeline.near_duplicates(spark, docs, SF))]
     expected = [(3, a), (5, b), (8, c + " end"), (None, " "), (None, " "), (9, None), (None, "only one")]
     assert sorted(kept, key=str) == sorted(expected, key=str)
+
+
+def test_pipeline_clashing_names_and_empty_tables(spark, documents):
+    own = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in ("size", "kept", "copies", "n_words", "log_ratio", "target", "row")}
+    docs = documents.limit(60).withColumns(own)
+    for step in (corpus_pipeline.quality_rules, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.mix_sources):
+        done = step(spark, docs, SF)
+        assert done.columns == docs.columns and done.schema == docs.schema
+        got = rows(done)
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in own)
+    docs = documents.limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stage(step(spark, docs, SF), "empty")
+        assert rows(docs) == []
