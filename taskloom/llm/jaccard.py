@@ -50,7 +50,7 @@ COMMON = 32
 #: Bits of a signature: two to four for a shingle, a power of two between these.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
 #: Rounds of stars before tiles, and of tiles that name few pairs.
-STARS, ROUNDS = 2, 8
+STARS, ROUNDS = 2, 2
 #: Sets of a tile's side.
 BLOCK = 1024
 
