@@ -1,11 +1,14 @@
 """Edit lineage: which edit rewrote text that an earlier edit placed.
 
-The lineage is a set of equi-joins. Texts of a (session, file) are reduced to
-distinct texts first; two texts become a candidate pair only when they share a
-line that is rare for both, or the rarest anchor (a gram that a contained text
-must share with its container) of one. The life of a piece of text is an as-of scan for the first later edit that
-overwrites it. Nothing compares all edits of a file with each other, and exact
-copies count once.
+The lineage is a set of equi-joins. A Write replaces the whole file, so text
+placed before it meets no edit after it: only edits of one era, from one Write
+to the next, are compared. In an era of little text each new text meets each
+later old text in one join. A longer era (a file that is never written anew) is
+reduced to distinct texts; two texts become a candidate pair only when they
+share a line that is rare for both, or the rarest anchor (a gram that a
+contained text must share with its container) of one. The life of a piece of
+text is an as-of scan for the first later edit that overwrites it. Nothing
+compares all edits of a file with each other.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from taskloom.sources.stage import stage as write_stage
 
 MIN_TEXT = 20
 FILE = ["session_id", "file_path"]
+ERA = [*FILE, "era"]
+#: Edits times characters up to which the texts of a group meet each other directly.
+DIRECT = 1 << 28
 
 # (gram length, window): two texts that share a substring of gram + window - 1
 # characters share an anchor of that level. A contained text uses the level of
@@ -209,36 +215,92 @@ def overlap_tier(new_len, old_len, new_in_old, old_in_new, shared, new_lines, ol
     return tier, ratio
 
 
-def text_relations(edits: DataFrame, keep=write_stage) -> DataFrame:
-    """C17 for every related pair of distinct (new text, old text) of a file.
+def heavy_groups(edits: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Groups in which a comparison of every new with every old text would exceed ``limit``; ``edits`` holds ``chars``."""
+    return edits.groupBy(*keys).agg((F.count(F.lit(1)) * F.sum("chars")).alias("_load")).where(F.col("_load") > limit).select(*keys)
 
-    Columns: session_id, file_path, new_id, old_id, tier, ratio, kills. ``kills``
-    marks old texts that contain the new text and therefore overwrite it.
-    """
-    new = edits.where("adds").select(*FILE, F.col("new_id").alias("id"), F.col("new_string").alias("text"))
-    old = edits.where("probes").select(*FILE, F.col("old_id").alias("id"), F.col("old_string").alias("text"))
-    lines = F.array_distinct(F.transform(plain_lines(F.col("text")), lambda x: F.xxhash64(x)))
-    texts = roles(new, old, FILE).withColumns({"length": F.length("text"), "lines": lines})
-    texts = keep(with_anchors(texts, FILE), "texts")
+
+def later_pairs(edits: DataFrame, keys: list[str], adds: Column, probes: Column, *more: str) -> DataFrame:
+    """Every new text of a group beside every old text of a later edit: ``keys``, ``new_*`` and ``old_*`` of id, text and ``more``."""
+    def side(name: str, usable: Column) -> DataFrame:
+        return edits.where(usable).select(
+            F.struct(*keys).alias("_key"), F.col("seq").alias(f"_{name}_seq"), F.col(f"{name}_id"),
+            F.col(f"{name}_string").alias(f"{name}_text"), *[F.col(f"{name}_{c}") for c in more])
+    met = side("new", adds).join(side("old", probes), "_key").where("_new_seq < _old_seq")
+    return met.select("_key.*", *[f"{name}_{c}" for name in ("new", "old") for c in ("id", "text", *more)])
+
+
+def line_hashes(text: Column) -> Column:
+    return F.array_distinct(F.transform(plain_lines(text), lambda x: F.xxhash64(x)))
+
+
+def direct_relations(edits: DataFrame) -> DataFrame:
+    """C17 in eras of little text: each new text beside each old text of a later edit, compared where they meet."""
+    lined = edits.withColumns({"new_set": line_hashes(F.col("new_string")), "old_set": line_hashes(F.col("old_string"))})
+    met = later_pairs(lined, ERA, F.col("adds"), F.col("probes"), "set")
+    new_len, old_len = F.length("new_text"), F.length("old_text")
+    sized = met.select(
+        *ERA, "new_id", "old_id", new_len.alias("new_len"), old_len.alias("old_len"),
+        F.size("new_set").alias("new_lines"), F.size("old_set").alias("old_lines"),
+        ((new_len <= old_len) & F.contains("old_text", F.col("new_text"))).cast("int").alias("fwd"),
+        ((old_len <= new_len) & F.contains("new_text", F.col("old_text"))).cast("int").alias("bwd"),
+        F.size(F.array_intersect("new_set", "old_set")).cast("long").alias("shared"))
+    return tiered(sized).distinct()
+
+
+def far_relations(edits: DataFrame, keep) -> DataFrame:
+    """C17 in eras of much text: distinct texts meet over rare lines and anchors."""
+    new = edits.where("adds").select(*ERA, F.col("new_id").alias("id"), F.col("new_string").alias("text"))
+    old = edits.where("probes").select(*ERA, F.col("old_id").alias("id"), F.col("old_string").alias("text"))
+    texts = roles(new, old, ERA).withColumns({"length": F.length("text"), "lines": line_hashes(F.col("text"))})
+    texts = keep(with_anchors(texts, ERA), "texts")
     none = F.lit(0).cast("long")
     pairs = (
-        shared_lines(texts, FILE).withColumns({"fwd": F.lit(0), "bwd": F.lit(0)})
-        .unionByName(related_texts(texts, FILE).withColumn("shared", none))
-        .groupBy(*FILE, "new_id", "old_id")
+        shared_lines(texts, ERA).withColumns({"fwd": F.lit(0), "bwd": F.lit(0)})
+        .unionByName(related_texts(texts, ERA).withColumn("shared", none))
+        .groupBy(*ERA, "new_id", "old_id")
         .agg(F.max("shared").alias("shared"), F.max("fwd").alias("fwd"), F.max("bwd").alias("bwd"))
     )
     def sizes(name: str) -> DataFrame:
-        return texts.select(*FILE, F.col("id").alias(f"{name}_id"), F.col("length").alias(f"{name}_len"), F.size("lines").alias(f"{name}_lines"))
-    sized = S.join_keys(S.join_keys(pairs, sizes("new"), [*FILE, "new_id"]), sizes("old"), [*FILE, "old_id"])
+        return texts.select(*ERA, F.col("id").alias(f"{name}_id"), F.col("length").alias(f"{name}_len"), F.size("lines").alias(f"{name}_lines"))
+    sized = S.join_keys(S.join_keys(pairs, sizes("new"), [*ERA, "new_id"]), sizes("old"), [*ERA, "old_id"])
+    same = texts.where("is_new and is_old").select(
+        *ERA, F.col("id").alias("new_id"), F.col("id").alias("old_id"),
+        F.lit("exact").alias("tier"), F.lit(1.0).alias("ratio"), F.lit(True).alias("kills"))
+    return tiered(sized).unionByName(same)
+
+
+def tiered(sized: DataFrame) -> DataFrame:
+    """ERA, new_id, old_id, tier, ratio, kills of the pairs that are related."""
     tier, ratio = overlap_tier(
         F.col("new_len"), F.col("old_len"), F.col("fwd") == 1, F.col("bwd") == 1,
         F.col("shared"), F.col("new_lines"), F.col("old_lines"))
-    different = sized.select(*FILE, "new_id", "old_id", tier.alias("tier"), ratio.alias("ratio"),
-                             (F.col("fwd") == 1).alias("kills"))
-    same = texts.where("is_new and is_old").select(
-        *FILE, F.col("id").alias("new_id"), F.col("id").alias("old_id"),
-        F.lit("exact").alias("tier"), F.lit(1.0).alias("ratio"), F.lit(True).alias("kills"))
-    return different.where("kills or tier is not null").unionByName(same)
+    same = F.col("new_id") == F.col("old_id")
+    return sized.select(
+        *ERA, "new_id", "old_id", F.when(same, "exact").otherwise(tier).alias("tier"),
+        F.when(same, 1.0).otherwise(ratio).alias("ratio"), (F.col("fwd") == 1).alias("kills")).where("kills or tier is not null")
+
+
+def text_relations(edits: DataFrame, keep=write_stage, limit: int = DIRECT) -> DataFrame:
+    """C17 for every related pair of distinct (new text, old text) of an era of a file.
+
+    Columns: session_id, file_path, era, new_id, old_id, tier, ratio, kills.
+    ``kills`` marks old texts that contain the new text and therefore overwrite
+    it. ``edits`` comes from ``with_eras`` and should be a stage.
+    """
+    heavy = keep(heavy_groups(edits, ERA, limit), "heavy")
+    if heavy.isEmpty():
+        return direct_relations(edits)
+    other = heavy.select(F.struct(*ERA).alias("_key"))
+    keyed = edits.withColumn("_key", F.struct(*ERA))
+    return direct_relations(keyed.join(other, "_key", "left_anti")).unionByName(
+        far_relations(keyed.join(other, "_key", "left_semi"), keep))
+
+
+def with_eras(edits: DataFrame) -> DataFrame:
+    """edits with ``era``, the place of the last Write of the file so far, and ``chars``, the length of both texts."""
+    cut = S.ordered(edits, FILE, ["seq"], F.floor(F.col("seq") / 1000000 / 4096), era=S.highest(F.when(F.col("clears"), F.col("seq"))))
+    return cut.withColumn("era", F.coalesce("era", F.lit(-1))).withColumn("chars", F.coalesce(F.length("old_string"), F.lit(0)) + F.coalesce(F.length("new_string"), F.lit(0)))
 
 
 def prepare(events: DataFrame) -> DataFrame:
@@ -268,21 +330,22 @@ def overlaps(edits: DataFrame, stage=None) -> DataFrame:
     first later edit that overwrites it; the overwriting edit still overlaps.
     """
     keep = stage or (lambda df, _name: df)
+    edits = keep(with_eras(edits), "edits")
     rel = keep(text_relations(edits, keep), "relations")
     edits = edits.drop("old_string", "new_string")
     chunk = F.floor(F.col("seq") / 1000000 / 4096)
 
-    placed = edits.where("adds").select(*FILE, "seq", "new_id", "msg_index", "task_id")
-    killing = rel.where("kills").select(*FILE, "new_id", "old_id", "tier", "ratio")
-    asking = placed.join(killing, [*FILE, "new_id"]).select(
-        *FILE, "old_id", "seq", F.lit(1).alias("asks"), "new_id", "msg_index", "task_id", "tier", "ratio",
+    placed = edits.where("adds").select(*ERA, "seq", "new_id", "msg_index", "task_id")
+    killing = rel.where("kills").select(*ERA, "new_id", "old_id", "tier", "ratio")
+    asking = placed.join(killing, [*ERA, "new_id"]).select(
+        *ERA, "old_id", "seq", F.lit(1).alias("asks"), "new_id", "msg_index", "task_id", "tier", "ratio",
         F.lit(None).cast("struct<seq:bigint,msg_index:bigint,task_id:string>").alias("hit"))
     hits = edits.where("probes").select(
-        *FILE, "old_id", "seq", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("new_id"),
+        *ERA, "old_id", "seq", F.lit(0).alias("asks"), F.lit(None).cast("string").alias("new_id"),
         "msg_index", "task_id", F.lit(None).cast("string").alias("tier"), F.lit(None).cast("double").alias("ratio"),
         F.struct("seq", "msg_index", "task_id").alias("hit"))
     first_hit = S.ordered(
-        asking.unionByName(hits), [*FILE, "old_id"], ["seq", "asks"], chunk, b=S.next_after(F.col("hit"))
+        asking.unionByName(hits), [*ERA, "old_id"], ["seq", "asks"], chunk, b=S.next_after(F.col("hit"))
     ).where("asks = 1 and b is not null").drop("hit", "asks")
     first_hit = keep(first_hit, "hits")
 
@@ -301,12 +364,12 @@ def overlaps(edits: DataFrame, stage=None) -> DataFrame:
     last = first_hit.where("tier is not null").join(lives.select(*FILE, "seq", "death"), [*FILE, "seq"]).where(
         F.col("b.seq") == F.col("death")
     ).withColumn("a", F.struct("msg_index", "task_id"))
-    touching = rel.where("tier is not null and not kills").select(*FILE, "new_id", "old_id", "tier", "ratio")
+    touching = rel.where("tier is not null and not kills").select(*ERA, "new_id", "old_id", "tier", "ratio")
     probing = edits.where("probes").select(
-        *FILE, "old_id", F.struct("seq", "msg_index", "task_id").alias("b"))
+        *ERA, "old_id", F.struct("seq", "msg_index", "task_id").alias("b"))
     partial = (
-        lives.join(touching, [*FILE, "new_id"]).withColumn("a", F.struct("msg_index", "task_id"))
-        .join(probing, [*FILE, "old_id"])
+        lives.join(touching, [*ERA, "new_id"]).withColumn("a", F.struct("msg_index", "task_id"))
+        .join(probing, [*ERA, "old_id"])
         .where((F.col("b.seq") > F.col("seq")) & (F.col("death").isNull() | (F.col("b.seq") <= F.col("death"))))
     )
     both = last.select(*out).unionByName(partial.select(*out))

@@ -222,3 +222,30 @@ def test_line_pairs_equal_brute_force(spark, seed):
             related = a != b and new and old and both and (both / len(set(x) | set(y)) > 0.3 or both / len(y) > 0.5)
             assert not related or got[a, b] == both
             assert (a, b) not in got or got[a, b] == both
+
+
+def test_texts_meet_only_in_their_era(spark):
+    """A Write replaces the file: texts on both sides of it are not compared, whichever way their era takes."""
+    text = "first_statement_of_all = 1\nsecond_statement_of_all = 2"
+    rows = [("s", "f", "t", 2 * i + j, 0, "Write" if j == 0 else "Edit", "" if j == 0 else f"{text}\nown_statement_number_{i}", f"{text}\nown_statement_number_{i}", False)
+            for i in range(6) for j in range(2)]
+    edits = stage(E.with_eras(E.prepare(spark.createDataFrame(rows, EDIT_SCHEMA))))
+    for limit in (E.DIRECT, 0):
+        found = E.text_relations(edits, stage, limit).collect()
+        assert len(found) == 6 and {r.tier for r in found} == {"exact"}
+
+
+@pytest.mark.parametrize("limit", [2000, 0])
+def test_long_eras_give_what_short_ones_give(spark, limit):
+    rng = random.Random(limit)
+    lines = [f"statement_number_{i} = compute({i})" for i in range(8)]
+    rows = []
+    for i in range(150):
+        old, new = ("\n".join(rng.choices(lines, k=rng.randint(1, 4))) for _ in range(2))
+        rows.append(("s", f"f{i % 3}", "t", i, 0, "Write" if rng.random() < 0.1 else "Edit", old, new, rng.random() < 0.1))
+    edits = stage(E.with_eras(E.prepare(spark.createDataFrame(rows, EDIT_SCHEMA))))
+    direct = stage(E.text_relations(edits, stage))
+    mixed = E.text_relations(edits, stage, limit).join(direct.select(*E.ERA, "new_id", "old_id").distinct(), [*E.ERA, "new_id", "old_id"], "left_semi")
+    # the long way also finds pairs whose new text never stands before the old one
+    kept = lambda df: sorted((r.file_path, r.era, r.new_id, r.old_id, r.tier or "", round(r.ratio or 0, 9), r.kills) for r in df.collect())
+    assert kept(mixed) == kept(direct) != []
