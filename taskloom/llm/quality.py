@@ -1,13 +1,17 @@
 """Quality rules: base counts and a log-likelihood ratio of hashed n-grams (operator 4).
 
-The n-grams of a text are its words and the pairs of endings (last two
-characters) of adjacent words, each hashed into ``buckets`` bins. Two
-multinomials over the bins are counted over all documents (raw corpus) and over
+The n-grams of a text are its words, its pairs of adjacent words and, as a
+further feature, the pairs of their endings (last two characters), each hashed
+into ``buckets`` bins. Two multinomials over the bins are counted over all documents (raw corpus) and over
 those labelled good (trusted target), with add-one smoothing. The score of a
 text is the mean log ratio of its n-grams; a text is kept if it passes the base
 rules and scores at least ``threshold``. Everything is built-in functions: one
-aggregate for the counts, and a scoring pass without a shuffle that looks each
-n-gram up in one array of ``buckets`` doubles.
+aggregate for the counts, in which every word with its successor is a row, and a
+scoring pass without a shuffle that looks each n-gram up in one array of
+``buckets`` doubles. Functions of array elements are interpreted, so the scoring
+pass has as few of them as it can: two for the hashes of words and endings, one
+for the n-grams that end with a word, one for triples, and the sort of triples only in texts that
+repeat one.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null doc_id is scored like any other but is never labelled; repeated rows are
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taskloom.llm.native import total, words
+from taskloom.llm.native import words
 
 BUCKETS = 1 << 16
 #: Mean log ratio below which a text is closer to the rest of the corpus than to the target.
@@ -34,12 +38,25 @@ def once(c: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
-def grams(ws, buckets: int):
-    """Bins of words and of pairs of endings; ``ws`` is the name of a column of words."""
-    one = F.transform(ws, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
-    two = F.expr(f"transform(filter(sequence(0, size({ws}) - 1), i -> i > 0), i -> "
-                 f"cast(pmod(xxhash64(right({ws}[i - 1], 2), right({ws}[i], 2), 'pair'), {buckets}) as int))")
-    return F.concat(one, F.when(F.size(ws) > 1, two).otherwise(F.array().cast("array<int>")))
+def bin_of(buckets: int, *hashes: str) -> str:
+    """Bin of a word (its hash) or of a pair (both hashes)."""
+    return f"cast(pmod({f'xxhash64({hashes[0]}, {hashes[1]})' if len(hashes) > 1 else hashes[0]}, {buckets}) as int)"
+
+
+def ending(word: str) -> str:
+    """Hash of the last two characters; salted, so that no pair of endings is a pair of words."""
+    return f"xxhash64(substring({word}, -2), 'pair')"
+
+
+def grams(texts: DataFrame, ws: str, buckets: int) -> DataFrame:
+    """texts with one row per n-gram, its ``bin``: words of the array ``ws``, pairs of neighbours, pairs of their endings."""
+    own = [c for c in texts.columns if c != ws]
+    each = texts.select(*own, F.inline(F.expr(f"arrays_zip({ws}, slice({ws}, 2, greatest(size({ws}) - 1, 0)))")).alias("_w", "_v"))
+    hashed = each.select(*own, *[F.expr(e).alias(n) for n, e in (
+        ("_v", "_v"), ("_a", "xxhash64(_w)"), ("_b", "xxhash64(_v)"), ("_c", ending("_w")), ("_d", ending("_v")))])
+    found = F.array(F.expr(bin_of(buckets, "_a")), *[
+        F.expr(f"if(_v is null, null, {bin_of(buckets, *pair)})") for pair in (("_a", "_b"), ("_c", "_d"))])
+    return hashed.select(*own, F.explode(found).alias("bin")).where("bin is not null")
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
@@ -50,7 +67,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     # one strategy at every size: both sides are dealt by id
     marked = docs.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select(
         F.col("good_id").isNotNull().cast("long").alias("good"), words(F.col("text")).alias("ws"))
-    counts = marked.select("good", F.explode(grams("ws", buckets)).alias("bin")).groupBy("bin").agg(
+    counts = grams(marked, "ws", buckets).groupBy("bin").agg(
         F.count("*").alias("raw"), F.sum("good").alias("target"))
     bins = spark.range(buckets).select(F.col("id").cast("int").alias("bin")).join(counts, "bin", "left").fillna(0)
     row = bins.agg(F.sum("raw").alias("r"), F.sum("target").alias("t"),
@@ -66,20 +83,22 @@ def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
     t = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumns({
         "_ws": once(words(F.col("text"))),
-        "_lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(F.translate(x, "\t\x0b\x0c\r", "    "))) > 0),
+        "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t-\r]")),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
     })
     df = df.withColumns({
         "n_words": F.size("_ws").cast("long"),
-        "word_chars": total(F.transform("_ws", lambda w: F.length(w).cast("long"))),
+        "word_chars": F.length(F.array_join("_ws", "")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_hash": once(F.transform("_ws", lambda w: F.xxhash64(w))),
-        "_grams": once(grams("_ws", buckets)),
+        "_ends": once(F.expr(f"transform(_ws, w -> {ending('w')})")),
+    })
+    df = df.withColumns({
+        "_triples": once(F.expr("transform(slice(_hash, 3, greatest(size(_hash) - 2, 0)), (h, i) -> xxhash64(_hash[i], _hash[i + 1], h))")),
     })
     # word triples by hash, then by place: those equal to a neighbour stand in the text twice or more
     df = df.withColumn("_sorted", once(F.expr(
-        "case when n_words > 2 then sort_array(transform(sequence(0, size(_hash) - 3), i -> "
-        "struct(xxhash64(_hash[i], _hash[i + 1], _hash[i + 2]) as h, i as i))) end")))
+        "case when size(array_distinct(_triples)) < size(_triples) then sort_array(transform(_triples, (h, i) -> struct(h as h, i as i))) end")))
     df = df.withColumn("_twice", once(F.expr(
         "sort_array(transform(filter(_sorted, (x, i) -> "
         "coalesce(x.h = get(_sorted, i - 1).h, false) or coalesce(x.h = get(_sorted, i + 1).h, false)), x -> x.i))")))
@@ -89,9 +108,13 @@ def score(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, threshold:
             F.lit(0).cast("long")),
         "_ratios": ratios.scalar(),
     })
+    # the array of ratios is named once, so that no row holds a copy of it
     df = df.withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        "log_ratio": F.expr("aggregate(_grams, 0D, (a, b) -> a + _ratios[b]) / greatest(size(_grams), 1)"),
+        "log_ratio": F.expr(
+            f"transform(array(_ratios), r -> aggregate(transform(_hash, (a, i) -> r[{bin_of(buckets, 'a')}] + if(i = 0, 0D, "
+            f"r[{bin_of(buckets, '_hash[i - 1]', 'a')}] + r[{bin_of(buckets, '_ends[i - 1]', '_ends[i]')}])), "
+            "0D, (total, x) -> total + x))[0] / greatest(3 * size(_hash) - 2, 1)"),
     })
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("log_ratio") >= threshold))
     out = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ratio", "kept"]

@@ -176,6 +176,16 @@ def test_quality(spark, documents, odd):
     assert none.where("kept").select("doc_id").count() == none.where("not base_failed").count()
 
 
+def test_quality_counts_word_pairs(spark):
+    """Texts of the same words and endings in another order differ in their pairs of words alone."""
+    df = spark.createDataFrame([(0, ["one", "bone", "two"]), (1, ["bone", "one", "two"])], "k int, ws array<string>")
+    bins = {}
+    for r in quality.grams(df, "ws", 1 << 30).collect():
+        bins.setdefault(r.k, []).append(r.bin)
+    assert {k: len(v) for k, v in bins.items()} == {0: 7, 1: 7}
+    assert len(set(bins[0]) & set(bins[1])) == 5  # three words, two pairs of endings
+
+
 def test_decontamination(spark, documents, odd):
     bench = table(spark, "benchmark")
     items = {r.item_id: words(r.text, True) for r in rows(bench)}
