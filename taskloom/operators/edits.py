@@ -221,13 +221,13 @@ def heavy_groups(edits: DataFrame, keys: list[str], limit: int) -> DataFrame:
 
 
 def later_pairs(edits: DataFrame, keys: list[str], adds: Column, probes: Column, *more: str) -> DataFrame:
-    """Every new text of a group beside every old text of a later edit: ``keys``, ``new_*`` and ``old_*`` of id, text and ``more``."""
+    """Every new text of a group beside every old text of a later edit: ``keys``, ``seq`` of the later, ``new_*`` and ``old_*`` of id, text and ``more``."""
     def side(name: str, usable: Column) -> DataFrame:
         return edits.where(usable).select(
             F.struct(*keys).alias("_key"), F.col("seq").alias(f"_{name}_seq"), F.col(f"{name}_id"),
             F.col(f"{name}_string").alias(f"{name}_text"), *[F.col(f"{name}_{c}") for c in more])
-    met = side("new", adds).join(side("old", probes), "_key").where("_new_seq < _old_seq")
-    return met.select("_key.*", *[f"{name}_{c}" for name in ("new", "old") for c in ("id", "text", *more)])
+    met = side("new", adds).join(side("old", probes), "_key").where("_new_seq < _old_seq").withColumnRenamed("_old_seq", "seq")
+    return met.select("_key.*", "seq", *[f"{name}_{c}" for name in ("new", "old") for c in ("id", "text", *more)])
 
 
 def line_hashes(text: Column) -> Column:
@@ -550,28 +550,49 @@ def tercile_of(value: Column, t1: Column, t2: Column) -> Column:
     return F.when(value <= t1, "short").when(value <= t2, "medium").otherwise("long")
 
 
-def edit_signals(events: DataFrame, errors: DataFrame, tasks: DataFrame, keep=write_stage) -> DataFrame:
+def corrected_far(e: DataFrame, place: list[str], keep) -> DataFrame:
+    """Edits (``place``, seq, old_id) of groups of much text whose old text is related to an earlier new text, by anchors."""
+    new = e.where("new_string <> ''").select(*place, F.col("new_id").alias("id"), F.col("new_string").alias("text"))
+    old = e.where("old_string <> ''").select(*place, F.col("old_id").alias("id"), F.col("old_string").alias("text"))
+    texts = keep(with_anchors(roles(new, old, place), place, LEVELS), "signal-texts")
+    same = texts.where("is_new and is_old").select(*place, F.col("id").alias("new_id"), F.col("id").alias("old_id"))
+    related = related_texts(texts, place).select(*place, "new_id", "old_id").unionByName(same)
+    placed = e.where("new_string <> ''").groupBy(*place, "new_id").agg(F.min("seq").alias("placed_at"))
+    earliest = S.join_keys(related, placed, [*place, "new_id"]).groupBy(*place, "old_id").agg(
+        F.min("placed_at").alias("placed_at"))
+    return S.join_keys(e, earliest, [*place, "old_id"]).where("placed_at < seq").select(*place, "seq", "old_id")
+
+
+def edit_signals(events: DataFrame, errors: DataFrame, tasks: DataFrame, keep=write_stage, limit: int = DIRECT) -> DataFrame:
     """Per task self-corrections, error recoveries, user corrections, rewrite rate, edits per file.
 
     A self-correction is an edit whose old text contains, or is contained in,
     the new text of an earlier edit of the same task and file. Both texts must
-    be non-empty. Texts of any length are found through anchors.
+    be non-empty. Groups of little text are compared in one join, texts of
+    others, of any length, are found through anchors.
     """
     key = ["session_id", "task_n"]
     place = [*key, "file_path"]
     e = events.select(
         *place, "msg_index", (F.col("msg_index") * 1000000 + F.col("pos")).alias("seq"),
-        "old_string", "new_string", F.md5("old_string").alias("old_id"), F.md5("new_string").alias("new_id"))
-    new = e.where("new_string <> ''").select(*place, F.col("new_id").alias("id"), F.col("new_string").alias("text"))
-    old = e.where("old_string <> ''").select(*place, F.col("old_id").alias("id"), F.col("old_string").alias("text"))
-    texts = keep(with_anchors(roles(new, old, place), place, LEVELS), "signal-texts")
-    same = texts.where("is_new and is_old").select(*place, F.col("id").alias("new_id"), F.col("id").alias("old_id"))
-    related = related_texts(texts, place).select(*place, "new_id", "old_id").unionByName(same)
-    placed = e.where("new_string <> ''").groupBy(*place, "new_id").agg(F.min("seq").alias("placed_at"))
-    earliest = related.join(placed, [*place, "new_id"]).groupBy(*place, "old_id").agg(
-        F.min("placed_at").alias("placed_at"))
-    again = e.join(earliest, [*place, "old_id"]).where("placed_at < seq").groupBy(*key).agg(
-        F.count(F.lit(1)).alias("self_corrections"))
+        "old_string", "new_string", F.md5("old_string").alias("old_id"), F.md5("new_string").alias("new_id"),
+        (F.coalesce(F.length("old_string"), F.lit(0)) + F.coalesce(F.length("new_string"), F.lit(0))).alias("chars"))
+    e = keep(e, "signal-edits")
+    heavy = keep(heavy_groups(e, place, limit), "heavy")
+    other = heavy.select(F.struct(*place).alias("_key"))
+    some = not heavy.isEmpty()
+    keyed = e.withColumn("_key", F.struct(*place))
+    direct = keyed.join(other, "_key", "left_anti").drop("_key") if some else e
+    # in a group of little text every new text stands beside the old texts of later edits
+    met = later_pairs(direct, place, F.col("new_string") != "", F.col("old_string") != "")
+    again = met.where(F.contains("old_text", F.col("new_text")) | F.contains("new_text", F.col("old_text"))).select(
+        *place, "seq", "old_id").distinct()
+    again = S.join_keys(e.select(*place, "seq", "old_id"), again.withColumn("hit", F.lit(1)), [*place, "seq", "old_id"])
+    if some:
+        again = again.select(*place, "seq", "old_id").unionByName(
+            corrected_far(keyed.join(other, "_key", "left_semi").drop("_key"), place, keep))
+    again = again.groupBy(*key).agg(F.count(F.lit(1)).alias("self_corrections"))
+    e = e.drop("old_string", "new_string")
 
     marks = e.select(*key, "msg_index", F.lit(0).alias("late"), F.lit(None).cast("long").alias("err")).unionByName(
         errors.select(*key, "msg_index", F.lit(1).alias("late"), F.col("msg_index").alias("err")))

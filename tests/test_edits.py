@@ -249,3 +249,15 @@ def test_long_eras_give_what_short_ones_give(spark, limit):
     # the long way also finds pairs whose new text never stands before the old one
     kept = lambda df: sorted((r.file_path, r.era, r.new_id, r.old_id, r.tier or "", round(r.ratio or 0, 9), r.kills) for r in df.collect())
     assert kept(mixed) == kept(direct) != []
+
+
+def test_edit_signals_are_the_same_on_both_ways(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(40)]
+    events = spark.createDataFrame(
+        [("s", i // 20, f"f{i % 2}", i, 0, texts[rng.randrange(40)], texts[rng.randrange(40)]) for i in range(80)],
+        "session_id string, task_n long, file_path string, msg_index long, pos int, old_string string, new_string string")
+    errors = spark.createDataFrame([("s", 0, 5)], "session_id string, task_n long, msg_index long")
+    tasks = spark.createDataFrame([("s", i, "") for i in range(4)], "session_id string, task_n long, next_user_message string")
+    direct, mixed, far = (sorted(tuple(r) for r in E.edit_signals(events, errors, tasks, limit=n).collect()) for n in (E.DIRECT, 600, 0))
+    assert direct == mixed == far and sum(r[3] for r in direct) > 0
