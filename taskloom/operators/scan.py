@@ -221,19 +221,12 @@ def with_ranges(df: DataFrame, keys: list[str], value: str, guard: Column, rows:
     found = found.where(F.col("_rows") > (rows or RANGE_ROWS)).select(
         *keys, F.least(F.lit(n), F.ceil(F.col("_rows") / (rows or RANGE_ROWS))).alias("_ranges"), "_borders")
     met = join_keys(df, found, keys, "left")
-    above = borders_below(F.col(value), F.col("_borders"), blocks)
-    number = F.when(F.col("_borders").isNull(), 0).otherwise(F.floor(above * F.col("_ranges") / n)).cast("int")
-    return met.withColumn(name, number).drop("_borders", "_ranges")
-
-
-def borders_below(value: Column, borders: Column, blocks: int) -> Column:
-    """Number of the ``blocks * blocks - 1`` sorted borders below the value, by a two-level search."""
-    coarse = F.transform(
-        F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.element_at(borders, (i * blocks).cast("int"))
-    )
-    first = F.size(F.filter(coarse, lambda b: b < value))
-    rest = F.slice(borders, first * blocks + 1, F.lit(blocks))
-    return F.coalesce(first * blocks + F.size(F.filter(rest, lambda b: b < value)), F.lit(0))
+    # binary search, one generated step per power of two; functions of array elements would be interpreted
+    met = met.withColumn("_above", F.lit(0))
+    for step in (1 << k for k in reversed(range((n - 1).bit_length()))):
+        met = met.withColumn("_above", F.col("_above") + F.when(F.get("_borders", F.col("_above") + (step - 1)) < F.col(value), step).otherwise(0))
+    number = F.when(F.col("_borders").isNull(), 0).otherwise(F.floor(F.col("_above") * F.col("_ranges") / n)).cast("int")
+    return met.withColumn(name, number).drop("_borders", "_ranges", "_above")
 
 
 def with_name_ranges(names: DataFrame, column: str, borders: int = 1023, name: str = "_block") -> DataFrame:

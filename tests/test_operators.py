@@ -266,3 +266,13 @@ def test_one_first_request_per_task(spark):
     got = TM.first_requests(d, ["task"], ["at", "id"])
     assert sorted((r.task, r.id) for r in got.where("is_first").collect()) == [("t", "a"), ("u", "y")]
     assert got.where("not is_first").count() == 4
+
+
+def test_ranges_are_searched_without_functions_of_array_elements(spark, capsys):
+    df = spark.range(3000).selectExpr("id % 3 as k", "cast(if(id % 3 = 0, id div 7, id * id) as double) as v")
+    cut = S.with_ranges(df, ["k"], "v", F.lit(True), rows=50)
+    cut.explain(True)
+    assert "lambda" not in capsys.readouterr().out
+    spans = cut.groupBy("k", "_block").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("k", "_block").collect()
+    assert len(spans) > 30
+    assert all(a.k != b.k or a.hi < b.lo for a, b in zip(spans, spans[1:]))
