@@ -51,8 +51,12 @@ def weights(low: np.ndarray, high: np.ndarray, resamples: int) -> np.ndarray:
         h *= np.uint32(SECOND)
         h ^= h >> np.uint32(16)
     w = np.zeros(h.shape, np.uint8)
-    for border in POISSON:
+    for border in POISSON[:3]:
         w += h >= np.uint32(border)
+    # one row and resample in fifty weighs more
+    flat, out = h.ravel(), w.ravel()
+    more = np.flatnonzero(flat >= np.uint32(POISSON[3]))
+    out[more] = 3 + np.searchsorted(np.array(POISSON[3:], np.uint32), flat[more], side="right")
     return w
 
 
@@ -63,9 +67,14 @@ def words_of(ident: Column, seed: int) -> tuple[Column, Column]:
 
 
 def mean_intervals(df: DataFrame, keys: list[str], values: list[str], ident: str, resamples: int = 5000,
-                   alpha: float = 0.05, by_index: bool = False, seed: int = 42) -> DataFrame:
+                   alpha: float = 0.05, by_index: bool = False, seed: int = 42, regroup=None) -> DataFrame:
     """T9 or T10 of several columns at once: keys and, per value, a struct (n, mean, ci_lower, ci_upper).
 
+    ``regroup`` (a function of a frame, and the keys of its result) asks for
+    coarser groups, several to a row if need be. A row has the same weights in
+    all of them, so it is drawn once, in its group by ``keys``, and the vectors
+    of these groups are what ``regroup`` deals out.
+
     T9: percentiles with interpolation, null for n < 3. T10 (``by_index``):
     order statistics, the mean itself for n < 3. Null values do not count.
     """
@@ -96,6 +105,10 @@ def mean_intervals(df: DataFrame, keys: list[str], values: list[str], ident: str
     shape = df.select(F.struct(*keys).alias("_key")).schema["_key"].dataType.simpleString()
     folded = rows.groupBy("_key", "_piece").applyInArrow(
         fold, f"_key {shape}, _value int, _n long, _sum double, _drawn array<double>, _summed array<double>")
+    if regroup:
+        deal, keys = regroup
+        dealt = deal(folded.select("_key.*", *[c for c in folded.columns if c != "_key"]))
+        folded = dealt.select(F.struct(*keys).alias("_key"), *[c for c in folded.columns if c != "_key"])
     entries = folded.select("_key", "_value", "_n", "_sum", F.posexplode(F.arrays_zip("_drawn", "_summed"))).groupBy("_key", "_value", "pos").agg(
         F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), (F.sum("col._summed") / F.nullif(F.sum("col._drawn"), F.lit(0.0))).alias("_mean"))
     means = F.sort_array(F.collect_list("_mean"))  # one entry per resample

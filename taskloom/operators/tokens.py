@@ -76,9 +76,11 @@ def token_report(tasks: DataFrame, levels: dict[str, str], ident: str = "task_id
     out = token_stats(expanded, keys, prices)
     for value, name in (("estimated_cost", "cost"), ("total_output_tokens", "output_tokens")):
         out = S.join_keys(out, R.quantiles(expanded, keys, value, {f"median_{name}": 0.5}), keys, "left")
-    per_request = expanded.withColumn("_o", ratio0(F.col("total_output_tokens"), F.col("request_count")))
+    per_request = tasks.withColumn("_o", ratio0(F.col("total_output_tokens"), F.col("request_count")))
     named = {"cost": "estimated_cost", "output_tokens": "total_output_tokens", "per_request": "_o"}
-    found = B.mean_intervals(per_request, keys, list(named.values()), ident, 2000, by_index=True)
+    finest = list(dict.fromkeys([*always, *levels.values()]))
+    found = B.mean_intervals(per_request, finest, list(named.values()), ident, 2000, by_index=True,
+                             regroup=(lambda folded: expand_groups(folded, levels, list(always)), keys))
     ends = [F.col(v)[f"ci_{e}"].alias(f"{name}_ci_{e}") for name, v in named.items() for e in ("lower", "upper")]
     return S.join_keys(out, found.select(*keys, *ends), keys, "left")
 

@@ -279,3 +279,26 @@ def test_binomial_tail_is_one_formula_at_every_size():
             exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p)
                                  + (n - i) * math.log1p(-p)) for i in range(need, n + 1))
             assert B._tail(n, k, need) == pytest.approx(exact, abs=1e-9)
+
+
+def test_regrouped_intervals_equal_those_of_every_group(spark):
+    """Rows drawn once in the finest groups give the intervals that each coarser group gives by itself."""
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), rng.choice(["x", "y", None]), str(i), rng.random() if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, k string, id string, v double")
+    deal = lambda t: t.selectExpr("*", "inline(array(struct('all' as s, 'all' as name), struct('k' as s, coalesce(k, 'unknown') as name)))")
+    def ends(found):
+        return sorted((r.g, r.s, r.name, r.v.n, *(round(x, 9) for x in (r.v.mean, r.v.ci_lower, r.v.ci_upper))) for r in found.collect())
+    once = ends(B.mean_intervals(df, ["g", "k"], ["v"], "id", 200, by_index=True, regroup=(deal, ["g", "s", "name"])))
+    each = ends(B.mean_intervals(deal(df), ["g", "s", "name"], ["v"], "id", 200, by_index=True))
+    assert once == each and len(once) == 8
+
+
+def test_weights_count_the_borders_below():
+    rng = np.random.default_rng(3)
+    low, high = rng.integers(0, 2**32, 500), rng.integers(0, 2**32, 500)
+    h = (low[:, None] + np.arange(1, 401) * B.STEP) % 2**32
+    h = (h ^ h >> 16) * B.FIRST % 2**32
+    h = ((h ^ h >> 13) ^ high[:, None]) * B.SECOND % 2**32
+    h ^= h >> 16
+    assert (B.weights(low, high, 400) == sum((h >= t).astype(int) for t in B.POISSON)).all()
