@@ -234,18 +234,33 @@ def line_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(plain_lines(text), lambda x: F.xxhash64(x)))
 
 
-def direct_relations(edits: DataFrame) -> DataFrame:
-    """C17 in eras of little text: each new text beside each old text of a later edit, compared where they meet."""
-    lined = edits.withColumns({"new_set": line_hashes(F.col("new_string")), "old_set": line_hashes(F.col("old_string"))})
-    met = later_pairs(lined, ERA, F.col("adds"), F.col("probes"), "set")
-    new_len, old_len = F.length("new_text"), F.length("old_text")
+#: What the lineage keeps of an edit once its texts are compared.
+SLIM = ["seq", "msg_index", "task_id", "new_id", "old_id", "adds", "probes", "clears"]
+
+
+def near_relations(edits: DataFrame) -> DataFrame:
+    """C17 in eras of little text: each new text beside each old text of a later edit, compared where they meet.
+
+    The edits of an era are one row, so every text is sent once and each edit
+    comes back as the pair with itself: ``ERA, edit, rel``, one of both null.
+    """
+    sent = edits.select(*ERA, *SLIM, F.when(F.col("adds"), F.col("new_string")).alias("new"), F.when(F.col("probes"), F.col("old_string")).alias("old"))
+    each = F.struct(*SLIM, "new", "old", line_hashes(F.col("new")).alias("new_set"), line_hashes(F.col("old")).alias("old_set"))
+    eras = sent.repartition(*ERA).groupBy(*ERA).agg(F.collect_list(each).alias("all"))
+    met = eras.select(*ERA, "all", F.posexplode("all").alias("i", "a")).select(*ERA, "i", "a", F.posexplode("all").alias("j", "b"))
+    met = met.where("i = j or a.seq < b.seq and a.adds and b.probes")
+    pair = F.col("i") != F.col("j")
+    new_len, old_len = F.length("a.new"), F.length("b.old")
+    facts = F.struct(
+        new_len.alias("new_len"), old_len.alias("old_len"), F.size("a.new_set").alias("new_lines"), F.size("b.old_set").alias("old_lines"),
+        ((new_len <= old_len) & F.contains("b.old", "a.new")).cast("int").alias("fwd"),
+        ((old_len <= new_len) & F.contains("a.new", "b.old")).cast("int").alias("bwd"),
+        F.size(F.array_intersect("a.new_set", "b.old_set")).cast("long").alias("shared"))
+    # exploded, the facts are values; as expressions they would be computed anew wherever tier and ratio name them
     sized = met.select(
-        *ERA, "new_id", "old_id", new_len.alias("new_len"), old_len.alias("old_len"),
-        F.size("new_set").alias("new_lines"), F.size("old_set").alias("old_lines"),
-        ((new_len <= old_len) & F.contains("old_text", F.col("new_text"))).cast("int").alias("fwd"),
-        ((old_len <= new_len) & F.contains("new_text", F.col("old_text"))).cast("int").alias("bwd"),
-        F.size(F.array_intersect("new_set", "old_set")).cast("long").alias("shared"))
-    return tiered(sized).distinct()
+        *ERA, F.when(~pair, F.struct(*[f"a.{c}" for c in SLIM])).alias("edit"), F.when(pair, F.col("a.new_id")).alias("new_id"),
+        F.col("b.old_id").alias("old_id"), F.explode(F.array(F.when(pair, facts))).alias("fact")).select(*ERA, "edit", "new_id", "old_id", "fact.*")
+    return tiered(sized, "edit").select(*ERA, "edit", F.when(F.col("edit").isNull(), F.struct(*RELATION)).alias("rel"))
 
 
 def far_relations(edits: DataFrame, keep) -> DataFrame:
@@ -270,15 +285,43 @@ def far_relations(edits: DataFrame, keep) -> DataFrame:
     return tiered(sized).unionByName(same)
 
 
-def tiered(sized: DataFrame) -> DataFrame:
-    """ERA, new_id, old_id, tier, ratio, kills of the pairs that are related."""
+RELATION = ["new_id", "old_id", "tier", "ratio", "kills"]
+
+
+def tiered(sized: DataFrame, *more: str) -> DataFrame:
+    """ERA, new_id, old_id, tier, ratio, kills of the pairs that are related, and all rows in which one of ``more`` is set."""
     tier, ratio = overlap_tier(
         F.col("new_len"), F.col("old_len"), F.col("fwd") == 1, F.col("bwd") == 1,
         F.col("shared"), F.col("new_lines"), F.col("old_lines"))
     same = F.col("new_id") == F.col("old_id")
-    return sized.select(
-        *ERA, "new_id", "old_id", F.when(same, "exact").otherwise(tier).alias("tier"),
-        F.when(same, 1.0).otherwise(ratio).alias("ratio"), (F.col("fwd") == 1).alias("kills")).where("kills or tier is not null")
+    told = sized.select(
+        *ERA, *more, "new_id", "old_id", F.when(same, "exact").otherwise(tier).alias("tier"),
+        F.when(same, 1.0).otherwise(ratio).alias("ratio"), (F.col("fwd") == 1).alias("kills"))
+    return told.where(" or ".join(["kills", "tier is not null", *[f"{c} is not null" for c in more]]))
+
+
+def compared(edits: DataFrame, limit: int = DIRECT) -> DataFrame:
+    """Edits and related texts in one pass over the texts: ``ERA, edit, rel, new_string, old_string``, to be a stage.
+
+    A row is an edit without its texts, a pair of related texts (``rel``), or an
+    edit of an era of much text, with its texts. ``edits`` comes from
+    ``with_eras``. Which eras hold much text is known from sums per piece, so
+    only the texts of the others are sent to the place of their era.
+    """
+    sums = edits.groupBy(*S.PIECE, "era").agg(F.count(F.lit(1)).alias("_n"), F.sum("chars").alias("_c"))
+    heavy = sums.groupBy("_key", "era").agg((F.sum("_n") * F.sum("_c")).alias("_load")).where(F.col("_load") > limit)
+    marks = sums.join(heavy, ["_key", "era"]).groupBy(*S.PIECE).agg(F.collect_set("era").alias("_heavy"))
+    marked = F.array_contains("_heavy", F.col("era"))
+    near = near_relations(edits.join(marks, S.PIECE, "left").where(~F.coalesce(marked, F.lit(False))))
+    far = edits.join(marks, S.PIECE).where(marked).select(*ERA, F.struct(*SLIM).alias("edit"), "new_string", "old_string")
+    return near.unionByName(far, allowMissingColumns=True)
+
+
+def related(eras: DataFrame, keep) -> DataFrame:
+    """All related pairs from a stage of ``compared``."""
+    near = eras.where("rel is not null").select(*ERA, "rel.*").distinct()
+    much = eras.where("new_string is not null or old_string is not null").select(*ERA, "edit.*", "new_string", "old_string")
+    return near if much.isEmpty() else near.unionByName(far_relations(much, keep))
 
 
 def text_relations(edits: DataFrame, keep=write_stage, limit: int = DIRECT) -> DataFrame:
@@ -286,20 +329,20 @@ def text_relations(edits: DataFrame, keep=write_stage, limit: int = DIRECT) -> D
 
     Columns: session_id, file_path, era, new_id, old_id, tier, ratio, kills.
     ``kills`` marks old texts that contain the new text and therefore overwrite
-    it. ``edits`` comes from ``with_eras`` and should be a stage.
+    it. ``edits`` comes from ``with_eras``.
     """
-    heavy = keep(heavy_groups(edits, ERA, limit), "heavy")
-    if heavy.isEmpty():
-        return direct_relations(edits)
-    other = heavy.select(F.struct(*ERA).alias("_key"))
-    keyed = edits.withColumn("_key", F.struct(*ERA))
-    return direct_relations(keyed.join(other, "_key", "left_anti")).unionByName(
-        far_relations(keyed.join(other, "_key", "left_semi"), keep))
+    return related(keep(compared(edits, limit), "eras"), keep)
 
 
 def with_eras(edits: DataFrame) -> DataFrame:
-    """edits with ``era``, the place of the last Write of the file so far, and ``chars``, the length of both texts."""
-    cut = S.ordered(edits, FILE, ["seq"], F.floor(F.col("seq") / 1000000 / 4096), era=S.highest(F.when(F.col("clears"), F.col("seq"))))
+    """edits with ``era``, the place of the last Write of the file so far, ``chars``, the length of both texts, and the pieces of the scan.
+
+    Edits that already stand in pieces (of the same keys and blocks of message
+    indexes) are not sent again.
+    """
+    if not set(S.PIECE) <= set(edits.columns):
+        edits = S.pieces(edits, FILE, F.floor(F.col("seq") / 1000000 / 4096))
+    cut = S.along(edits, ["seq"], era=S.highest(F.when(F.col("clears"), F.col("seq"))))
     return cut.withColumn("era", F.coalesce("era", F.lit(-1))).withColumn("chars", F.coalesce(F.length("old_string"), F.lit(0)) + F.coalesce(F.length("new_string"), F.lit(0)))
 
 
@@ -309,14 +352,15 @@ def prepare(events: DataFrame) -> DataFrame:
     Input: session_id, file_path, task_id, msg_index, pos, tool_name, old_string,
     new_string, replace_all. ``adds``: the edit places text worth tracking.
     ``probes``: its old text is compared with earlier text and overwrites it.
-    ``clears``: it replaces the whole file.
+    ``clears``: it replaces the whole file. Pieces that the events stand in
+    (``scan.pieces`` by file and blocks of 4096 message indexes) are kept.
     """
     longest = F.greatest(F.length("old_string"), F.length("new_string"))
     active = ~F.col("replace_all") & (longest >= MIN_TEXT)
     return events.select(
-        *FILE, "task_id", "msg_index", "tool_name", "old_string", "new_string", "replace_all",
+        *[c for c in S.PIECE if c in events.columns], *FILE, "task_id", "msg_index", "tool_name", "old_string", "new_string", "replace_all",
         (F.col("msg_index") * 1000000 + F.col("pos")).alias("seq"),
-        F.md5("new_string").alias("new_id"), F.md5("old_string").alias("old_id"),
+        F.unhex(F.md5("new_string")).alias("new_id"), F.unhex(F.md5("old_string")).alias("old_id"),
         (F.length("new_string") >= MIN_TEXT).alias("adds"),
         (active & (F.col("tool_name") == "Edit") & (F.length("old_string") >= MIN_TEXT)).alias("probes"),
         (active & (F.col("tool_name") == "Write")).alias("clears"),
@@ -330,9 +374,9 @@ def overlaps(edits: DataFrame, stage=None) -> DataFrame:
     first later edit that overwrites it; the overwriting edit still overlaps.
     """
     keep = stage or (lambda df, _name: df)
-    edits = keep(with_eras(edits), "edits")
-    rel = keep(text_relations(edits, keep), "relations")
-    edits = edits.drop("old_string", "new_string")
+    eras = keep(compared(with_eras(edits)), "eras")
+    rel = keep(related(eras, keep), "relations")
+    edits = eras.where("edit is not null").select(*ERA, "edit.*")
     chunk = F.floor(F.col("seq") / 1000000 / 4096)
 
     placed = edits.where("adds").select(*ERA, "seq", "new_id", "msg_index", "task_id")

@@ -173,23 +173,34 @@ def ordered(
     if chunk is None:
         w = W.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[r.alone(r.inner(w)).alias(name) for name, r in running.items()])
+    return along(pieces(df, keys, chunk), order, **running).select(*df.columns, *running)
+
+
+#: Columns of ``pieces``: the key and the chunk of a row. Rows that keep them stay where a scan has put them.
+PIECE = ["_key", "_chunk"]
+
+
+def pieces(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
+    """df with the columns ``PIECE`` (only the second without keys)."""
     # inside a struct, a null key or chunk equals another one, so its rows stay
     cut = df.withColumn("_chunk", F.struct(chunk.alias("at")))
-    if keys:
-        cut = cut.withColumn("_key", F.struct(*keys))
-    part = ["_key", "_chunk"] if keys else ["_chunk"]
-    along = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    return cut.withColumn("_key", F.struct(*keys)) if keys else cut
+
+
+def along(cut: DataFrame, order: list[str], **running: Running) -> DataFrame:
+    """``ordered`` on a frame that comes from ``pieces``, and keeps its columns: a second scan over the same pieces needs no further shuffle of the rows."""
+    part = [c for c in PIECE if c in cut.columns]
+    by = F.struct(*order) if len(order) > 1 else F.col(order[0])
     summary = cut.groupBy(*part).agg(
-        *[r.summary(along).alias(f"_s_{name}") for name, r in running.items()]
+        *[r.summary(by).alias(f"_s_{name}") for name, r in running.items()]
     )
     between = W.partitionBy(*part[:-1]).orderBy("_chunk")
     carry = summary.select(
         *part, *[r.inherit(F.col(f"_s_{name}"), between).alias(f"_c_{name}") for name, r in running.items()]
     )
     inside = W.partitionBy(*part).orderBy(*order)
-    kept = [F.col(c) for c in df.columns]
     return cut.join(carry, part).select(
-        *kept,
+        *cut.columns,
         *[r.join(F.col(f"_c_{name}"), r.inner(inside)).alias(name) for name, r in running.items()],
     )
 

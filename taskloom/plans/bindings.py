@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taskloom.operators import edits as E
 from taskloom.operators import scan as S
 from taskloom.operators import segment as G
 from taskloom.plans.registry import spread, table
@@ -63,16 +64,19 @@ def block_tasks(spark: SparkSession, folder: str, hours: int = 4) -> DataFrame:
 def document_edits(spark: SparkSession, folder: str) -> DataFrame:
     """Edits: a source is a session with one file per language; every document is an edit that leaves its
     own text behind. It replaces the text of the document before it in the file (with its own behind it, for
-    every third document). Every 13th writes the file anew, every 11th replaces all places. Texts are whole."""
-    docs = documents(spark, folder).select("source", "lang", "doc_id", "text")
-    before = S.ordered(docs, ["source", "lang"], ["doc_id"], S.index_chunk("doc_id"), before=S.latest_before(F.col("text")))
-    ident, previous = F.col("doc_id"), F.coalesce("before", F.lit(""))
+    every third document). Every 13th writes the file anew, every 11th replaces all places. Texts are whole.
+    The rows keep the pieces of the scan that finds the text before, for the scans of the lineage."""
+    docs = table(spark, folder, "documents").select(
+        F.col("source").alias("session_id"), F.col("lang").alias("file_path"), F.col("doc_id").alias("msg_index"), "text")
+    # the file is read from the key, so whatever is asked of the edits, the documents are sent in the same form and once
+    cut = S.pieces(docs, E.FILE, S.index_chunk("msg_index")).drop(*E.FILE)
+    before = S.along(cut, ["msg_index"], before=S.latest_before(F.col("text"))).select("*", "_key.*")
+    ident, previous = F.col("msg_index"), F.coalesce("before", F.lit(""))
     write = ident % 13 == 0
     old = F.when(write, "").when((ident % 3 == 0) & (previous != ""), F.concat(previous, F.lit("\n"), "text")).otherwise(previous)
     return before.select(
-        F.col("source").alias("session_id"), F.col("lang").alias("file_path"),
-        F.concat_ws("-", "source", F.floor(ident / 200).cast("string")).alias("task_id"),
-        ident.alias("msg_index"), F.lit(0).alias("pos"), F.when(write, "Write").otherwise("Edit").alias("tool_name"),
+        *S.PIECE, *E.FILE, F.concat_ws("-", "session_id", F.floor(ident / 200).cast("string")).alias("task_id"),
+        "msg_index", F.lit(0).alias("pos"), F.when(write, "Write").otherwise("Edit").alias("tool_name"),
         old.alias("old_string"), F.col("text").alias("new_string"), (~write & (ident % 11 == 0)).alias("replace_all"))
 
 

@@ -261,3 +261,42 @@ def test_edit_signals_are_the_same_on_both_ways(spark):
     tasks = spark.createDataFrame([("s", i, "") for i in range(4)], "session_id string, task_n long, next_user_message string")
     direct, mixed, far = (sorted(tuple(r) for r in E.edit_signals(events, errors, tasks, limit=n).collect()) for n in (E.DIRECT, 600, 0))
     assert direct == mixed == far and sum(r[3] for r in direct) > 0
+
+
+def test_texts_of_short_eras_go_to_no_stage(spark):
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.random()) for _ in range(20)) for _ in range(12)]
+    rows = [("s", f"f{i % 2}", "t", i * 300, 0, "Write" if i % 9 == 0 else "Edit", "" if i % 9 == 0 else rng.choice(texts), rng.choice(texts), i % 7 == 0)
+            for i in range(60)]
+    held = []
+    def keep(df, name):
+        kept = stage(df, name)
+        if "new_string" in kept.columns:
+            held.append(kept.where("old_string is not null or new_string is not null").count())
+        return kept
+    assert lineage(spark, rows, keep) == replay(rows)
+    assert held == [0]
+
+
+def test_edits_in_pieces_give_what_others_give(spark):
+    from taskloom.operators import scan as S
+
+    rng = random.Random(4)
+    texts = ["\n".join(f"line number {rng.randint(0, 9)} of a text" for _ in range(3)) for _ in range(10)]
+    rows = [("s", rng.choice("fg"), "t", i * 611, 0, "Write" if i % 17 == 0 else "Edit", "" if i % 17 == 0 else rng.choice(texts), rng.choice(texts), False)
+            for i in range(70)]
+    df = spark.createDataFrame(rows, EDIT_SCHEMA)
+    cut = S.pieces(df, E.FILE, S.index_chunk("msg_index"))
+    got = E.overlaps(E.prepare(cut), stage).collect()
+    assert Counter((r.session_id, r.file_path, r.edit_a_index, r.edit_b_index, r.tier, round(r.ratio, 9)) for r in got) == replay(rows)
+    # sums per piece tell the eras of much text, wherever their edits stand
+    eras = E.with_eras(E.prepare(cut))
+    loads = {}
+    for r in eras.collect():
+        n, chars = loads.get((r.file_path, r.era), (0, 0))
+        loads[r.file_path, r.era] = n + 1, chars + r.chars
+    limit = sorted(n * c for n, c in loads.values())[len(loads) // 2]
+    much = {k for k, (n, c) in loads.items() if n * c > limit}
+    out = E.compared(eras, limit).collect()
+    assert much and {(r.file_path, r.era) for r in out if r.new_string is not None} == much
+    assert sum(r.edit is not None for r in out) == len(rows)
