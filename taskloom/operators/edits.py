@@ -3,7 +3,8 @@
 The lineage is a set of equi-joins. A Write replaces the whole file, so text
 placed before it meets no edit after it: only edits of one era, from one Write
 to the next, are compared. In an era of little text each new text meets each
-later old text in one join. A longer era (a file that is never written anew) is
+later old text in one row, where the edits stand already if one piece of the
+file holds the era. A longer era (a file that is never written anew) is
 reduced to distinct texts; two texts become a candidate pair only when they
 share a line that is rare for both, or the rarest anchor (a gram that a
 contained text must share with its container) of one. The life of a piece of
@@ -30,6 +31,8 @@ FILE = ["session_id", "file_path"]
 ERA = [*FILE, "era"]
 #: Edits times characters up to which the texts of a group meet each other directly.
 DIRECT = 1 << 28
+#: Message indexes of a piece of a file. A larger piece holds more eras whole, a smaller one cuts a long file more finely.
+BLOCK = 1 << 14
 
 # (gram length, window): two texts that share a substring of gram + window - 1
 # characters share an anchor of that level. A contained text uses the level of
@@ -238,19 +241,21 @@ def line_hashes(text: Column) -> Column:
 SLIM = ["seq", "msg_index", "task_id", "new_id", "old_id", "adds", "probes", "clears"]
 
 
-def near_relations(edits: DataFrame) -> DataFrame:
+def near_relations(edits: DataFrame, place: list[str] = ERA) -> DataFrame:
     """C17 in eras of little text: each new text beside each old text of a later edit, compared where they meet.
 
-    The edits of an era are one row, so every text is sent once and each edit
-    comes back as the pair with itself: ``ERA, edit, rel``, one of both null.
+    The edits of an era are one row, and each edit comes back as the pair with
+    itself: ``ERA, edit, rel``, one of both null. With the columns of ``PIECE``
+    in ``place``, eras that a piece holds whole are compared where it stands.
     """
-    sent = edits.select(*ERA, *SLIM, F.when(F.col("adds"), F.col("new_string")).alias("new"), F.when(F.col("probes"), F.col("old_string")).alias("old"))
-    each = F.struct(*SLIM, "new", "old", line_hashes(F.col("new")).alias("new_set"), line_hashes(F.col("old")).alias("old_set"))
-    eras = sent.repartition(*ERA).groupBy(*ERA).agg(F.collect_list(each).alias("all"))
+    sent = edits.select(*place, *SLIM, F.when(F.col("adds"), F.col("new_string")).alias("new"), F.when(F.col("probes"), F.col("old_string")).alias("old"))
+    # code points are counted once for each text, not once for each pair
+    each = F.struct(*SLIM, *[c for x in ("new", "old") for c in (x, F.length(x).alias(f"{x}_len"), line_hashes(F.col(x)).alias(f"{x}_set"))])
+    eras = sent.groupBy(*place).agg(F.collect_list(each).alias("all"))
     met = eras.select(*ERA, "all", F.posexplode("all").alias("i", "a")).select(*ERA, "i", "a", F.posexplode("all").alias("j", "b"))
     met = met.where("i = j or a.seq < b.seq and a.adds and b.probes")
     pair = F.col("i") != F.col("j")
-    new_len, old_len = F.length("a.new"), F.length("b.old")
+    new_len, old_len = F.col("a.new_len"), F.col("b.old_len")
     facts = F.struct(
         new_len.alias("new_len"), old_len.alias("old_len"), F.size("a.new_set").alias("new_lines"), F.size("b.old_set").alias("old_lines"),
         ((new_len <= old_len) & F.contains("b.old", "a.new")).cast("int").alias("fwd"),
@@ -300,20 +305,34 @@ def tiered(sized: DataFrame, *more: str) -> DataFrame:
     return told.where(" or ".join(["kills", "tier is not null", *[f"{c} is not null" for c in more]]))
 
 
+def by_place(edits: DataFrame, limit: int = DIRECT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """edits of eras of little text that one piece holds whole, of other eras of little text, and of eras of much text.
+
+    Which is which is known from sums per piece. The first still stand in their
+    pieces; at most the first and the last era of a piece are among the second.
+    """
+    sums = edits.groupBy(*S.PIECE, "era").agg(F.count(F.lit(1)).alias("_n"), F.sum("chars").alias("_c"))
+    wide = sums.groupBy("_key", "era").agg((F.sum("_n") * F.sum("_c") > limit).alias("_much"), F.count(F.lit(1)).alias("_pieces")).where("_much or _pieces > 1")
+    marks = sums.select(*S.PIECE, "era").join(wide, ["_key", "era"]).groupBy(*S.PIECE).agg(
+        F.collect_set(F.when(F.col("_much"), F.col("era"))).alias("_heavy"), F.collect_set(F.when(~F.col("_much"), F.col("era"))).alias("_parted"))
+    def among(name: str) -> Column:
+        return F.coalesce(F.array_contains(name, F.col("era")), F.lit(False))
+    marked = edits.join(marks, S.PIECE)
+    return (edits.join(marks, S.PIECE, "left").where(~among("_heavy") & ~among("_parted")).drop("_heavy", "_parted"),
+            marked.where(among("_parted")).drop("_heavy", "_parted"), marked.where(among("_heavy")).drop("_heavy", "_parted"))
+
+
 def compared(edits: DataFrame, limit: int = DIRECT) -> DataFrame:
     """Edits and related texts in one pass over the texts: ``ERA, edit, rel, new_string, old_string``, to be a stage.
 
     A row is an edit without its texts, a pair of related texts (``rel``), or an
     edit of an era of much text, with its texts. ``edits`` comes from
-    ``with_eras``. Which eras hold much text is known from sums per piece, so
-    only the texts of the others are sent to the place of their era.
+    ``with_eras``. Only the texts of eras of little text that lie in several
+    pieces are sent again, to the place of their era.
     """
-    sums = edits.groupBy(*S.PIECE, "era").agg(F.count(F.lit(1)).alias("_n"), F.sum("chars").alias("_c"))
-    heavy = sums.groupBy("_key", "era").agg((F.sum("_n") * F.sum("_c")).alias("_load")).where(F.col("_load") > limit)
-    marks = sums.join(heavy, ["_key", "era"]).groupBy(*S.PIECE).agg(F.collect_set("era").alias("_heavy"))
-    marked = F.array_contains("_heavy", F.col("era"))
-    near = near_relations(edits.join(marks, S.PIECE, "left").where(~F.coalesce(marked, F.lit(False))))
-    far = edits.join(marks, S.PIECE).where(marked).select(*ERA, F.struct(*SLIM).alias("edit"), "new_string", "old_string")
+    whole, parted, much = by_place(edits, limit)
+    near = near_relations(whole, [*S.PIECE, *ERA]).unionByName(near_relations(parted.repartition(*ERA)))
+    far = much.select(*ERA, F.struct(*SLIM).alias("edit"), "new_string", "old_string")
     return near.unionByName(far, allowMissingColumns=True)
 
 
@@ -341,7 +360,7 @@ def with_eras(edits: DataFrame) -> DataFrame:
     indexes) are not sent again.
     """
     if not set(S.PIECE) <= set(edits.columns):
-        edits = S.pieces(edits, FILE, F.floor(F.col("seq") / 1000000 / 4096))
+        edits = S.pieces(edits, FILE, F.floor(F.col("seq") / 1000000 / BLOCK))
     cut = S.along(edits, ["seq"], era=S.highest(F.when(F.col("clears"), F.col("seq"))))
     return cut.withColumn("era", F.coalesce("era", F.lit(-1))).withColumn("chars", F.coalesce(F.length("old_string"), F.lit(0)) + F.coalesce(F.length("new_string"), F.lit(0)))
 
@@ -353,7 +372,7 @@ def prepare(events: DataFrame) -> DataFrame:
     new_string, replace_all. ``adds``: the edit places text worth tracking.
     ``probes``: its old text is compared with earlier text and overwrites it.
     ``clears``: it replaces the whole file. Pieces that the events stand in
-    (``scan.pieces`` by file and blocks of 4096 message indexes) are kept.
+    (``scan.pieces`` by file and blocks of ``BLOCK`` message indexes) are kept.
     """
     longest = F.greatest(F.length("old_string"), F.length("new_string"))
     active = ~F.col("replace_all") & (longest >= MIN_TEXT)

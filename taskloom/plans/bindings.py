@@ -69,7 +69,7 @@ def document_edits(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(
         F.col("source").alias("session_id"), F.col("lang").alias("file_path"), F.col("doc_id").alias("msg_index"), "text")
     # the file is read from the key, so whatever is asked of the edits, the documents are sent in the same form and once
-    cut = S.pieces(docs, E.FILE, S.index_chunk("msg_index")).drop(*E.FILE)
+    cut = S.pieces(docs, E.FILE, S.index_chunk("msg_index", E.BLOCK)).drop(*E.FILE)
     before = S.along(cut, ["msg_index"], before=S.latest_before(F.col("text"))).select("*", "_key.*")
     ident, previous = F.col("msg_index"), F.coalesce("before", F.lit(""))
     write = ident % 13 == 0

@@ -37,7 +37,7 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def discard(*stages: DataFrame) -> None:
-    """Delete the files of stages that only written tables were made from; frames that still read them would fail."""
-    for df in stages:
+    """Delete the files of stages that only written tables were made from; frames that still read them would fail. Other frames are left as they are."""
+    for df in (x for x in stages if hasattr(x, "_stage_path")):
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

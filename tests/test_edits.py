@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from taskloom.operators import edits as E
+from taskloom.operators import scan as S
 from taskloom.sources.stage import stage
 
 EDIT_SCHEMA = ("session_id string, file_path string, task_id string, msg_index long, pos int, tool_name string, "
@@ -251,6 +252,21 @@ def test_long_eras_give_what_short_ones_give(spark, limit):
     assert kept(mixed) == kept(direct) != []
 
 
+def test_eras_of_one_piece_are_compared_where_they_stand(spark):
+    """Only eras that lie in several pieces are sent on with their texts."""
+    text = "first_statement_of_all = 1\nsecond_statement_of_all = 2"
+    at = [*range(6), *range(E.BLOCK - 3, E.BLOCK + 3), *range(E.BLOCK + 100, E.BLOCK + 106)]
+    rows = [("s", "f", "t", i, 0, "Write" if k % 6 == 0 else "Edit", "" if k % 6 == 0 else text, text, False) for k, i in enumerate(at)]
+    edits = E.with_eras(E.prepare(spark.createDataFrame(rows, EDIT_SCHEMA)))
+    whole, parted, much = (sorted(r.msg_index for r in df.collect()) for df in E.by_place(edits))
+    assert (whole, parted, much) == (at[:6] + at[12:], at[6:12], [])
+    assert sorted(r.msg_index for r in E.by_place(edits, 0)[2].collect()) == at
+    assert lineage(spark, rows, stage) == replay(rows) != Counter()
+    sent = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    there = E.by_place(edits)[0]
+    assert sent(E.near_relations(there, [*S.PIECE, *E.ERA])) == sent(there)
+
+
 def test_edit_signals_are_the_same_on_both_ways(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(40)]
