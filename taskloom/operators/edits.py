@@ -24,6 +24,7 @@ from taskloom.functions import patterns as P
 from taskloom.functions import text as T
 from taskloom.functions.numbers import ratio0
 from taskloom.operators import scan as S
+from taskloom.sources.stage import discard
 from taskloom.sources.stage import stage as write_stage
 
 MIN_TEXT = 20
@@ -468,7 +469,7 @@ def edit_context(tasks: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def distances(parents: DataFrame, keep) -> DataFrame:
-    """Steps from every node up to its root: (session_id, edit_index, depth) from rows with ``parent`` (null for a root).
+    """Steps from every node up to its root: a stage of session_id, edit_index, depth from rows with ``parent`` (null for a root).
 
     Pointer jumping: each round doubles how far a node sees, so the number of
     rounds is the logarithm of the longest way. Nodes that see their root are
@@ -480,8 +481,9 @@ def distances(parents: DataFrame, keep) -> DataFrame:
         seen = state.select("session_id", F.col("edit_index").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_far"))
         ahead = state.where("up is not null").join(seen, ["session_id", "up"], "left").select(
             *key, F.col("_up").alias("up"), (F.col("depth") + F.col("_far")).alias("depth"))
-        state = keep(ahead.unionByName(state.where("up is null")), "jump")
-    return state.select(*key, "depth")
+        done, state = state, keep(ahead.unionByName(state.where("up is null")), "jump")
+        discard(done)
+    return state
 
 
 def chain_depths(overlap: DataFrame, stage=write_stage) -> DataFrame:
@@ -493,23 +495,25 @@ def chain_depths(overlap: DataFrame, stage=write_stage) -> DataFrame:
     instead; depths never fall by this, and when nothing changes every depth is
     the longest. A chain of n edits takes log n rounds; without forks there is
     one pass. Each edit is one row in every round, exact copies of an overlap
-    are removed first, and no group of rows meets in one task.
+    are removed first, and no group of rows meets in one task. Rounds that
+    others were made from are deleted.
     """
     edges = stage(overlap.select("session_id", F.col("edit_a_index").alias("a"),
                                  F.col("edit_b_index").alias("edit_index")).distinct(), "edges")
     key = ["session_id", "edit_index"]
     nodes = edges.select("session_id", F.col("a").alias("edit_index")).distinct()
     parents = nodes.join(edges.groupBy(*key).agg(F.max("a").alias("parent")), key, "full")
-    parents = stage(parents, "parents")
+    parents = last = stage(parents, "parents")
     while True:
         depth = distances(parents, stage)
         # of all edits that b overlaps, the deepest one, then the nearest
         reached = edges.join(depth.select("session_id", F.col("edit_index").alias("a"), F.col("depth").alias("_d")), ["session_id", "a"])
         best = reached.groupBy(*key).agg(F.max(F.struct("_d", "a")).alias("best"))
         now = stage(depth.join(best, key, "left").select(*key, "depth", (F.col("best._d") + 1).alias("better"), F.col("best.a").alias("parent")), "depths")
+        discard(depth, last)
         if now.where("better > depth").isEmpty():
             return now.where("depth > 0").select(*key, "depth")
-        parents = now.select(*key, "parent")
+        parents, last = now.select(*key, "parent"), now
 
 
 def classify_overlaps(overlap: DataFrame, context: DataFrame, depths: DataFrame | None = None) -> DataFrame:

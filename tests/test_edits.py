@@ -1,5 +1,6 @@
 """Edit lineage against a sequential replay, and against hand-written cases."""
 
+import os
 import random
 from collections import Counter
 
@@ -267,6 +268,19 @@ def test_eras_of_one_piece_are_compared_where_they_stand(spark):
     assert sent(E.near_relations(there, [*S.PIECE, *E.ERA])) == sent(there)
 
 
+def test_rounds_of_chain_depth_are_deleted(spark):
+    kept = []
+
+    def noted(df, name="stage"):
+        kept.append(stage(df, name))
+        return kept[-1]
+
+    got = depths_of(spark, [("s", i, i + 1) for i in range(40)], noted)
+    assert got["s", 40] == 40
+    left = [df._stage_path for df in kept if os.path.exists(df._stage_path.removeprefix("file:"))]
+    assert len(kept) > 6 and len(left) <= 2  # the edges and the last depths
+
+
 def test_edit_signals_are_the_same_on_both_ways(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(40)]
